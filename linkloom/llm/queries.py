@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe
-from linkloom.llm.common import documents
+from linkloom.llm import bpe, packing, toxicity
+from linkloom.llm.common import documents, fold_of, table
 
 #: Tokens in a training sequence.
 CONTEXT = 2048
@@ -32,9 +32,24 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
 
 
+#: A document is predicted to have label 1 from this score on.
+ACCEPT = 0.7
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"), "toxic", fold_of("doc_id", 3) != 1)
+    return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), CONTEXT)
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 #: Subword merging is not a relational computation; its tests compare with the tokenizer library.
