@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, packing, toxicity
+from linkloom.llm import bpe, packing, quality, toxicity
 from linkloom.llm.common import documents, fold_of, table
 
 #: Tokens in a training sequence.
@@ -36,6 +36,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ACCEPT = 0.7
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"), "quality", fold_of("doc_id", 4) != 2)
+    return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"), "toxic", fold_of("doc_id", 3) != 1)
     return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
@@ -47,6 +52,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_quality_rules": op2_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
