@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, packing, quality, toxicity
+from linkloom.llm import bpe, merkle, packing, quality, toxicity
 from linkloom.llm.common import documents, fold_of, table
 
 #: Tokens in a training sequence.
@@ -27,6 +27,20 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = merkle.compare_with_edit(documents(spark, sf_dir))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.col("tree.root").alias("fingerprint"),
+        F.col("edited_tree.root").alias("edited_fingerprint"),
+        F.round(merkle.likeness("tree", "edited_tree"), 9).alias("near_edited"),
+        F.round(merkle.likeness("tree", "next_tree"), 9).alias("near_next"),
+        merkle.first_difference("tree", "edited_tree").alias("first_edit"),
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = bpe.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
@@ -53,10 +67,43 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_quality_rules": op2_quality_rules,
+    "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
-#: Subword merging is not a relational computation; its tests compare with the tokenizer library.
-SQL: dict[str, str] = {}
+_TREE = r"""list_transform(regexp_extract_all({0}, '(?s).+?(?:\n\n+|\z)'), lambda s: list_transform(regexp_extract_all(s, '[^\n]*\n|[^\n]+'), lambda p: list_transform(regexp_extract_all(p, '(?s).{{1,32}}'), lambda b: md5(b))))"""
+_PARAGRAPHS = "list_transform({0}, lambda s: list_transform(s, lambda p: md5('p' || array_to_string(p, ''))))"
+_SECTIONS = "list_transform({0}, lambda s: md5('s' || array_to_string(s, '')))"
+_DISTINCT = "list_distinct(list_transform(flatten(flatten({0})), lambda b: substr(b, 1, 15)))"
+_LIKENESS = "CASE WHEN {0}r = {1}r THEN 1.0 ELSE round(2.0 * len(list_intersect({0}b, {1}b)) / (len({0}b) + len({1}b)), 9) END"
+_FIRST = "coalesce(list_filter(range(greatest(coalesce(len({0}), 0), coalesce(len({1}), 0))), lambda i: {0}[i + 1] IS DISTINCT FROM {1}[i + 1])[1], 0)"
+
+OP3_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents
+), n AS (
+  SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS following FROM d
+), e AS (
+  SELECT *, substr(text, 1, n - n // 4) || substr(following, 1, n // 4) AS edited FROM n
+), t AS (
+  SELECT *, {_TREE.format("text")} AS al, {_TREE.format("edited")} AS bl, {_TREE.format("following")} AS cl FROM e
+), p AS (
+  SELECT *, {_PARAGRAPHS.format("al")} AS ap, {_PARAGRAPHS.format("bl")} AS bp, {_PARAGRAPHS.format("cl")} AS cp FROM t
+), s AS (
+  SELECT *, {_SECTIONS.format("ap")} AS sa, {_SECTIONS.format("bp")} AS sb, {_SECTIONS.format("cp")} AS sc FROM p
+), r AS (
+  SELECT *, sha256('d' || array_to_string(sa, '')) AS ar, sha256('d' || array_to_string(sb, '')) AS br, sha256('d' || array_to_string(sc, '')) AS cr,
+         {_DISTINCT.format("al")} AS ab, {_DISTINCT.format("bl")} AS bb, {_DISTINCT.format("cl")} AS cb, {_FIRST.format("sa", "sb")} AS fs FROM s
+), f AS (
+  SELECT *, {_FIRST.format("ap[fs + 1]", "bp[fs + 1]")} AS fp FROM r
+)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, ar AS fingerprint, br AS edited_fingerprint,
+       {_LIKENESS.format("a", "b")} AS near_edited, {_LIKENESS.format("a", "c")} AS near_next,
+       CASE WHEN ar <> br THEN concat_ws('/', fs, fp, {_FIRST.format("al[fs + 1][fp + 1]", "bl[fs + 1][fp + 1]")}) END AS first_edit
+FROM f
+"""
+
+#: Subword merging and fitted models are not relational computations; their tests compare with libraries and held-out rows.
+SQL: dict[str, str] = {"op3_merkle_fingerprints": OP3_SQL}
