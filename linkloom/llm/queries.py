@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, merkle, packing, quality, toxicity
+from linkloom.llm import bpe, licenses, merkle, neighbours, packing, quality, toxicity
 from linkloom.llm.common import documents, fold_of, table
 
 #: Tokens in a training sequence.
@@ -41,6 +41,10 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_documents(documents(spark, sf_dir)))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = bpe.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
@@ -64,13 +68,19 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), CONTEXT)
 
 
+def op10_pruned_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_quality_rules": op2_quality_rules,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
+    "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_pruned_graph_search": op10_pruned_graph_search,
 }
 
 _TREE = r"""list_transform(regexp_extract_all({0}, '(?s).+?(?:\n\n+|\z)'), lambda s: list_transform(regexp_extract_all(s, '[^\n]*\n|[^\n]+'), lambda p: list_transform(regexp_extract_all(p, '(?s).{{1,32}}'), lambda b: md5(b))))"""
@@ -106,4 +116,4 @@ FROM f
 """
 
 #: Subword merging and fitted models are not relational computations; their tests compare with libraries and held-out rows.
-SQL: dict[str, str] = {"op3_merkle_fingerprints": OP3_SQL}
+SQL: dict[str, str] = {"op3_merkle_fingerprints": OP3_SQL, "op5_license_scan": licenses.sql()}
