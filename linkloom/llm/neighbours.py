@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import stored
 
 #: Vectors of a shard and queries of a block, about; edges of a vector; beam widths of building and searching.
-SHARD, BLOCK, DEGREE, BUILD_BEAM, BEAM, ENTRIES = 4096, 4096, 24, 48, 72, 8
+SHARD, BLOCK, DEGREE, BUILD_BEAM, BEAM, ENTRIES = 4096, 4096, 24, 48, 112, 8
 RELAXED = (1.0, 1.2)
 BATCH = 256
 

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, licenses, merkle, neighbours, packing, quality, toxicity
+from linkloom.llm import bpe, jaccard, licenses, merkle, neighbours, packing, quality, toxicity
 from linkloom.llm.common import documents, fold_of, table
 
 #: Tokens in a training sequence.
@@ -68,6 +68,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), CONTEXT)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar_documents(documents(spark, sf_dir))
+    return found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op10_pruned_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_pruned_graph_search": op10_pruned_graph_search,
 }
 
@@ -115,5 +121,25 @@ SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, ar AS fingerprint,
 FROM f
 """
 
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), n AS (
+  SELECT doc_id, len(s)::BIGINT AS n_shingles FROM s
+), x AS (
+  SELECT doc_id, hash(unnest(s)) AS h FROM s
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS MATERIALIZED (
+  SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * n >= 75 * (p.n_shingles + q.n_shingles - n)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b
+)
+SELECT n.doc_id, n_shingles, m.component_id FROM n JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = n.doc_id
+"""
+
 #: Subword merging and fitted models are not relational computations; their tests compare with libraries and held-out rows.
-SQL: dict[str, str] = {"op3_merkle_fingerprints": OP3_SQL, "op5_license_scan": licenses.sql()}
+SQL: dict[str, str] = {"op3_merkle_fingerprints": OP3_SQL, "op5_license_scan": licenses.sql(), "op9_jaccard_join": OP9_SQL}
