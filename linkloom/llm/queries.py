@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, jaccard, licenses, merkle, neighbours, packing, quality, toxicity
+from linkloom.llm import bpe, jaccard, licenses, merkle, neighbours, packing, quality, suffixes, toxicity
 from linkloom.llm.common import documents, fold_of, table
 
 #: Tokens in a training sequence.
@@ -41,6 +41,12 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.drop_repeats(documents(spark, sf_dir))
+    removed = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_documents(documents(spark, sf_dir)))
 
@@ -81,6 +87,7 @@ QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_quality_rules": op2_quality_rules,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
