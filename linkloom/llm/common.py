@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.sources.scratch import stored
+
+__all__ = ["documents", "fold_of", "packed_texts", "slices", "stored", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,29 +23,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
+def fold_of(column: str, buckets: int):
+    """crc32 of the id as text, modulo `buckets`: which rows a learner may see."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(buckets)
 
-    Only a session that names none (a local test) gets a folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="linkloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows of `df`, written once to the shared folder and read back.
 
-    This cuts lineage and survives the loss of executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def packed_texts(rows: DataFrame, *keep: str) -> DataFrame:
+    """`keep` columns and the text's UTF-8 bytes, compressed for the shuffle."""
+    schema = rows.select(*keep, F.lit(b"").alias("packed")).schema
 
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for b in slices(batches):
+            packed = [squeeze.compress((t or "").encode("utf-8", "replace")) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([*(b.column(k) for k in keep), pa.array(packed, pa.binary())], [*keep, "packed"])
 
-def fold_of(column: str, buckets: int):
-    """crc32 of the id as text, modulo `buckets`: which rows a learner may see."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(buckets)
+    return rows.select(*keep, "text").mapInArrow(run, schema)

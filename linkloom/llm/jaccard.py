@@ -8,8 +8,8 @@ documents, are posted under their prefix shingles. Groups that meet in a posting
 list are expanded to their nodes, and nodes are verified on whole sets.
 
 Only connected documents matter here, so posting lists need not be turned into
-all their pairs. First every node is verified against the smallest node that it
-meets; only lists whose nodes are then still in different components give the
+all their pairs. First every node is verified against the most central node that
+it meets; only lists whose nodes are then still in different components give the
 pairs between components, all of which are verified.
 """
 
@@ -19,11 +19,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.bpe import Memory, slices
-from linkloom.llm.common import stored
+from linkloom.llm.bpe import Memory
+from linkloom.llm.common import packed_texts, slices, stored
 from linkloom.llm.components import components
 
 #: Words of a shingle, and the similarity in hundredths.
@@ -33,6 +34,8 @@ WORDS, SIMILAR = 5, 75
 OFTEN, FREQUENT = 16, 1 << 16
 #: A posting list that may be longer than this is dealt to several tasks.
 LONG = 50_000
+#: About so many nodes of a component are tried before its others.
+EARLY = 64
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -112,7 +115,7 @@ def partition_keys(spark, count: int) -> list[int]:
 
 
 def postings(docs: DataFrame, words: int, similar: int, frequent: pd.DataFrame, keys: list[int]) -> DataFrame:
-    """(bucket, payload): groups under their prefix shingles; and (null bucket, node, size, group): members of groups."""
+    """(bucket, payload): groups under their prefix shingles; and, without payload, (bucket, node, size, group): members of groups."""
     by_token = frequent.sort_values("node")
     table = docs.sparkSession.sparkContext.broadcast((by_token["node"].to_numpy(np.int64), by_token["many"].to_numpy(np.int64)))
 
@@ -153,7 +156,7 @@ def postings(docs: DataFrame, words: int, similar: int, frequent: pd.DataFrame,
             if not members:
                 continue
             node, size, group = zip(*members, strict=True)
-            yield batch(None, node, size, group, None)
+            yield batch([int(key[n % len(key)]) for n in node], node, size, group, None)
             if not groups:
                 continue
             token = np.concatenate([p for p, _ in prefixes])
@@ -203,36 +206,46 @@ def unpacked(payload: bytes, home: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def met_groups(posted: DataFrame, keys: list[int]) -> DataFrame:
-    """(list, groups): the distinct posting lists with several groups; one that was dealt to several tasks has a row of each."""
+    """Members as they are, and (list, weight, groups): the distinct sets of groups that share posting lists, with the number of lists.
+
+    A list that was dealt to several tasks has a row of each.
+    """
     number = {k: i for i, k in enumerate(keys)}
+    columns = [("node", pa.int64()), ("size", pa.int64()), ("group", pa.int64()), ("list", pa.int64()), ("weight", pa.int64()), ("groups", pa.binary())]
+
+    def rows(**given):
+        n = len(next(iter(given.values())))
+        return pa.record_batch([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in columns], [k for k, _ in columns])
 
     def run(batches):
         held: dict[int, list] = {}
         for b in batches:
+            plain = b.filter(b.column("payload").is_null())
+            if plain.num_rows:
+                yield rows(**{k: plain.column(k) for k in ("node", "size", "group")})
             for k, payload in zip(b.column("bucket").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                held.setdefault(k, []).append(unpacked(payload, number[k]))
-        done: set[int] = set()
+                if payload is not None:
+                    held.setdefault(k, []).append(unpacked(payload, number[k]))
         for k in sorted(held):
             lists, groups, split = (np.concatenate(x) for x in zip(*held.pop(k), strict=True))
             order = np.lexsort((groups, lists))
             lists, groups, split = lists[order], groups[order], split[order]
-            keep = np.r_[True, (lists[1:] != lists[:-1]) | (groups[1:] != groups[:-1])] if len(lists) else np.zeros(0, bool)
+            keep = np.r_[True, (lists[1:] != lists[:-1]) | (groups[1:] != groups[:-1])]
             lists, groups, split = lists[keep], groups[keep], split[keep]
             starts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
             ends = np.r_[starts[1:], len(lists)]
             some = (ends - starts > 1) | split[starts]
-            out: tuple[list, list] = ([], [])
+            weights: dict[tuple[int, bytes], int] = {}
             for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
                 own = groups[s:e].tobytes()
                 name = int(lists[s]) if split[s] else xxhash.xxh64_intdigest(own) - (1 << 63)
-                if split[s] or name not in done:
-                    done.add(name)
-                    out[0].append(name)
-                    out[1].append(own)
-            for at in range(0, len(out[0]), 2000):
-                yield pa.record_batch([pa.array(out[0][at : at + 2000], pa.int64()), pa.array(out[1][at : at + 2000], pa.binary())], ["list", "groups"])
+                weights[name, own] = weights.get((name, own), 0) + 1
+            found = list(weights)
+            for at in range(0, len(found), 2000):
+                own = found[at : at + 2000]
+                yield rows(list=[n for n, _ in own], weight=[weights[x] for x in own], groups=[g for _, g in own])
 
-    return posted.select("bucket", "payload").repartition(len(keys), "bucket").mapInArrow(run, "list bigint, groups binary")
+    return posted.repartition(len(keys), "bucket").mapInArrow(run, "node bigint, size bigint, group bigint, list bigint, weight bigint, groups binary")
 
 
 def entries(met: DataFrame) -> DataFrame:
@@ -244,7 +257,7 @@ def entries(met: DataFrame) -> DataFrame:
             if groups:
                 yield pa.record_batch([pa.array(np.repeat(b.column("list").to_numpy(), [len(g) for g in groups])), pa.array(np.concatenate(groups))], ["list", "group"])
 
-    return met.mapInArrow(run, "list bigint, group bigint")
+    return met.select("list", "groups").mapInArrow(run, "list bigint, group bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -266,6 +279,12 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return joined.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
+def still_open(labelled: DataFrame) -> DataFrame:
+    """The entries of lists whose nodes are in several components (`now`)."""
+    mixed = labelled.groupBy("list").agg(F.min("now").alias("least"), F.max("now").alias("most")).where("least <> most").select("list")
+    return labelled.join(mixed, "list")
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """doc_id, size (of its shingle set) and component (smallest doc_id linked to it, directly or not) of every row.
 
@@ -281,40 +300,78 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similar: int = SIMILA
     own = found.where("kind = 0").select("doc_id", "node", "size")
     frequent = found.where("kind = 1").groupBy("node").agg(F.sum("size").alias("many")).orderBy(F.desc("many"), "node").limit(FREQUENT).toPandas()
     keys = partition_keys(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    posted = postings(docs, words, similar, frequent, keys)
-    members = stored(posted.where("bucket is null").select("node", "size", "group").dropDuplicates(["node"]), "members")
-    met = met_groups(posted.where("bucket is not null"), keys)
-    many = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select(F.col("group").alias("list"), "group")
-    lists = stored(entries(met).distinct().unionByName(many).join(members, "group").select("list", "node", "size"), "lists")
+    met = stored(met_groups(postings(docs, words, similar, frequent, keys), keys), "met")
+    members = met.where("node is not null").select("node", "size", "group").dropDuplicates(["node"])
+    found_lists = met.where("groups is not null").groupBy("list", "groups").agg(F.sum("weight").alias("weight"))
+    weights = found_lists.groupBy("list").agg(F.max("weight").alias("weight"))
+    alone = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").selectExpr("group as list", "group", f"{1 << 40}L as weight")
+    listed = entries(found_lists).distinct().join(weights, "list").unionByName(alone)
+    lists = stored(listed.join(members, "group").select("list", "weight", "node", "size"), "lists")
 
-    asked = lists.select("node").distinct().join(own.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
+    heads = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    shared_ids = not own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
     def shingle(batches):
         shingler = Shingler(words)
+        stretch = zstandard.ZstdDecompressor()
         for b in slices(batches):
-            own = [shingler.shingles(t or "") for t in b.column("text").to_pylist()]
-            same = [node_of(x) == node for x, node in zip(own, b.column("node").to_pylist(), strict=True)]  # rows can share an id
-            yield pa.record_batch([b.column("node"), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "shingles"]).filter(pa.array(same, pa.bool_()))
+            sets = [shingler.shingles(stretch.decompress(t).decode("utf-8", "replace")) for t in b.column("packed").to_pylist()]
+            same = [node_of(x) == node for x, node in zip(sets, b.column("node").to_pylist(), strict=True)]  # rows can share an id
+            yield pa.record_batch([b.column("node"), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"]).filter(pa.array(same, pa.bool_()))
 
-    whole = docs.join(asked, "doc_id").select("node", "text").mapInArrow(shingle, "node bigint, shingles binary")
-    if not own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        whole = whole.dropDuplicates(["node"])
-    sets = stored(whole, "sets")
+    def whole_sets(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads, "node")
+        out = packed_texts(docs, "doc_id").join(asked, "doc_id").select("node", "packed").mapInArrow(shingle, "node bigint, shingles binary")
+        return stored(out.dropDuplicates(["node"]) if shared_ids else out, "sets")
 
     fits = f"{similar} * greatest(size, other) <= 100 * least(size, other)"
-    pivots = lists.groupBy("list").agg(F.min(F.struct("node", "size")).alias("p")).selectExpr("list", "p.node as a", "p.size as other")
-    first = lists.join(pivots, "list").where(f"a < node and {fits}").groupBy("node").agg(F.min("a").alias("a")).selectExpr("a", "node as b")
-    links = stored(verified(first, sets, similar), "verified")
+    # similar sets share so many prefix shingles: those that come before either set can have run out of its own
+    overlap = f"ceil({similar} * (size + other) / {100 + similar}D - 1e-9)"
+    need = f"(least({', '.join(f'{overlap} - ceil({similar} * {x} / 100D - 1e-9)' for x in ('size', 'other'))}) + 1)"
+    enough = f"shared >= {need}"
+
+    # of a list, the node that meets most others is the likely centre of a group of near copies
+    sizes = lists.groupBy("list").agg(F.count("*").alias("n"))
+    central = lists.join(sizes, "list").groupBy("node").agg(F.sum(F.col("weight").cast("double") * F.col("n")).alias("degree"))
+    pivots = lists.join(central, "node").groupBy("list").agg(F.max(F.struct("degree", "node", "size")).alias("p")).selectExpr("list", "p.node as a", "p.size as other")
+    met_first = lists.join(pivots, "list").where(f"a <> node and {fits}").groupBy("a", "node", "size", "other").agg(F.sum("weight").alias("shared")).where(enough)
+    first = stored(met_first.groupBy("node").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).selectExpr("a", "node as b"), "first")
+    links = stored(verified(first, whole_sets(first), similar), "verified")
     roots = components(links)
 
-    labelled = lists.join(roots, "node", "left").selectExpr("list", "node", "size", "coalesce(root, node) as root")
-    mixed = labelled.groupBy("list").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("list")
-    open_lists = stored(labelled.join(mixed, "list"), "open")
-    other = open_lists.selectExpr("list", "node as b", "size as other", "root as other_root")
-    between = open_lists.join(other, "list").where(f"node < b and root <> other_root and {fits}").selectExpr("node as a", "b").distinct()
-    more = verified(between, sets, similar)
-    roots = components(links.unionByName(more))
+    # every pair of nodes in different components is oriented to the larger one; of that, some nodes are tried before the others
+    labelled = lists.join(roots, "node", "left").selectExpr("list", "weight", "node", "size", "coalesce(root, node) as root")
+    many = labelled.select("node", "root").distinct().groupBy("root").agg(F.count("*").alias("many"))
+    labelled = labelled.join(many, "root").withColumn("early", F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / EARLY)) == 0).withColumn("now", F.col("root"))
+    # `tail`: how many lists a node has from this one on, longer lists last. Of the lists that two similar nodes share, fewer than half of
+    # what they need can come so late that either tail is below that half; so such places are left out, and the rest of the need is asked for
+    later = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("list")).rowsBetween(Window.unboundedPreceding, 0)
+    open_lists = stored(still_open(labelled).join(sizes, "list").withColumn("tail", F.sum("weight").over(later)), "open")
+    half = f"ceil({need} / 2)"
+    for early in (True, False):
+        other = open_lists.where(F.col("early") == early).selectExpr("list", "node as b", "size as other", "root as other_root", "many as other_many", "now as other_now", "tail as other_tail")
+        between = open_lists.join(other, "list").where(f"now <> other_now and (many < other_many or (many = other_many and root < other_root)) and {fits} and least(tail, other_tail) >= {half}")
+        between = between.groupBy("node", "b", "size", "other").agg(F.sum("weight").alias("shared")).where(f"shared > {need} - {half}").selectExpr("node as a", "b")
+        between = stored(between, "between")
+        if not between.isEmpty():
+            links = stored(links.unionByName(verified(between, whole_sets(between), similar)), "verified")
+            roots = components(links)
+        if early:
+            open_lists = stored(still_open(open_lists.drop("now").join(roots.withColumnRenamed("root", "now"), "node", "left").withColumn("now", F.coalesce("now", "node"))), "open")
 
     placed = own.join(roots, "node", "left").selectExpr("doc_id", "node", "size", "if(size = 0, null, coalesce(root, node)) as root")
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
     return placed.join(smallest, "root", "left").select("doc_id", "size", F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """The rows of `docs`, all columns, without those that are linked to a document of smaller id.
+
+    Of rows with one id, one stays. Rows without id stay.
+    """
+    found = stored(similar_documents(docs, words, similar), "similar")
+    known = docs.where("doc_id is not null")
+    kept = known.join(found.where("doc_id = component").select("doc_id").distinct(), "doc_id", "left_semi")
+    if not found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -25,8 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.bpe import slices
-from linkloom.llm.common import stored
+from linkloom.llm.common import slices, stored
 
 #: The pattern, end mark and its id of the byte-level vocabulary.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -23,8 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.bpe import slices
-from linkloom.llm.common import stored
+from linkloom.llm.common import packed_texts, slices, stored
 from linkloom.llm.jaccard import partition_keys
 
 LENGTH, GRAM = 100, 24
@@ -313,19 +312,6 @@ def repeated_anchors(posted: DataFrame, keys: list[int]) -> DataFrame:
     return posted.repartition(len(keys), "bucket").mapInArrow(run, "node bigint, runs binary")
 
 
-def packed_texts(rows: DataFrame, *keep: str) -> DataFrame:
-    """`keep` columns and the text's UTF-8 bytes, compressed for the shuffle."""
-    schema = ", ".join(f"{k} bigint" for k in keep) + ", packed binary"
-
-    def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for b in slices(batches):
-            packed = [squeeze.compress((t or "").encode("utf-8", "replace")) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([*(b.column(k) for k in keep), pa.array(packed, pa.binary())], [*keep, "packed"])
-
-    return rows.select(*keep, "text").mapInArrow(run, schema)
-
-
 def surroundings(joined: DataFrame, keys: list[int], length: int) -> DataFrame:
     """(bucket, payload): for each repeated anchor of a text, the bytes that its strings cover."""
 
@@ -433,17 +419,21 @@ def united(spans: list[bytes]) -> np.ndarray:
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, spans (array of start and end of each maximal removed run) and kept (binary) of every row.
+    """doc_id, n_bytes, spans (array of start and end of each maximal removed run), kept (binary) and `rest` of every row.
+
+    `rest` is a struct of the other columns, whatever their names.
 
     Texts are taken as UTF-8 bytes; a null text is empty. Strings never cross
     documents. Documents of equal text are judged together: of copies, all but
     the one of smallest id are removed whole if they have `length` bytes or
     more. Rows with equal ids are ordered by a hash of their text; rows that are
     equal in both are one document and get equal results. Null ids come before
-    others. An empty table gives no rows; other columns are left unread.
+    others. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest")).withColumn("node", F.xxhash64("text"))
     keys = partition_keys(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = stored(repeated_anchors(posted_anchors(texts.select("node", "text"), keys, length), keys), "anchors")
 
@@ -455,7 +445,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = stored(repeated_strings(surroundings(joined, keys, length), keys, length), "spans")
 
     removed = heads.join(spans.groupBy("node").agg(F.collect_list("spans").alias("spans")), "node", "left")
-    rows = packed_texts(texts.withColumns({"id": F.coalesce("doc_id", F.lit(-(1 << 63))), "known": F.col("doc_id").isNotNull().cast("bigint")}), "node", "id", "known")
+    rows = packed_texts(texts.withColumns({"id": F.coalesce("doc_id", F.lit(-(1 << 63))), "known": F.col("doc_id").isNotNull()}), "node", "id", "known", "rest")
     whole = rows.join(removed.withColumnRenamed("id", "head"), "node")
 
     def run(batches):
@@ -478,6 +468,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     kept.append(text)
             doc_id = [i if k else None for i, k in zip(b.column("id").to_pylist(), b.column("known").to_pylist(), strict=True)]
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield binary_rows([("doc_id", doc_id, pa.int64()), ("n_bytes", sizes, pa.int64()), ("spans", runs, span), ("kept", kept, pa.binary())])
+            columns = [pa.array(doc_id, pa.int64()), pa.array(sizes, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary()), b.column("rest")]
+            yield pa.record_batch(columns, ["doc_id", "n_bytes", "spans", "kept", "rest"])
 
-    return whole.mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    schema = texts.selectExpr("cast(doc_id as bigint) as doc_id", "0L as n_bytes", "array(named_struct('start', 0L, 'end', 0L)) as spans", "binary('') as kept", "rest").schema
+    return whole.mapInArrow(run, schema)
