@@ -153,3 +153,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str, visible, per
     """
     ensemble = learn(docs, labels, label, visible, per_class)
     return statistics(docs, "doc_id").select("doc_id", ensemble.column().alias("score"))
+
+
+def at_least(docs: DataFrame, labels: DataFrame, label: str, visible, threshold: float, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of `docs`, all columns, whose score is `threshold` or more; they are scored as by score_documents."""
+    ensemble = learn(docs, labels, label, visible, per_class)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), "text")
+    # a filter would be pushed below the statistics, with a copy of them for each rule; a generator's output is not
+    kept = statistics(whole, "whole").select(F.explode_outer(F.when(ensemble.column() >= threshold, F.array("whole"))).alias("whole"))
+    return kept.where("whole is not null").select("whole.*")

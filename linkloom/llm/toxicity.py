@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from linkloom.llm.bpe import Memory, slices
+from linkloom.llm.bpe import Memory
+from linkloom.llm.common import slices
 from linkloom.llm.training import labelled_sample
 
 BUCKETS, DIMENSIONS, BATCH, RATE, FLOOR = 1 << 16, 8, 256, 0.02, 1e-4
-#: Words of a window; rounds of choosing windows, and passes over them in each.
-WINDOW, ROUNDS, PASSES = 12, 5, 4
+#: Words of a window; rounds of choosing windows, and the least passes over them and steps in each.
+WINDOW, ROUNDS, PASSES, STEPS = 12, 5, 4, 200
 #: At most so many documents of each class are fitted.
 PER_CLASS = 1500
 #: Marks around words that carry no letters of their own.
@@ -110,8 +111,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
     sample = Sample(texts)
-    if len(set(labels)) < 2:  # nothing to tell apart
-        return Model(np.zeros(BUCKETS), -4.0 if not labels or labels[0] == 0 else 4.0)
+    if len({y for y, words in zip(labels, sample.docs, strict=True) if len(words)}) < 2:  # nothing to tell apart
+        return Model(np.zeros(BUCKETS), 4.0 if labels and min(labels) == 1 else -4.0)
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     out = rng.normal(0, 1, (DIMENSIONS, 2))
     bias = np.zeros(2)
@@ -120,7 +121,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     for _ in range(ROUNDS):
         windows, label = sample.windows(rng, y, scores)
         weight = np.where(label == 1, 0.5 / (label == 1).mean(), 0.5 / (label == 0).mean())
-        for _ in range(PASSES):
+        for _ in range(max(PASSES, -(-STEPS * BATCH // len(windows)))):
             order = rng.permutation(len(windows))
             for at in range(0, len(order), BATCH):
                 own = order[at : at + BATCH]
@@ -153,6 +154,25 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     return model
 
 
+def learn(docs: DataFrame, labels: DataFrame, label: str, visible, per_class: int = PER_CLASS) -> Model:
+    """Fits on at most 2 * per_class documents whose labels are `visible`."""
+    sample = labelled_sample(docs.select("doc_id", "text"), labels, label, visible, per_class).toPandas().sort_values("doc_id")
+    return fit([t or "" for t in sample["text"]], [int(x) for x in sample["label"]])
+
+
+class Scorer:
+    """Scores texts in a task."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        rows = model.rows.tolist()
+        self.memory = Memory(lambda run: sum(rows[b] for b in own) / len(own) if (own := buckets(run)) else None)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        logits = [self.model.worst(np.array([s for s in map(self.memory.__getitem__, runs(t or "")) if s is not None], float)) for t in texts]
+        return 1 / (1 + np.exp(-np.clip(np.array(logits, float), -60, 60)))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, label: str, visible, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id and score (0 to 1, higher: label 1 likelier) of every row of `docs`.
 
@@ -162,18 +182,23 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str, visible, per
     seen) or high. Repeated rows are scored each; other columns are left unread.
     """
     docs = docs.select("doc_id", "text")
-    sample = labelled_sample(docs, labels, label, visible, per_class).toPandas().sort_values("doc_id")
-    model = docs.sparkSession.sparkContext.broadcast(fit([t or "" for t in sample["text"]], [int(x) for x in sample["label"]]))
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label, visible, per_class))
 
     def run(batches):
-        rows = model.value.rows.tolist()
-        memory = Memory(lambda word: sum(rows[b] for b in own) / len(own) if (own := buckets(word)) else None)
+        scorer = Scorer(model.value)
         for b in slices(batches):
-            logits = []
-            for text in b.column("text").to_pylist():
-                words = [s for s in map(memory.__getitem__, runs(text or "")) if s is not None]
-                logits.append(model.value.worst(np.array(words, float)))
-            score = 1 / (1 + np.exp(-np.clip(np.array(logits, float), -60, 60)))
-            yield pa.record_batch([b.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(scorer.scores(b.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return docs.mapInArrow(run, "doc_id bigint, score double")
+
+
+def below(docs: DataFrame, labels: DataFrame, label: str, visible, threshold: float, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of `docs`, all columns, whose score is below `threshold`; they are scored as by score_documents."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label, visible, per_class))
+
+    def run(batches):
+        scorer = Scorer(model.value)
+        for b in slices(batches):
+            yield b.filter(pa.array(scorer.scores(b.column("text").to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
