@@ -103,10 +103,10 @@ def mcnemar(pairs: DataFrame, *by: str) -> DataFrame:
         F.count_if(F.col("a_right") & ~F.col("b_right")).alias("a_right_b_wrong"), F.count_if(~F.col("a_right") & F.col("b_right")).alias("a_wrong_b_right")
     )
     # running log of C(n, i), kept with the largest term taken out
-    p = """if(n = 0, 1D, least(1D, 2 * aggregate(sequence(0L, k), named_struct('term', -n * ln(2D), 'sum', 0D),
-           (s, i) -> named_struct('term', s.term + ln((n - i) / (i + 1D)), 'sum', s.sum + exp(s.term)), s -> s.sum)))"""
-    table = counts.withColumns({"n": F.col("a_right_b_wrong") + F.col("a_wrong_b_right"), "k": F.least("a_right_b_wrong", "a_wrong_b_right")})
-    return table.withColumn("p_exact", F.expr(p)).drop("n", "k")
+    p = """if(_n = 0, 1D, least(1D, 2 * aggregate(sequence(0L, _k), named_struct('term', -_n * ln(2D), 'sum', 0D),
+           (s, i) -> named_struct('term', s.term + ln((_n - i) / (i + 1D)), 'sum', s.sum + exp(s.term)), s -> s.sum)))"""
+    table = counts.withColumns({"_n": F.col("a_right_b_wrong") + F.col("a_wrong_b_right"), "_k": F.least("a_right_b_wrong", "a_wrong_b_right")})
+    return table.withColumn("p_exact", F.expr(p)).drop("_n", "_k")
 
 
 def holm(tests: DataFrame, p: str, key: str) -> DataFrame:
