@@ -15,6 +15,7 @@ number, which tasks remember.
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -69,20 +70,23 @@ class Sample:
 
     def __init__(self, texts: list[str]):
         number: dict[str, int] = {}
-        self.grams: list[np.ndarray] = []
-        memory = Memory(buckets)
+        flat, sizes = array("i"), array("i")
         self.docs = []
         for text in texts:
-            own = []
+            own = array("i")
             for run in runs(text):
-                if grams := memory[run]:
-                    if run not in number:
-                        number[run] = len(self.grams)
-                        self.grams.append(np.array(grams))
-                    own.append(number[run])
-            self.docs.append(np.array(own, np.int64))
-        self.sizes = np.array([len(g) for g in self.grams], np.int64)
-        self.flat = np.concatenate([*self.grams, np.zeros(0, np.int64)])
+                i = number.get(run)
+                if i is None:
+                    grams = buckets(run)
+                    i = number[run] = len(sizes) if grams else -1
+                    if grams:
+                        flat.extend(grams)
+                        sizes.append(len(grams))
+                if i >= 0:
+                    own.append(i)
+            self.docs.append(np.frombuffer(own, np.int32) if own else np.zeros(0, np.int32))
+        self.flat = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
+        self.sizes = np.array(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
 
     def word_scores(self, rows: np.ndarray) -> np.ndarray:
