@@ -85,3 +85,9 @@ def score_candidates(assigned: DataFrame, tolerance: float = 0.03, largest: floa
 def best_candidate(scores: DataFrame) -> DataFrame:
     """The lowest score; ties go to the lowest number."""
     return scores.agg(F.min_by("candidate", F.struct("score", "candidate")).alias("candidate"), F.min("score").alias("score"))
+
+
+def stratified_folds(per_group: DataFrame, folds: int, seed: int) -> DataFrame:
+    """Adds `fold`: groups of equal class counts are dealt round in hashed order, so folds keep whole groups and the class balance."""
+    order = F.row_number().over(Window.partitionBy("zeros", "ones").orderBy(hashed(seed, "group_id"), "group_id"))
+    return per_group.withColumn("fold", ((order - 1) % folds).cast("int"))

@@ -608,6 +608,53 @@ def lr_fit(spark, sf):
     return model.transform(vectors).select("l_orderkey", "l_linenumber", "label", F.round(vector_to_array("probability")[1], 4).alias("probability"))
 
 
+# ---------------------------------------------------------------- errors, examples, folds and paired shifts
+
+
+@query(f"""SELECT kind, l_orderkey, l_linenumber, score FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN kind = 'false positive' THEN -score ELSE score END, l_orderkey, l_linenumber) AS k FROM
+ (SELECT *, CASE WHEN label = 0 THEN 'false positive' ELSE 'false negative' END AS kind FROM {_SCORED} WHERE label <> predicted)) WHERE k <= 10""")
+def confident_errors(spark, sf):
+    """The ten most confident errors of each kind, ties by id."""
+    wrong = scored(spark, sf).where("label <> predicted").withColumn("kind", F.when(F.col("label") == 0, "false positive").otherwise("false negative"))
+    sure = F.when(F.col("label") == 0, -F.col("score")).otherwise(F.col("score"))
+    k = F.row_number().over(Window.partitionBy("kind").orderBy(sure, "l_orderkey", "l_linenumber"))
+    return wrong.withColumn("k", k).where("k <= 10").select("kind", "l_orderkey", "l_linenumber", "score")
+
+
+@query(f"""SELECT label, predicted, l_orderkey, l_linenumber, score FROM (SELECT *, row_number() OVER (PARTITION BY label, predicted ORDER BY score, l_orderkey, l_linenumber) AS k, count(*) OVER (PARTITION BY label, predicted) AS n FROM {_SCORED}) WHERE k = (n - 1) // 2 + 1""")
+def example_picker(spark, sf):
+    """The row of lower median score in each cell of the confusion table: its place is found by counts of scores, not in one sorted cell."""
+    rows = scored(spark, sf)
+    per = rows.groupBy("label", "predicted", "score").agg(F.count("*").alias("c"))
+    cell = Window.partitionBy("label", "predicted")
+    per = per.withColumns({"n": F.sum("c").over(cell), "upto": F.sum("c").over(cell.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))}).withColumn("target", F.expr("(n - 1) div 2 + 1"))
+    hit = per.where("upto >= target and upto - c < target").selectExpr("label", "predicted", "score", "target - (upto - c) as place")
+    tied = rows.join(F.broadcast(hit), ["label", "predicted", "score"])  # one row a cell
+    k = F.row_number().over(cell.orderBy("l_orderkey", "l_linenumber"))
+    return tied.withColumn("k", k).where("k = place").select("label", "predicted", "l_orderkey", "l_linenumber", "score")
+
+
+@query(f"""WITH g AS (SELECT floor(c_custkey / 3)::BIGINT AS group_id, count_if(c_custkey % 2 = 0)::BIGINT AS zeros, count_if(c_custkey % 2 = 1)::BIGINT AS ones FROM customer GROUP BY 1)
+SELECT group_id, zeros, ones, ((row_number() OVER (PARTITION BY zeros, ones ORDER BY md5(concat_ws('|', '{SEED}', group_id::VARCHAR)), group_id) - 1) % 5)::INT AS fold FROM g""")
+def group_folds(spark, sf):
+    per = customers(spark, sf).groupBy(F.col("domain").alias("group_id")).agg(F.count_if(F.col("label") == 0).alias("zeros"), F.count_if(F.col("label") == 1).alias("ones"))
+    return groups.stratified_folds(per, 5, SEED)
+
+
+_SHIFTED = ["url_length", "url_path_length", "url_digit_count", "url_hyphen_count"]
+_CHANGED = f"SELECT page_id, {', '.join(f'{e} AS {n}' for n, e in urls.features(urls.DUCKDB) if n in _SHIFTED)} FROM {urls.sql_with(urls.parts(urls.DUCKDB), '(SELECT page_id, concat(url, repeat(chr(45), (page_id % 3)::INT), page_id::VARCHAR) AS url FROM pages)')}"
+
+
+@query(f"WITH a AS ({_FEATURES}), b AS ({_CHANGED}) " + " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n, round(avg(b.{f} - a.{f}), 6) AS mean_shift, median(b.{f} - a.{f})::DOUBLE AS median_shift, round(avg((b.{f} <> a.{f})::INT), 6) AS share_changed FROM a JOIN b USING (page_id)" for f in _SHIFTED))
+def paired_shift(spark, sf):
+    """How features of the same row differ between two versions of it."""
+    changed = table(spark, sf, "pages").select("page_id", F.expr("concat(url, repeat('-', cast(page_id % 3 as int)), page_id)").alias("url"))
+    second = urls.with_features(urls.with_parts(changed)).select("page_id", *(F.col(f).alias(f"new_{f}") for f in _SHIFTED))
+    both = page_features(spark, sf).select("page_id", *_SHIFTED).join(second, "page_id")
+    long = both.select(F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), (F.col(f"new_{f}") - F.col(f)).alias("shift")) for f in _SHIFTED))))
+    return long.groupBy("feature").agg(F.count("*").alias("n"), r6(F.avg("shift"), "mean_shift"), F.median("shift").alias("median_shift"), r6(F.avg((F.col("shift") != 0).cast("int")), "share_changed"))
+
+
 # ---------------------------------------------------------------- checks and images
 
 
