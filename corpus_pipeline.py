@@ -31,10 +31,11 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat earlier ones are cut out; all documents stay, with the text that is left.
 
-    Bytes of a character that was cut apart are left out, n_chars counts the new text.
+    Bytes of a character that was cut apart, and with them any U+FFFD of such a
+    text, are left out; n_chars counts the new text.
     """
     cut = suffixes.drop_repeats(docs)
-    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
     text = F.when(F.size("spans") == 0, F.col("kept").cast("string")).otherwise(text)
     rows = cut.select("doc_id", text.alias("text"), "rest")
     columns = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("bigint")}

@@ -31,7 +31,7 @@ BYTE_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 WORD_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 #: White space as Unicode has it; Python also counts the four separators U+001C to U+001F.
-SPACE = r"[\t-\r \x85\xa0  -     　]"
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 #: Runs and pieces remembered by a task in each of two generations, and the longest that are worth it.
 REMEMBERED, WORTH = 250_000, 48
