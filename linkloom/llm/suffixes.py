@@ -28,7 +28,7 @@ from linkloom.llm.jaccard import partition_keys
 
 LENGTH, GRAM = 100, 24
 #: Bytes of a shard's suffix array.
-SHARD = 3 << 20
+SHARD = 1 << 20
 FIRST = 7  # symbols in a first sort key
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
