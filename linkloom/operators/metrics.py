@@ -98,15 +98,32 @@ def with_rate(df: DataFrame, k: str, n: str, name: str) -> DataFrame:
 
 
 def mcnemar(pairs: DataFrame, *by: str) -> DataFrame:
-    """Exact two-sided test of (a_right, b_right) rows: discordant counts and p (1 without any), computed in logarithms."""
+    """Exact two-sided test of (a_right, b_right) rows: discordant counts and p (1 without any)."""
     counts = pairs.groupBy(*by).agg(
         F.count_if(F.col("a_right") & ~F.col("b_right")).alias("a_right_b_wrong"), F.count_if(~F.col("a_right") & F.col("b_right")).alias("a_wrong_b_right")
     )
-    # running log of C(n, i), kept with the largest term taken out
-    p = """if(_n = 0, 1D, least(1D, 2 * aggregate(sequence(0L, _k), named_struct('term', -_n * ln(2D), 'sum', 0D),
-           (s, i) -> named_struct('term', s.term + ln((_n - i) / (i + 1D)), 'sum', s.sum + exp(s.term)), s -> s.sum)))"""
+    return with_mcnemar_p(counts)
+
+
+def with_mcnemar_p(counts: DataFrame) -> DataFrame:
+    """Adds p_exact to rows of discordant counts, in time and space of the root of the counts."""
     table = counts.withColumns({"_n": F.col("a_right_b_wrong") + F.col("a_wrong_b_right"), "_k": F.least("a_right_b_wrong", "a_wrong_b_right")})
-    return table.withColumn("p_exact", F.expr(p)).drop("_n", "_k")
+    # terms from k down, as shares of the first; the one 6 sqrt(n) further on is below exp(-72) of it
+    shares = """aggregate(sequence(0L, least(_k, bigint(ceil(6 * sqrt(_n))) + 20)), named_struct('term', 1D, 'sum', 0D),
+                (s, i) -> named_struct('term', s.term * ((_k - i) / (_n - _k + i + 1D)), 'sum', s.sum + s.term), s -> s.sum)"""
+    # log of C(n, k) / 2^n by Stirling's series, with the large terms taken together
+    d = "(2D * _k / _n - 1)"
+    first = f"""if(_k = 0, -_n * ln(2D), {_stirling("_n")} - {_stirling("_k")} - {_stirling("(_n - _k)")} + 0.5 * ln(_n / (2 * pi() * _k * (_n - _k)))
+                - _n / 2D * ((1 + {d}) * log1p({d}) + (1 - {d}) * log1p(-{d})))"""
+    return table.withColumn("p_exact", F.expr(f"if(_n = 0, 1D, least(1D, 2 * exp({first}) * {shares}))")).drop("_n", "_k")
+
+
+def _stirling(x: str) -> str:
+    """SQL of ln x! less (x + 1/2) ln x - x + ln(2 pi) / 2, for x from 1."""
+    small = f"ln(factorial(int(least({x}, 15L)))) - ({x} + 0.5D) * ln({x}) + {x} - 0.5D * ln(2 * pi())"
+    y = f"double({x})"
+    series = f"(1 / 12D - (1 / 360D - (1 / 1260D - 1 / 1680D / {y} / {y}) / {y} / {y}) / {y} / {y}) / {y}"
+    return f"if({x} <= 15, {small}, {series})"
 
 
 def holm(tests: DataFrame, p: str, key: str) -> DataFrame:

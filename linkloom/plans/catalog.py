@@ -426,18 +426,35 @@ _MCNEMAR = """(SELECT l_shipmonth, b, c, CASE WHEN b + c = 0 THEN 1.0 ELSE least
  (SELECT month(l_shipdate)::INT AS l_shipmonth, count_if(l_quantity > 25 AND l_discount <= 0.05)::BIGINT AS b, count_if(l_quantity <= 25 AND l_discount > 0.05)::BIGINT AS c FROM lineitem WHERE l_suppkey % 10 = 3 GROUP BY 1))"""
 
 
-def monthly_tests(spark, sf) -> DataFrame:
-    rows = table(spark, sf, "lineitem").where("l_suppkey % 10 = 3").select(F.month("l_shipdate").alias("l_shipmonth"), (F.col("l_quantity") > 25).alias("a_right"), (F.col("l_discount") > 0.05).alias("b_right"))
+_TENTH = "l_suppkey % 10 = 3"
+
+
+def monthly_tests(spark, sf, where: str = "true") -> DataFrame:
+    rows = table(spark, sf, "lineitem").where(where).select(F.month("l_shipdate").alias("l_shipmonth"), (F.col("l_quantity") > 25).alias("a_right"), (F.col("l_discount") > 0.05).alias("b_right"))
     return metrics.mcnemar(rows, "l_shipmonth")
 
 
 @query(f"SELECT l_shipmonth, b AS a_right_b_wrong, c AS a_wrong_b_right, round(p, 6) AS p_exact FROM {_MCNEMAR}")
 def mcnemar_exact(spark, sf):
-    return monthly_tests(spark, sf).withColumn("p_exact", F.round("p_exact", 6))
+    """A tenth of the suppliers, as in its SQL; mcnemar_exact_whole takes all lines."""
+    return monthly_tests(spark, sf, _TENTH).withColumn("p_exact", F.round("p_exact", 6))
 
 
 @query(f"SELECT l_shipmonth, round(max(s) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 5) AS p_holm FROM (SELECT l_shipmonth, k, least(1.0, (count(*) OVER () - k + 1) * p) AS s FROM (SELECT *, row_number() OVER (ORDER BY p, l_shipmonth) AS k FROM (SELECT l_shipmonth, round(p, 9) AS p FROM {_MCNEMAR})))")
 def holm_adjust(spark, sf):
+    """A tenth of the suppliers, as in its SQL; holm_adjust_whole takes all lines."""
+    return metrics.holm(monthly_tests(spark, sf, _TENTH).withColumn("p_exact", F.round("p_exact", 9)), "p_exact", "l_shipmonth").select("l_shipmonth", F.round("p_holm", 5).alias("p_holm"))
+
+
+@query()
+def mcnemar_exact_whole(spark, sf):
+    """All lines; SQL would sum lists as long as the table, so tests use exact integers."""
+    return monthly_tests(spark, sf).withColumn("p_exact", F.round("p_exact", 6))
+
+
+@query()
+def holm_adjust_whole(spark, sf):
+    """All lines; no SQL twin, as for mcnemar_exact_whole."""
     return metrics.holm(monthly_tests(spark, sf).withColumn("p_exact", F.round("p_exact", 9)), "p_exact", "l_shipmonth").select("l_shipmonth", F.round("p_holm", 5).alias("p_holm"))
 
 

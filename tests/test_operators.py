@@ -1,8 +1,12 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import checks, clean, explain, groups, images, metrics
+from linkloom.plans import catalog
 from linkloom.sources import files
 
 
@@ -64,6 +68,38 @@ def test_mcnemar_and_holm(spark):
     assert adjusted == sorted(adjusted) and adjusted[0] == pytest.approx(6 / 256)
 
 
+def test_mcnemar_of_many_pairs(spark):
+    """Against exact integers; two billion pairs would need an array of a billion terms if each had one."""
+    counts = [(0, 5), (1, 1), (3, 40), (15, 16), (16, 17), (17, 60), (480, 520), (5000, 5200), (49000, 50000)]
+    pairs = [(i, x, not x, n) for i, c in enumerate(counts) for x, n in zip((True, False), c, strict=True)]
+    rows = spark.createDataFrame(pairs, "k int, a_right boolean, b_right boolean, n long").withColumn("n", F.explode(F.expr("array_repeat(0, int(n))")))
+    got = {r["k"]: r["p_exact"] for r in metrics.mcnemar(rows, "k").collect()}
+    for i, (b, c) in enumerate(counts):
+        term, total = 1, 0
+        for j in range(min(b, c) + 1):
+            total += term
+            term = term * (b + c - j) // (j + 1)
+        assert got[i] == pytest.approx(min(1.0, float(Fraction(2 * total, 2 ** (b + c)))), rel=1e-9), (b, c)
+    large = spark.createDataFrame([(10**9, 10**9 + 60000)], "a_right_b_wrong long, a_wrong_b_right long")
+    z = (60000 - 1) / math.sqrt(2 * 10**9 + 60000)
+    assert metrics.with_mcnemar_p(large).first()["p_exact"] == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-4)
+
+
+def test_whole_mcnemar_counts_every_line(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.month("l_shipdate").alias("m"), "l_quantity", "l_discount").toPandas()
+    a, b = lines["l_quantity"] > 25, lines["l_discount"] > 0.05
+    want = {m: (int((a & ~b)[own].sum()), int((~a & b)[own].sum())) for m, own in lines.groupby("m").groups.items()}
+    got = catalog.mcnemar_exact_whole(spark, sf).collect()
+    assert {r["l_shipmonth"]: (r["a_right_b_wrong"], r["a_wrong_b_right"]) for r in got} == want
+    p = {m: min(1.0, 2 * sum(math.comb(x + y, i) for i in range(min(x, y) + 1)) / 2 ** (x + y)) for m, (x, y) in want.items()}
+    assert all(r["p_exact"] == pytest.approx(p[r["l_shipmonth"]], abs=1e-6) for r in got)
+    least = 0.0
+    adjusted = {r["l_shipmonth"]: r["p_holm"] for r in catalog.holm_adjust_whole(spark, sf).collect()}
+    for k, m in enumerate(sorted(p, key=p.get)):
+        least = max(least, min(1.0, (len(p) - k) * p[m]))
+        assert adjusted[m] == pytest.approx(least, abs=2e-5)
+
+
 def test_matched_classes_are_equal(spark):
     rows = spark.range(400).select("id", (F.col("id") % 97).alias("n"), (F.col("id") % 3 == 0).cast("int").alias("label"))
     got = {(r["bin"], r["label"]): r["count"] for r in metrics.matched(rows, "n", "label", "id", 42).groupBy("bin", "label").count().collect()}
