@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from linkloom.sources.scratch import stored
 #: Templates used so often connect rows; more often they are generic and only reported.
 LEAST, MOST = 3, 30
 TARGETS = {"test": 0.15, "val": 0.15}
+#: Groups of one candidate in a task, about.
+RANGE = 1 << 14
 
 
 def split_groups(rows: DataFrame, key: str, domain: str, template: str, least: int = LEAST, most: int = MOST) -> DataFrame:
@@ -40,37 +44,92 @@ def numbered_groups(grouped: DataFrame) -> DataFrame:
     return distinct.withColumn("name", F.format_string("G%05d", F.row_number().over(Window.orderBy("group_id")) - 1))
 
 
-def greedy_candidates(groups: DataFrame, candidates: int, seed: int, total: int) -> DataFrame:
-    """(candidate, group_id, split): for each candidate, groups in hashed order fill test, then val, each class up to its target.
-
-    The fold has state, so it is one grouped pandas function for each candidate.
+def _ordered(groups: DataFrame, candidates: list[int], seed: int, ranges: int) -> DataFrame:
+    """Every group with every candidate, its hash there (`_order`) and the number of the range of hashes (`_range`)."""
+    numbers = groups.sparkSession.createDataFrame([(c,) for c in candidates], "candidate int")
+    tries = groups.select("group_id", "zeros", "ones").crossJoin(F.broadcast(numbers)).withColumn("_order", F.md5(F.concat_ws("|", F.lit(str(seed)), "candidate", "group_id")))
+    tries = tries.withColumn("_range", F.expr(f"cast(cast(conv(substr(_order, 1, 8), 16, 10) as bigint) * {ranges} div 4294967296 as int)"))
+    return stored(tries.repartitionByRange("_range").sortWithinPartitions("_range"), "tries") if ranges > 1 else tries
+
+
+def _placed(own: pd.DataFrame, state: list[int], half: dict[str, float]) -> list[str]:
+    """The split of each group of `own`, in hashed order; `state` (zeros, ones and largest group of each split) goes on."""
+    out = []
+    for zeros, ones in zip(own["zeros"].tolist(), own["ones"].tolist(), strict=True):
+        for k, (s, target) in enumerate(half.items()):
+            if state[3 * k] + zeros <= target and state[3 * k + 1] + ones <= target:
+                state[3 * k] += zeros
+                state[3 * k + 1] += ones
+                state[3 * k + 2] = max(state[3 * k + 2], zeros + ones)
+                out.append(s)
+                break
+        else:
+            out.append("train")
+    return out
+
+
+def _folded(groups: DataFrame, candidates: list[int], seed: int, total: int, assign: bool, most: int) -> tuple[dict[int, list[int]], list[DataFrame]]:
+    """What each candidate has in test and val at the end (_placed's state) and, with `assign`, the tables of splits by group.
+
+    The fold has state, so it goes by ranges of hashes of about `most` groups: a
+    task has one range of a candidate, and only the state passes from range to
+    range. When no candidate can take a further group, the rest is train.
     """
-    numbers = groups.sparkSession.range(candidates).select(F.col("id").cast("int").alias("candidate"))
-    tries = groups.crossJoin(F.broadcast(numbers)).withColumn("_order", F.md5(F.concat_ws("|", F.lit(str(seed)), "candidate", "group_id")))
     half = {s: share * total / 2 for s, share in TARGETS.items()}
+    ranges = max(1, -(-groups.count() // most))
+    tries = _ordered(groups, candidates, seed, ranges)
+    state = {c: [0] * (3 * len(half)) for c in candidates}
+    tables = []
+    for r in range(ranges):
+        before = state  # the function below is sent before the name moves on
+
+        def fold(own: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values(["_order", "group_id"])
+            now = list(before[int(own["candidate"].iloc[0])])  # noqa: B023
+            splits = _placed(own, now, half)
+            if not assign:
+                own, splits = own.iloc[-1:], splits[-1:]
+            return own.assign(split=splits, state=[*[None] * (len(own) - 1), now])[["candidate", "group_id", "zeros", "ones", "split", "state"]]
+
+        part = tries.where(F.col("_range") == r).groupBy("candidate").applyInPandas(fold, "candidate int, group_id bigint, zeros bigint, ones bigint, split string, state array<bigint>")
+        if assign:
+            part = stored(part, "splits")
+            tables.append(part.drop("state"))
+        state = before | {x["candidate"]: list(x["state"]) for x in part.where("state is not null").select("candidate", "state").collect()}
+        if all(t - now[3 * k + x] < 1 for now in state.values() for k, t in enumerate(half.values()) for x in (0, 1)):
+            if assign:
+                tables.append(tries.where(F.col("_range") > r).select("candidate", "group_id", "zeros", "ones", F.lit("train").alias("split")))
+            break
+    return state, tables
+
 
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["_order", "group_id"])
-        filled = {s: [0, 0] for s in half}
-        out = []
-        for zeros, ones in zip(own["zeros"], own["ones"], strict=True):
-            for s, target in half.items():
-                if filled[s][0] + zeros <= target and filled[s][1] + ones <= target:
-                    filled[s][0] += zeros
-                    filled[s][1] += ones
-                    out.append(s)
-                    break
-            else:
-                out.append("train")
-        return own.assign(split=out)[["candidate", "group_id", "zeros", "ones", "split"]]
+def greedy_candidates(groups: DataFrame, candidates: int | list[int], seed: int, total: int, most: int = RANGE) -> DataFrame:
+    """(candidate, group_id, zeros, ones, split): for each candidate, groups in hashed order fill test, then val, each class up to its target."""
+    numbers = list(range(candidates)) if isinstance(candidates, int) else candidates
+    _, tables = _folded(groups, numbers, seed, total, True, most)
+    return reduce(DataFrame.unionByName, tables)
 
-    return tries.groupBy("candidate").applyInPandas(fold, "candidate int, group_id bigint, zeros bigint, ones bigint, split string")
+
+def searched_candidates(groups: DataFrame, candidates: int, seed: int, most: int = RANGE) -> DataFrame:
+    """The score of each candidate (see score_candidates), without writing out its splits."""
+    whole = groups.agg(F.coalesce(F.sum("zeros"), F.lit(0)).alias("zeros"), F.coalesce(F.sum("ones"), F.lit(0)).alias("ones")).first()
+    state, _ = _folded(groups, list(range(candidates)), seed, whole["zeros"] + whole["ones"], False, most)
+    rows = []
+    for c, now in state.items():
+        parts = {s: now[3 * k : 3 * k + 3] for k, s in enumerate(TARGETS)}
+        parts["train"] = [whole[x] - sum(p[k] for p in parts.values()) for k, x in enumerate(("zeros", "ones"))] + [0]  # the largest group of train does not count
+        rows += [(c, s, zeros + ones, ones, largest) for s, (zeros, ones, largest) in parts.items() if zeros + ones]
+    return score_splits(groups.sparkSession.createDataFrame(rows, "candidate int, split string, n bigint, ones bigint, largest bigint"))
 
 
 def score_candidates(assigned: DataFrame, tolerance: float = 0.03, largest: float = 0.25) -> DataFrame:
     """The split objective of each candidate; lower is better."""
     size = F.col("zeros") + F.col("ones")
-    per = assigned.groupBy("candidate", "split").agg(F.sum(size).alias("n"), F.sum("ones").alias("ones"), F.max(size).alias("largest"))
+    return score_splits(assigned.groupBy("candidate", "split").agg(F.sum(size).alias("n"), F.sum("ones").alias("ones"), F.max(size).alias("largest")), tolerance, largest)
+
+
+def score_splits(per: DataFrame, tolerance: float = 0.03, largest: float = 0.25) -> DataFrame:
+    """The same from the rows, ones and largest group of each split of each candidate."""
     per = per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("candidate")))
     target = F.when(F.col("split") == "train", 1 - sum(TARGETS.values())).otherwise(F.when(F.col("split") == "test", TARGETS["test"]).otherwise(TARGETS["val"]))
     positive = F.col("ones") / F.col("n")
@@ -83,8 +142,8 @@ def score_candidates(assigned: DataFrame, tolerance: float = 0.03, largest: floa
 
 
 def best_candidate(scores: DataFrame) -> DataFrame:
-    """The lowest score; ties go to the lowest number."""
-    return scores.agg(F.min_by("candidate", F.struct("score", "candidate")).alias("candidate"), F.min("score").alias("score"))
+    """The lowest score; ties (within rounding of sums) go to the lowest number."""
+    return scores.withColumn("score", F.round("score", 12)).agg(F.min_by("candidate", F.struct("score", "candidate")).alias("candidate"), F.min("score").alias("score"))
 
 
 def stratified_folds(per_group: DataFrame, folds: int, seed: int) -> DataFrame:

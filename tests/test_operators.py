@@ -1,3 +1,4 @@
+import hashlib
 import math
 from fractions import Fraction
 
@@ -119,6 +120,45 @@ def test_split_groups_and_candidates(spark):
     assert [r["name"] for r in groups.numbered_groups(per).orderBy("group_id").limit(2).collect()] == ["G00000", "G00001"]
 
 
+def folded(per, candidate, total):
+    """(group_id -> split) of one candidate, by hand."""
+    filled, out = {"test": [0, 0], "val": [0, 0]}, {}
+    for _, g, z, o in sorted((hashlib.md5(f"42|{candidate}|{g}".encode()).hexdigest(), g, z, o) for g, z, o in per):
+        out[g] = next((s for s, f in filled.items() if f[0] + z <= 0.075 * total and f[1] + o <= 0.075 * total), "train")
+        if out[g] != "train":
+            filled[out[g]][0] += z
+            filled[out[g]][1] += o
+    return out
+
+
+@pytest.mark.parametrize("least", [0, 3])
+def test_candidates_in_ranges(spark, least):
+    """Ranges of a few groups give what one fold of all gives; with groups of 3 and more, splits stay open to the end."""
+    rng = np.random.default_rng(least)
+    per = [(i, int(z) + least, int(o) + least) for i, (z, o) in enumerate(rng.integers(0, 4, (150, 2))) if z + o]
+    total = sum(z + o for _, z, o in per)
+    df = spark.createDataFrame(per, "group_id long, zeros long, ones long")
+    tried = groups.greedy_candidates(df, [0, 3], 42, total, most=20)
+    got = {}
+    for r in tried.collect():
+        assert got.setdefault(r["candidate"], {}).setdefault(r["group_id"], r["split"]) == r["split"]
+    assert got == {c: folded(per, c, total) for c in (0, 3)} and tried.count() == 2 * len(per)
+    scores = {r["candidate"]: r["score"] for r in groups.searched_candidates(df, 8, 42, most=20).collect()}
+    want = {r["candidate"]: r["score"] for r in groups.score_candidates(groups.greedy_candidates(df, 8, 42, total)).collect()}
+    assert scores == pytest.approx(want) and len(scores) == 8
+
+
+def test_best_split_of_all_candidates(spark, sf):
+    scores = catalog.split_candidates(spark, sf).collect()
+    assert sorted(r["candidate"] for r in scores) == list(range(500))
+    (chosen,) = [r["candidate"] for r in scores if r["chosen"]]
+    assert chosen == min((r["score"], r["candidate"]) for r in scores)[1]
+    per = [(r["group_id"], r["zeros"], r["ones"]) for r in catalog.customer_groups(spark, sf).collect()]
+    best = catalog.best_split(spark, sf).collect()
+    assert {r["candidate"] for r in best} == {chosen} and len(best) == len(per)
+    assert {r["group_id"]: r["split"] for r in best} == folded(per, chosen, sum(z + o for _, z, o in per))
+
+
 def test_contributions_add_up(spark):
     rows = spark.createDataFrame([(i, float(i % 7), float(i % 3)) for i in range(50)], "id long, url_length double, url_entropy double")
     weights = {"url_length": 0.5, "url_entropy": -1.0}
