@@ -386,8 +386,7 @@ def repeated_strings(around: DataFrame, keys: list[int], length: int) -> DataFra
             by = np.lexsort((place, number))
             head = by[np.flatnonzero(np.r_[True, number[by][1:] != number[by][:-1]])]  # each text's earliest place
             flags = repeats(texts, place[head], low[head], length)
-            is_head = np.zeros(len(node), bool)
-            is_head[head] = True
+            is_head = place == place[head][number]  # rows of equal id and text stand at one place
             spans: list[tuple[int, int, int]] = []
             for n, f, i, own in zip(node.tolist(), first.tolist(), number.tolist(), is_head.tolist(), strict=True):
                 if not own:
