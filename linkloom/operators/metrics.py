@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +136,53 @@ def holm(tests: DataFrame, p: str, key: str) -> DataFrame:
     return stepped.withColumn("p_holm", F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
+def resampled(units: DataFrame, unit: str, draws: int, seed: int) -> DataFrame:
+    """(draw, `unit`, times): how often each draw takes a unit; units are numbered in hashed order, by ranges of the hash."""
+    hashes = units.withColumn("_hash", hashed(seed, unit)).withColumn("_range", F.substring("_hash", 1, 2))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # at most 256 rows
+    starts = hashes.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_hash", unit)) - 1
+    numbered = hashes.withColumn("slot", inside).join(F.broadcast(starts), "_range").select(unit, (F.col("slot") + F.col("_start")).alias("slot"))
+    count = units.agg(F.count("*").alias("n_units"))
+    drawn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw"), F.col("at"))), 1, 8), 16, 10).cast("bigint"), F.col("n_units"))
+    slots = count.where("n_units > 0").select("n_units", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("n_units", "draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_units") - 1)).alias("at"))
+    return slots.select("draw", drawn.alias("slot")).groupBy("draw", "slot").agg(F.count("*").alias("times")).join(numbered, "slot").select("draw", unit, "times")
+
+
+def bootstrap_auc(rows: DataFrame, unit: str, label: str, score: str, draws: int, seed: int) -> DataFrame:
+    """95 % interval of the area under the ROC curve over the resamples of bootstrap(); draws of one class do not count.
+
+    Scores are counted by unit. A task has one range of scores and a hundred
+    draws; what lies in lower ranges is added from totals of ranges.
+    """
+    weights = resampled(rows.select(unit).distinct(), unit, draws, seed)
+    cells = rows.where(F.col(score).isNotNull()).groupBy(F.col(unit).alias("unit"), F.col(score).cast("double").alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("positives"))
+    cuts = sorted(set(cells.approxQuantile("score", [i / ranks.RANGES for i in range(1, ranks.RANGES)], 0.25 / ranks.RANGES)))
+    cells = cells.withColumn("range", F.expr(f"size(filter(array({', '.join(f'{c!r}D' for c in cuts)}), c -> c <= score))") if cuts else F.lit(0))
+    block = 100
+    parts = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // block))))
+    asked = weights.withColumnRenamed(unit, "unit").join(cells.select("unit", F.col("range").alias("part")).distinct(), "unit").withColumn("block", F.expr(f"int(draw div {block})"))
+
+    def counted(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(asked):
+            return pd.DataFrame({"draw": [], "range": [], "pairs": [], "p": [], "q": []})
+        own = own.sort_values("score")
+        units = pd.Index(own["unit"].unique())
+        draw, at = np.unique(asked["draw"].to_numpy(), return_inverse=True)
+        times = np.zeros((len(draw), len(units)))
+        times[at, units.get_indexer(asked["unit"])] = asked["times"]
+        of = units.get_indexer(own["unit"])
+        first = np.flatnonzero(np.r_[True, np.diff(own["score"].to_numpy()) != 0])
+        p, n = (np.add.reduceat(times[:, of] * own[c].to_numpy(), first, 1) for c in ("positives", "n"))
+        q = n - p
+        return pd.DataFrame({"draw": draw, "range": own["range"].iloc[0], "pairs": (p * (np.cumsum(q, 1) - q / 2)).sum(1), "p": p.sum(1), "q": q.sum(1)})
+
+    sums = parts.groupBy("range", "block").cogroup(asked.groupBy("part", "block")).applyInPandas(counted, "draw int, range int, pairs double, p double, q double")
+    lower = F.coalesce(F.sum("q").over(Window.partitionBy("draw").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    found = sums.withColumn("pairs", F.col("pairs") + F.col("p") * lower).groupBy("draw").agg(F.try_divide(F.sum("pairs"), F.sum("p") * F.sum("q")).alias("value")).where("value is not null")
+    return found.agg(F.lit("roc_auc").alias("metric"), F.count("*").alias("draws"), F.percentile("value", F.lit(0.025)).alias("ci95_low"), F.percentile("value", F.lit(0.975)).alias("ci95_high"))
+
+
 def bootstrap(rows: DataFrame, unit: str, label: str, predicted: str, draws: int, seed: int) -> DataFrame:
     """95 % intervals of rates over `draws` resamples of units with replacement.
 
@@ -142,12 +191,8 @@ def bootstrap(rows: DataFrame, unit: str, label: str, predicted: str, draws: int
     """
     y, p = F.col(label) == 1, F.col(predicted) == 1
     units = rows.groupBy(unit).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn"))
-    numbered = units.withColumn("slot", F.row_number().over(Window.orderBy(hashed(seed, unit), unit)) - 1)
-    count = units.agg(F.count("*").alias("n_units"))
-    drawn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw"), F.col("at"))), 1, 8), 16, 10).cast("bigint"), F.col("n_units"))
-    slots = count.select("n_units", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("n_units", "draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_units") - 1)).alias("at"))
-    chosen = slots.select("draw", drawn.alias("slot")).groupBy("draw", "slot").agg(F.count("*").alias("times"))
-    sums = chosen.join(numbered, "slot").groupBy("draw").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "tn", "fn")))
+    weights = resampled(units.select(unit), unit, draws, seed)
+    sums = weights.join(units, unit).groupBy("draw").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "tn", "fn")))
     found = sums.select("draw", *(e.alias(n) for n, e in rates(*(F.col(c) for c in ("tp", "fp", "tn", "fn"))).items() if n in ("precision", "recall", "f1")))
     long = found.unpivot(["draw"], ["precision", "recall", "f1"], "metric", "value")
     return long.groupBy("metric").agg(F.count("*").alias("draws"), F.percentile("value", F.lit(0.025)).alias("ci95_low"), F.percentile("value", F.lit(0.975)).alias("ci95_high"))

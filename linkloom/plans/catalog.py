@@ -458,6 +458,10 @@ def holm_adjust_whole(spark, sf):
     return metrics.holm(monthly_tests(spark, sf).withColumn("p_exact", F.round("p_exact", 9)), "p_exact", "l_shipmonth").select("l_shipmonth", F.round("p_holm", 5).alias("p_holm"))
 
 
+def judged_lengths(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf, "labels"), "doc_id").withColumn("predicted", (F.col("n_chars") >= 400).cast("bigint"))
+
+
 _DRAWS = 50
 
 
@@ -470,8 +474,16 @@ v AS (SELECT draw, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(t
 l AS (SELECT 'precision' AS metric, precision AS x FROM v UNION ALL SELECT 'recall', recall FROM v UNION ALL SELECT 'f1', f1 FROM v)
 SELECT metric, count(*) AS draws, round(quantile_cont(x, 0.025), 6) AS ci95_low, round(quantile_cont(x, 0.975), 6) AS ci95_high FROM l GROUP BY metric""")
 def bootstrap_ci(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf, "labels"), "doc_id").withColumn("predicted", (F.col("n_chars") >= 400).cast("bigint"))
-    return metrics.bootstrap(rows, "source", "quality", "predicted", _DRAWS, SEED).select("metric", "draws", r6("ci95_low", "ci95_low"), r6("ci95_high", "ci95_high"))
+    """50 draws, as in its SQL; bootstrap_ci_whole takes 2,000 and adds the area under the curve."""
+    return metrics.bootstrap(judged_lengths(spark, sf), "source", "quality", "predicted", _DRAWS, SEED).select("metric", "draws", r6("ci95_low", "ci95_low"), r6("ci95_high", "ci95_high"))
+
+
+@query()
+def bootstrap_ci_whole(spark, sf):
+    """2,000 draws, with the area under the curve of the length; no SQL twin, tests resample by hand."""
+    rows = judged_lengths(spark, sf)
+    rates = metrics.bootstrap(rows, "source", "quality", "predicted", 2000, SEED)
+    return rates.unionByName(metrics.bootstrap_auc(rows, "source", "quality", "n_chars", 2000, SEED)).select("metric", "draws", r6("ci95_low", "ci95_low"), r6("ci95_high", "ci95_high"))
 
 
 @query("""WITH e AS (SELECT list_distinct(quantile_cont(n_chars, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS edges FROM documents)

@@ -101,6 +101,30 @@ def test_whole_mcnemar_counts_every_line(spark, sf):
         assert adjusted[m] == pytest.approx(least, abs=2e-5)
 
 
+def test_whole_bootstrap_by_hand(spark, sf):
+    """Two thousand resamples of the sources, rows repeated as often as drawn."""
+    rows = catalog.judged_lengths(spark, sf).select("source", "n_chars", "quality", "predicted").toPandas()
+
+    def md5(*parts):
+        return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+
+    units = sorted(rows["source"].unique(), key=lambda u: (md5(42, u), u))
+    parts = [rows[rows["source"] == u].to_numpy()[:, 1:].astype(float) for u in units]
+    found = {"precision": [], "recall": [], "f1": [], "roc_auc": []}
+    for draw in range(2000):
+        x, y, p = np.concatenate([parts[int(md5(42, draw, at)[:8], 16) % len(units)] for at in range(len(units))]).T
+        tp, fp, fn = ((y == 1) & (p == 1)).sum(), ((y == 0) & (p == 1)).sum(), ((y == 1) & (p == 0)).sum()
+        for name, k, n in (("precision", tp, tp + fp), ("recall", tp, tp + fn), ("f1", 2 * tp, 2 * tp + fp + fn)):
+            found[name].append(k / n if n else 0.0)
+        above = x[y == 1][:, None] - x[y == 0]
+        if above.size:
+            found["roc_auc"].append(((above > 0).sum() + (above == 0).sum() / 2) / above.size)
+    got = {r["metric"]: (r["draws"], r["ci95_low"], r["ci95_high"]) for r in catalog.bootstrap_ci_whole(spark, sf).collect()}
+    assert got.keys() == found.keys()
+    for name, values in found.items():
+        assert got[name] == pytest.approx((len(values), *np.percentile(values, [2.5, 97.5])), abs=2e-6), name
+
+
 def test_matched_classes_are_equal(spark):
     rows = spark.range(400).select("id", (F.col("id") % 97).alias("n"), (F.col("id") % 3 == 0).cast("int").alias("label"))
     got = {(r["bin"], r["label"]): r["count"] for r in metrics.matched(rows, "n", "label", "id", 42).groupBy("bin", "label").count().collect()}
