@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from linkloom.llm import packing
 
-RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+JSON = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def sequences(plan, counts, capacity):
@@ -44,6 +44,37 @@ def test_close_to_the_bound():
         assert sequences(packing.plan_sequences(counts, 2048), counts, 2048) <= 1.005 * -(-sum(k * n for k, n in counts.items()) // 2048) + 1
 
 
+def test_lengths_are_rounded_to_few_sizes():
+    rng = random.Random(5)
+    counts = collections.Counter(rng.randint(342, 2047) for _ in range(20_000))
+    sizes, many = packing.grouped(counts, packing.GROUPS)
+    assert len(sizes) <= packing.GROUPS < len(counts) / 20 and many.sum() == 20_000 and many.max() < 2 * 20_000 / packing.GROUPS
+    columns, times = packing.configurations(sizes, many, 2048)
+    assert (sizes @ columns <= 2048).all() and np.allclose(columns @ times, many)
+    bound = (sizes @ many) / 2048
+    assert bound - 1e-6 <= times.sum() <= 1.05 * bound
+
+
+def test_configurations_are_optimal():
+    # thirds and halves: two sequences of 500 + 500, four of 333 * 3
+    columns, times = packing.configurations(np.array([500, 333]), np.array([4, 12]), 1000)
+    assert abs(times.sum() - 6) < 1e-6
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        sizes = np.sort(rng.choice(np.arange(4, 30), 4, replace=False))[::-1]
+        worth = rng.random(4)
+        best = packing.best_configuration(sizes, worth, 40)
+        grid = np.stack(np.meshgrid(*[np.arange(11)] * 4), -1).reshape(-1, 4)
+        assert best @ sizes <= 40 and best @ worth >= (grid[grid @ sizes <= 40] @ worth).max() - 1e-9
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 1_000_000, " " * 1_000_000 + "b", "\n" * 1_000_000, "x" * 1_000_000, " <|endoftext|>" + "\t " * 500_000 + "<|endoftext|>", "ab " * 300_000])
+def test_long_runs(text):
+    with open(JSON, encoding="utf-8") as f:
+        encoder = packing.Encoder(packing.Vocabulary(f.read()))
+    assert encoder.encode(text).tolist() == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+
+
 def test_cuts():
     assert packing.cut(2048, 2048) == [(0, 2048)] and packing.cut(2049, 2048) == [(0, 1), (1, 2048)] and packing.cut(4096, 2048) == [(0, 2048), (2048, 2048)]
 
@@ -52,7 +83,7 @@ def test_cuts():
 def test_documents_are_whole(request, table):
     docs = request.getfixturevalue(table)
     library = Tokenizer.from_file(JSON)
-    rows = packing.pack_documents(docs, RANKS, 64).collect()
+    rows = packing.pack_documents(docs, JSON, 64).collect()
     want = collections.Counter()
     for r in docs.collect():
         ids = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
