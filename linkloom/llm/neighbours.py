@@ -1,7 +1,7 @@
 """Approximate nearest neighbours on robust-pruned directed graphs.
 
 Distinct vectors are dealt to shards of bounded size. Each shard builds a graph:
-greedy beam searches from a few entry points propose neighbours of every vector,
+greedy beam searches from spread entry points propose neighbours of every vector,
 pruning with a relaxed distance keeps edges in different directions, and edges
 are added both ways (twice over all vectors, the second time more relaxed). Every
 query is then beam-searched in every shard, in blocks of bounded size, and each
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import stored
 
-#: Vectors of a shard and queries of a block, about; edges of a vector; beam widths of building and searching.
-SHARD, BLOCK, DEGREE, BUILD_BEAM, BEAM, ENTRIES = 4096, 4096, 24, 48, 112, 8
+#: Vectors of a shard and queries of a block, about; edges of a vector; beam widths of building and searching; entry points, so many that separate clusters are met.
+SHARD, BLOCK, DEGREE, BUILD_BEAM, BEAM, ENTRIES = 4096, 4096, 24, 48, 112, 64
 RELAXED = (1.0, 1.2)
 BATCH = 256
 
@@ -167,9 +167,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, shard: int = SHARD, block
             q = np.stack(some["vector"].to_list()).astype(float)
             nodes, _ = beam_search(x, graph, entries, q, BEAM)
             score = np.sqrt(distances(x, nodes, q))
-            for query, found, far in zip(some["vec_id"], nodes, score, strict=True):
-                pairs = [(d, i) for d, node in zip(far[: k + 1].tolist(), found[: k + 1].tolist(), strict=True) if node >= 0 for i in ids[node] if i != query]
-                out += [(query, i, d) for d, i in sorted(set(pairs))[:k]]
+            # of k + 1 nodes at most one has no id but the query's; of those that are as far as the last of them, ids decide
+            limit = score[:, min(k, score.shape[1] - 1)]
+            for query, found, far in zip(some["vec_id"], np.where(score <= limit[:, None], nodes, -1), score, strict=True):
+                pairs = {(d, i) for d, node in zip(far.tolist(), found.tolist(), strict=True) if node >= 0 for i in ids[node] if i != query}
+                out += [(query, i, d) for d, i in sorted(pairs)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     found = parts.groupBy("dim", "shard", "block").cogroup(queries.groupBy("dim", "shard", "block")).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
