@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from linkloom.sources.scratch import stored
 
-__all__ = ["documents", "fold_of", "packed_texts", "slices", "stored", "table"]
+__all__ = ["documents", "fold_of", "packed_texts", "partition_keys", "slices", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def partition_keys(spark, count: int) -> list[int]:
+    """An integer for each of `count` hash partitions."""
+    rows = spark.range(40 * count).selectExpr("cast(id as int) as id", f"pmod(hash(cast(id as int)), {count}) as part").groupBy("part").agg(F.min("id").alias("id")).collect()
+    return sorted(r["id"] for r in rows)
+
+
 def packed_texts(rows: DataFrame, *keep: str) -> DataFrame:
     """`keep` columns and the text's UTF-8 bytes, compressed for the shuffle."""
     schema = rows.select(*keep, F.lit(b"").alias("packed")).schema

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.bpe import Memory
-from linkloom.llm.common import packed_texts, slices, stored
+from linkloom.llm.common import packed_texts, partition_keys, slices, stored
 from linkloom.llm.components import components
 
 #: Words of a shingle, and the similarity in hundredths.
@@ -108,12 +108,6 @@ def nodes_and_frequent(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, node bigint, size bigint, kind int")
 
 
-def partition_keys(spark, count: int) -> list[int]:
-    """An integer for each of `count` hash partitions."""
-    rows = spark.range(40 * count).selectExpr("cast(id as int) as id", f"pmod(hash(cast(id as int)), {count}) as part").groupBy("part").agg(F.min("id").alias("id")).collect()
-    return sorted(r["id"] for r in rows)
-
-
 def postings(docs: DataFrame, words: int, similar: int, frequent: pd.DataFrame, keys: list[int]) -> DataFrame:
     """(bucket, payload): groups under their prefix shingles; and, without payload, (bucket, node, size, group): members of groups."""
     by_token = frequent.sort_values("node")

@@ -1,14 +1,16 @@
 """Licence scans with a positional index of rare words.
 
 A template is a licence phrase with a mandatory part. The corpus gives each
-licence word its document frequency; the highest-IDF word of each mandatory part
-is looked up in a document, which gives positions. A template has that word at a
-known place of its own, so each position proposes an alignment of the template
-with the document. An alignment counts if the mandatory words stand exactly
-there, and names a licence if enough of the whole template agrees. As every
-place of a mandatory part holds its rare word, no place is missed. Phrases that
-are mandatory as a whole give the base labels. All is one row's SQL expression;
-only the document frequencies (one number for each licence word) are aggregated.
+licence word its document frequency. Of each mandatory part, the ANCHORS words of
+highest IDF are posted: word -> (template, place in the mandatory part). A file
+looks its licence words up; every hit of a posted word proposes a start of the
+template, and the starts that the different anchors propose are intersected, so
+that only places remain where the rare words stand at their relative positions.
+There the mandatory words are verified, and a licence is named if enough of the
+whole template agrees. As every place of a mandatory part holds all its anchors,
+no place is missed. Phrases that are mandatory as a whole give the base labels.
+All is one row's SQL expression; only the document frequencies (one number for
+each licence word) are aggregated.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Share of a template's words that have to agree.
 AGREE = 0.5
+#: Rare words of a mandatory part whose places are intersected.
+ANCHORS = 2
+#: More than the words of any text.
+PLACES = 1 << 32
 
 #: Phrases and labels; the mandatory words stand in brackets.
 BASE = [
@@ -87,25 +93,37 @@ def quoted(words) -> str:
 def scan_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_words and `found`: array of (label, base, start word of the mandatory part, agreement 0 to 1).
 
-    A null, empty or wordless text has no words and nothing found. Repeated rows
-    are scanned each; an empty table gives no rows; other columns are left unread.
+    A null, empty or wordless text has no words and nothing found. Texts are
+    scanned whole, however long. Repeated rows are scanned each; an empty table
+    gives no rows; other columns are left unread.
     """
     known = templates()
     words = with_words(docs)
     frequency = document_frequencies(words, sorted({w for t in known for w in t.mandatory}))
-    postings: dict[str, list[str]] = {}
+    # anchor number -> word -> (template, place); a template with fewer different words has its first anchor in the other lists too
+    postings: list[dict[str, list[str]]] = [{} for _ in range(ANCHORS)]
     for k, t in enumerate(known):
-        rare = min(range(len(t.mandatory)), key=lambda i: (frequency.get(t.mandatory[i], 0), i))
-        postings.setdefault(t.mandatory[rare], []).append(f"named_struct('t', {k}, 'at', {rare})")
-    looked_up = ", ".join(f"'{w}'" for w in sorted(postings))
-    index = "map(" + ", ".join(f"'{w}', array({', '.join(p)})" for w, p in sorted(postings.items())) + ")"
+        by_idf = sorted(range(len(t.mandatory)), key=lambda i: (frequency.get(t.mandatory[i], 0), i))
+        rare = [i for n, i in enumerate(by_idf) if t.mandatory[i] not in {t.mandatory[j] for j in by_idf[:n]}]
+        for posted, place in zip(postings, [*rare, *[rare[0]] * ANCHORS], strict=False):
+            posted.setdefault(t.mandatory[place], []).append(f"named_struct('t', {k}, 'at', {place})")
+    looked_up = ", ".join(f"'{w}'" for w in sorted(set().union(*postings)))
     spec = "array(" + ", ".join(
         f"named_struct('label', '{t.label}', 'base', {str(t.base).lower()}, 'first', {t.first}, 'words', {quoted(t.words)}, 'mandatory', {quoted(t.mandatory)})" for t in known
     ) + ")"
 
     hits = words.withColumn("hits", F.expr(f"filter(transform(words, (w, i) -> named_struct('w', w, 'i', i)), h -> h.w in ({looked_up}))"))
-    aligned = hits.withColumn("aligned", F.expr(f"flatten(transform(hits, h -> transform({index}[h.w], p -> named_struct('t', p.t, 'start', h.i - p.at))))"))
-    there = aligned.withColumn("there", F.expr(f"filter(array_distinct(aligned), a -> a.start >= 0 and slice(words, a.start + 1, size({spec}[a.t].mandatory)) = {spec}[a.t].mandatory)"))
+    proposed = []
+    for posted in postings:
+        index = "map(" + ", ".join(f"'{w}', array({', '.join(p)})" for w, p in sorted(posted.items())) + ")"
+        own = ", ".join(f"'{w}'" for w in sorted(posted))
+        # a template and a start are one number, so that the intersection hashes numbers
+        proposed.append(f"flatten(transform(filter(hits, h -> h.w in ({own})), h -> transform(filter({index}[h.w], p -> p.at <= h.i), p -> p.t * {PLACES}L + h.i - p.at)))")
+    both = proposed[0]
+    for other in proposed[1:]:
+        both = f"array_intersect({both}, {other})"
+    aligned = hits.withColumn("aligned", F.expr(f"transform({both}, a -> named_struct('t', cast(a div {PLACES}L as int), 'start', cast(a % {PLACES}L as int)))"))
+    there = aligned.withColumn("there", F.expr(f"filter(aligned, a -> slice(words, a.start + 1, size({spec}[a.t].mandatory)) = {spec}[a.t].mandatory)"))
     agree = f"size(filter(sequence(0, size({spec}[a.t].words) - 1), j -> get(words, a.start - {spec}[a.t].first + j) = {spec}[a.t].words[j])) / size({spec}[a.t].words)"
     found = F.expr(f"transform(there, a -> named_struct('label', {spec}[a.t].label, 'base', {spec}[a.t].base, 'start', a.start, 'agreement', {agree}))")
     return there.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.filter(found, lambda x: x["agreement"] >= AGREE).alias("found"))

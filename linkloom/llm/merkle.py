@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import partition_keys
+
 BLOCK = 32
 SECTIONS, PARAGRAPHS, BLOCKS = r"(?s).+?(?:\n\n+|\z)", r"[^\n]*\n|[^\n]+", f"(?s).{{1,{BLOCK}}}"
 
@@ -58,9 +60,9 @@ def _first(a: str, b: str) -> str:
 def with_next(docs: DataFrame, id_column: str, columns: list[str], tie: Column) -> DataFrame:
     """Adds `next_<column>` of the row that follows in the order of ids; after the last comes the first.
 
-    Ids are cut into ranges of about equal size; each range is ordered by one
-    task and holds a copy of the first row of the next range as its last one.
-    Only the cuts and each range's first id reach the driver.
+    Ids are cut into ranges of about equal size; each range is ordered by a task
+    of its own and holds a copy of the first row of the next range as its last
+    one. Only the cuts and each range's first id reach the driver.
     """
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -78,6 +80,8 @@ def with_next(docs: DataFrame, id_column: str, columns: list[str], tie: Column)
     first = first.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
     place = F.coalesce(*(F.when(F.col(id_column).eqNullSafe(F.lit(i)), F.lit(r)) for i, r in after.items()))
     rows = docs.withColumns({"_range": number, "_copy": F.lit(False)}).unionByName(first.withColumns({"_range": place, "_copy": F.lit(True)}))
+    keys = partition_keys(spark, ranges)  # small numbers would meet in some partitions and leave others empty
+    rows = rows.withColumn("_range", F.get(F.array(*map(F.lit, keys)), F.col("_range").cast("int"))).repartition(ranges, "_range")
     order = Window.partitionBy("_range").orderBy("_copy", F.col(id_column).asc_nulls_first(), tie)
     return rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~F.col("_copy")).drop("_range", "_copy")
 
@@ -92,10 +96,13 @@ def compare_with_edit(docs: DataFrame) -> DataFrame:
 
     The edited text has its last quarter replaced by the start of the next
     document, in the order of doc_id (null ids first, equal ids by text hash).
+    A null text is empty; a text of any length is hashed whole, by one row's expression.
     Repeated rows are rows of their own; a single row is its own next; an empty
     table gives no rows; other columns are left unread.
     """
-    rows = with_next(fingerprint_documents(docs), "doc_id", ["text", "tree"], F.xxhash64("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(texts, "doc_id", ["text"], F.xxhash64("text"))  # trees are larger than texts, so only texts are shuffled
+    rows = with_tree(with_tree(rows, "text", "tree"), "next_text", "next_tree")
     rows = rows.withColumn("n_chars", F.length("text").cast("bigint"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))

@@ -23,8 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import packed_texts, slices, stored
-from linkloom.llm.jaccard import partition_keys
+from linkloom.llm.common import packed_texts, partition_keys, slices, stored
 
 LENGTH, GRAM = 100, 24
 #: Bytes of a shard's suffix array.
