@@ -4,19 +4,20 @@ A document is its set of n-word shingles. Two sets of Jaccard similarity t or
 more share a shingle among the first |x| - ceil(t |x|) + 1 of each, in any common
 order; here the order puts frequent shingles last. Documents with one set are
 one node, and nodes with equal prefixes and size are one group. Groups, not
-documents, are posted under their prefix shingles. Groups that meet in a posting
-list are expanded to their nodes, and nodes are verified on whole sets.
+documents, are posted under their prefix shingles. Pairs of groups that meet in
+posting lists are filtered by their sizes and by how many prefix shingles they
+share; only those that remain are expanded to their nodes, and nodes are verified
+on whole sets.
 
 Only connected documents matter here, so posting lists need not be turned into
-all their pairs. First every node is verified against the most central node that
-it meets; only lists whose nodes are then still in different components give the
-pairs between components, all of which are verified.
+all their pairs. First every group meets the most central group of its lists; of
+what is then still in different components, the pairs of groups between
+components are filtered, expanded and verified, all of them.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -29,13 +30,17 @@ from linkloom.llm.components import components
 
 #: Words of a shingle, and the similarity in hundredths.
 WORDS, SIMILAR = 5, 75
-#: Shingles in at least so many documents of a task are reported as frequent; so many of them are ordered last.
-#: Both only shape the common order of shingles, never what is found.
-OFTEN, FREQUENT = 16, 1 << 16
-#: A posting list that may be longer than this is dealt to several tasks.
-LONG = 50_000
-#: About so many nodes of a component are tried before its others.
+#: Counters of document frequencies, in PARTS parts; shingles that share a counter count together. They only shape the
+#: common order of shingles, never what is found, so a fixed number does for any data.
+COUNTERS, PARTS = 1 << 20, 16
+#: A posting list that may be longer than this is dealt to several tasks; of its pairs, blocks of so many groups are joined at a time.
+LONG, BLOCK = 50_000, 2_000
+#: About so many groups of a component are tried before its others.
 EARLY = 64
+#: Shingles for a partition of the postings.
+PARTITION = 2_000_000
+#: Roots with over a 1 / LARGE of all rows, fewer than LARGE, are broadcast.
+LARGE = 1_000
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -69,22 +74,20 @@ def least_overlap(size: int, similar: int) -> int:
     return -(-similar * size // 100)
 
 
-def nodes_and_frequent(docs: DataFrame, words: int) -> DataFrame:
-    """One row for each document (doc_id, node, size) and, with kind 1, for each frequent shingle of a task (node: shingle, size: documents)."""
+def nodes_and_counts(docs: DataFrame, words: int) -> DataFrame:
+    """A row for each document (doc_id, node, size) and, with `part`, the task's document frequencies in one part of the counters (counts)."""
+
+    def counted(all_of: list[np.ndarray]):
+        squeeze = zstandard.ZstdCompressor(level=1)
+        per = COUNTERS // PARTS
+        counts = np.bincount((np.concatenate(all_of) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        packed = [squeeze.compress(counts[k * per : (k + 1) * per].tobytes()) for k in range(PARTS)]
+        return pa.record_batch([pa.nulls(PARTS, pa.int64())] * 3 + [pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "node", "size", "part", "counts"])
 
     def run(batches):
         shingler = Shingler(words)
         all_of: list[np.ndarray] = []
         seen: set[int] = set()
-
-        def often():
-            if not all_of:
-                return None
-            token, many = np.unique(np.concatenate(all_of), return_counts=True)
-            token, many = token[many >= OFTEN], many[many >= OFTEN]
-            all_of.clear()
-            return pa.record_batch([pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.array(many), pa.array(np.ones(len(token), np.int32))], ["doc_id", "node", "size", "kind"])
-
         held = 0
         for b in slices(batches):
             nodes, sizes = [], []
@@ -96,28 +99,49 @@ def nodes_and_frequent(docs: DataFrame, words: int) -> DataFrame:
                     seen.add(nodes[-1])
                     all_of.append(own)
                     held += len(own)
-            yield pa.record_batch([b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array([0] * len(nodes), pa.int32())], ["doc_id", "node", "size", "kind"])
+            n = len(nodes)
+            yield pa.record_batch([b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "node", "size", "part", "counts"])
             if held > 8_000_000:
-                yield often()
+                yield counted(all_of)
+                all_of.clear()
                 seen.clear()
                 held = 0
-        last = often()
-        if last is not None:
-            yield last
+        if all_of:
+            yield counted(all_of)
 
-    return docs.mapInArrow(run, "doc_id bigint, node bigint, size bigint, kind int")
+    return docs.mapInArrow(run, "doc_id bigint, node bigint, size bigint, part int, counts binary")
 
 
-def postings(docs: DataFrame, words: int, similar: int, frequent: pd.DataFrame, keys: list[int]) -> DataFrame:
+def frequencies(found: DataFrame) -> np.ndarray:
+    """The counters over all tasks: COUNTERS numbers, whatever the data. Tasks sum each part; one row of each comes to the driver."""
+    per = COUNTERS // PARTS
+
+    def run(batches):
+        stretch = zstandard.ZstdDecompressor()
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, packed in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                own = sums.setdefault(part, np.zeros(per, np.int64))
+                own += np.frombuffer(stretch.decompress(packed), np.uint32)
+        for part, own in sums.items():
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "counts"])
+
+    some = found.where("part is not null").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(8)).alias("salt"))
+    # summed within salted parts first, so that no task takes all that the tasks of a large table report
+    sums = some.repartition(PARTS * 8, "part", "salt").select("part", "counts").mapInArrow(run, "part int, counts binary")
+    out = np.zeros(COUNTERS, np.int64)
+    for r in sums.toLocalIterator():
+        out[r["part"] * per : (r["part"] + 1) * per] += np.frombuffer(r["counts"], np.int64)
+    return out
+
+
+def postings(docs: DataFrame, words: int, similar: int, counts: np.ndarray, keys: list[int]) -> DataFrame:
     """(bucket, payload): groups under their prefix shingles; and, without payload, (bucket, node, size, group): members of groups."""
-    by_token = frequent.sort_values("node")
-    table = docs.sparkSession.sparkContext.broadcast((by_token["node"].to_numpy(np.int64), by_token["many"].to_numpy(np.int64)))
+    table = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         shingler = Shingler(words)
-        token_of, many_of = table.value
-        order_of = np.argsort(token_of.view(np.uint64))
-        token_of, many_of = token_of.view(np.uint64)[order_of], many_of[order_of]
+        many_of = table.value
         key = np.array(keys, np.int32)
         seen: set[int] = set()
         for b in slices(batches, 4096):
@@ -131,11 +155,7 @@ def postings(docs: DataFrame, words: int, similar: int, frequent: pd.DataFrame,
                 if node in seen:
                     continue
                 seen.add(node)
-                weight = np.zeros(len(own), np.int64)
-                if len(token_of):
-                    at = np.minimum(np.searchsorted(token_of, own), len(token_of) - 1)
-                    hit = token_of[at] == own
-                    weight[hit] = many_of[at[hit]]
+                weight = many_of[(own % np.uint64(COUNTERS)).astype(np.int64)]
                 first = np.argsort(weight, kind="stable")[: len(own) - least_overlap(len(own), similar) + 1]
                 prefix, weight = own[first], weight[first]
                 group = xxhash.xxh64_intdigest(prefix.tobytes(), seed=len(own)) - (1 << 63)
@@ -158,7 +178,7 @@ def postings(docs: DataFrame, words: int, similar: int, frequent: pd.DataFrame,
             doc = np.repeat(np.arange(len(groups)), [len(p) for p, _ in prefixes])
             group_of = np.array(groups, np.int64)
             home = (token >> np.uint64(32)) % np.uint64(len(key))
-            lists = np.maximum(1, weight // (LONG // 8)).astype(np.uint64)  # a task's count is a part of the whole
+            lists = np.maximum(1, weight // LONG).astype(np.uint64)
             salt = np.where(lists > 1, group_of[doc].view(np.uint64) % lists, np.uint64(0))
             bucket = ((home + salt) % np.uint64(len(key))).astype(np.int64)
             order = np.lexsort((doc, bucket))
@@ -274,11 +294,19 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 
 
 def still_open(labelled: DataFrame) -> DataFrame:
-    """The entries of lists whose nodes are in several components (`now`)."""
+    """The entries of lists whose groups are in several components (`now`)."""
     mixed = labelled.groupBy("list").agg(F.min("now").alias("least"), F.max("now").alias("most")).where("least <> most").select("list")
     return labelled.join(mixed, "list")
 
 
+def with_root_values(rows: DataFrame, values: DataFrame, many: str) -> DataFrame:
+    """`rows` joined with `values` on root. Roots that `many` rows have are broadcast, fewer than LARGE of them; the others are shuffled."""
+    total = values.agg(F.sum(many)).first()[0] or 0
+    large = F.col(many) > total / LARGE
+    some = F.broadcast(values.where(large))
+    return rows.join(some, "root").unionByName(rows.join(some.select("root"), "root", "left_anti").join(values.where(~large), "root"))
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """doc_id, size (of its shingle set) and component (smallest doc_id linked to it, directly or not) of every row.
 
@@ -290,17 +318,18 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similar: int = SIMILA
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    found = stored(nodes_and_frequent(docs, words), "nodes")
-    own = found.where("kind = 0").select("doc_id", "node", "size")
-    frequent = found.where("kind = 1").groupBy("node").agg(F.sum("size").alias("many")).orderBy(F.desc("many"), "node").limit(FREQUENT).toPandas()
-    keys = partition_keys(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = stored(met_groups(postings(docs, words, similar, frequent, keys), keys), "met")
+    found = stored(nodes_and_counts(docs, words), "nodes")
+    own = found.where("part is null").select("doc_id", "node", "size")
+    counts = frequencies(found)
+    keys = partition_keys(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // PARTITION))
+    met = stored(met_groups(postings(docs, words, similar, counts, keys), keys), "met")
     members = met.where("node is not null").select("node", "size", "group").dropDuplicates(["node"])
+    groups = stored(members.groupBy("group").agg(F.max("size").alias("size"), F.min("node").alias("head"), F.count("*").alias("n")), "groups")
     found_lists = met.where("groups is not null").groupBy("list", "groups").agg(F.sum("weight").alias("weight"))
     weights = found_lists.groupBy("list").agg(F.max("weight").alias("weight"))
-    alone = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").selectExpr("group as list", "group", f"{1 << 40}L as weight")
+    alone = groups.where("n > 1").selectExpr("group as list", "group", f"{1 << 40}L as weight")
     listed = entries(found_lists).distinct().join(weights, "list").unionByName(alone)
-    lists = stored(listed.join(members, "group").select("list", "weight", "node", "size"), "lists")
+    lists = stored(listed.join(groups.select("group", "size"), "group").select("list", "weight", "group", "size"), "lists")
 
     heads = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     shared_ids = not own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
@@ -324,38 +353,49 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similar: int = SIMILA
     need = f"(least({', '.join(f'{overlap} - ceil({similar} * {x} / 100D - 1e-9)' for x in ('size', 'other'))}) + 1)"
     enough = f"shared >= {need}"
 
-    # of a list, the node that meets most others is the likely centre of a group of near copies
+    # of a list, the group that meets most others is the likely centre of near copies
     sizes = lists.groupBy("list").agg(F.count("*").alias("n"))
-    central = lists.join(sizes, "list").groupBy("node").agg(F.sum(F.col("weight").cast("double") * F.col("n")).alias("degree"))
-    pivots = lists.join(central, "node").groupBy("list").agg(F.max(F.struct("degree", "node", "size")).alias("p")).selectExpr("list", "p.node as a", "p.size as other")
-    met_first = lists.join(pivots, "list").where(f"a <> node and {fits}").groupBy("a", "node", "size", "other").agg(F.sum("weight").alias("shared")).where(enough)
-    first = stored(met_first.groupBy("node").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).selectExpr("a", "node as b"), "first")
+    central = lists.join(sizes, "list").groupBy("group").agg(F.sum(F.col("weight").cast("double") * F.col("n")).alias("degree"))
+    pivots = lists.join(central, "group").groupBy("list").agg(F.max(F.struct("degree", "group", "size")).alias("p")).selectExpr("list", "p.group as a", "p.size as other")
+    met_first = lists.join(pivots, "list").where(f"a <> group and {fits}").groupBy("a", "group", "size", "other").agg(F.sum("weight").alias("shared")).where(enough)
+    nearest = met_first.groupBy("group").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+    # a group's nodes are verified against one node of the group that it meets, and against one of its own
+    other_heads = nearest.join(groups.select(F.col("group").alias("a"), "head"), "a").select("group", "head").unionByName(groups.where("n > 1").select("group", "head"))
+    first = stored(other_heads.join(members.select("group", "node"), "group").where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "first")
     links = stored(verified(first, whole_sets(first), similar), "verified")
     roots = components(links)
 
-    # every pair of nodes in different components is oriented to the larger one; of that, some nodes are tried before the others
-    labelled = lists.join(roots, "node", "left").selectExpr("list", "weight", "node", "size", "coalesce(root, node) as root")
-    many = labelled.select("node", "root").distinct().groupBy("root").agg(F.count("*").alias("many"))
-    labelled = labelled.join(many, "root").withColumn("early", F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / EARLY)) == 0).withColumn("now", F.col("root"))
-    # `tail`: how many lists a node has from this one on, longer lists last. Of the lists that two similar nodes share, fewer than half of
+    # a unit is what a group has in one component. Pairs of units in different components are oriented to the larger one; of that, some are tried first
+    placed = stored(members.join(roots, "node", "left").selectExpr("node", "size", "group", "coalesce(root, node) as root"), "placed")
+    many = stored(placed.groupBy("root").agg(F.count("*").alias("many")), "many")
+    units = with_root_values(placed.select("group", "root").distinct(), many, "many")
+    units = units.withColumn("early", F.pmod(F.xxhash64("group"), F.ceil(F.col("many") / EARLY)) == 0).withColumn("now", F.col("root"))
+    # `tail`: how many lists a unit has from this one on, longer lists last. Of the lists that two similar sets share, fewer than half of
     # what they need can come so late that either tail is below that half; so such places are left out, and the rest of the need is asked for
-    later = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("list")).rowsBetween(Window.unboundedPreceding, 0)
-    open_lists = stored(still_open(labelled).join(sizes, "list").withColumn("tail", F.sum("weight").over(later)), "open")
+    later = Window.partitionBy("group", "root").orderBy(F.desc("n"), F.desc("list")).rowsBetween(Window.unboundedPreceding, 0)
+    open_lists = stored(still_open(lists.join(units, "group")).join(sizes, "list").withColumn("tail", F.sum("weight").over(later)), "open")
     half = f"ceil({need} / 2)"
     for early in (True, False):
-        other = open_lists.where(F.col("early") == early).selectExpr("list", "node as b", "size as other", "root as other_root", "many as other_many", "now as other_now", "tail as other_tail")
-        between = open_lists.join(other, "list").where(f"now <> other_now and (many < other_many or (many = other_many and root < other_root)) and {fits} and least(tail, other_tail) >= {half}")
-        between = between.groupBy("node", "b", "size", "other").agg(F.sum("weight").alias("shared")).where(f"shared > {need} - {half}").selectExpr("node as a", "b")
-        between = stored(between, "between")
+        blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("bigint")  # of a long list, a task joins a block with the whole
+        left = open_lists.withColumn("block", F.pmod(F.xxhash64("group"), blocks))
+        other = open_lists.where(F.col("early") == early).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        other = other.selectExpr("list", "block", "group as other_group", "size as other", "root as other_root", "many as other_many", "now as other_now", "tail as other_tail")
+        between = left.join(other, ["list", "block"]).where(f"now <> other_now and (many < other_many or (many = other_many and root < other_root)) and {fits} and least(tail, other_tail) >= {half}")
+        between = between.groupBy("group", "root", "other_group", "other_root", "size", "other").agg(F.sum("weight").alias("shared")).where(f"shared > {need} - {half}")
+        left_nodes, right_nodes = placed.selectExpr("group", "root", "node as a"), placed.selectExpr("group as other_group", "root as other_root", "node as b")
+        between = stored(between.join(left_nodes, ["group", "root"]).join(right_nodes, ["other_group", "other_root"]).select("a", "b"), "between")
         if not between.isEmpty():
             links = stored(links.unionByName(verified(between, whole_sets(between), similar)), "verified")
             roots = components(links)
         if early:
-            open_lists = stored(still_open(open_lists.drop("now").join(roots.withColumnRenamed("root", "now"), "node", "left").withColumn("now", F.coalesce("now", "node"))), "open")
-
-    placed = own.join(roots, "node", "left").selectExpr("doc_id", "node", "size", "if(size = 0, null, coalesce(root, node)) as root")
-    smallest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
-    return placed.join(smallest, "root", "left").select("doc_id", "size", F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component"))
+            now = placed.select("node", "group", "root").join(roots.withColumnRenamed("root", "now"), "node", "left").select("group", "root", F.coalesce("now", "node").alias("now")).distinct()
+            open_lists = stored(still_open(open_lists.drop("now").join(now, ["group", "root"])), "open")
+
+    rooted = own.join(roots, "node", "left").selectExpr("doc_id", "node", "size", "if(size = 0, null, coalesce(root, node)) as root")
+    rooted = stored(rooted, "rooted")
+    smallest = stored(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"), F.count("*").alias("rows")), "smallest")
+    full = with_root_values(rooted.where("root is not null"), smallest, "rows").select("doc_id", "size", "component")
+    return full.unionByName(rooted.where("root is null").select("doc_id", "size", F.col("doc_id").alias("component")))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
