@@ -11,6 +11,12 @@ one shard. A shard sorts its suffixes by Larsson-Sadakane refinement, takes the
 common prefixes of neighbours by Kasai's method, and so finds the classes of
 equal strings and the earliest start of each. Where the places of one anchor
 fill several shards, these are merged by binary search in their sorted strings.
+
+An anchor that stands in a large part of all documents would fill one task. A
+task that meets an anchor twice knows that it repeats, and reports one place of
+it only. The surroundings of the most frequent anchors are dealt to several
+tasks by their content; each finds the earliest start of each string among its
+own, and these are then compared over all tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +35,10 @@ from linkloom.llm.common import packed_texts, partition_keys, slices, stored
 LENGTH, GRAM = 100, 24
 #: Bytes of a shard's suffix array.
 SHARD = 1 << 20
+#: Anchors with over a 1 / HOT of all reported places, fewer than HOT, and with so many at least, are dealt to several tasks.
+HOT, LEAST = 1_000, 2_000
+#: Bytes of text for a bucket.
+BUCKET = 12_000_000
 FIRST = 7  # symbols in a first sort key
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -241,8 +252,38 @@ def binary_rows(columns: list[tuple[str, list, pa.DataType]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(v, t) for _, v, t in columns], [k for k, _, _ in columns])
 
 
+def run_rows(bucket: np.ndarray, node: np.ndarray, low: np.ndarray, first: np.ndarray, runs: np.ndarray) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(nodes, payloads): the runs of each node and bucket number; at most 5000 at a time."""
+    order = np.lexsort((first, low, node, bucket))
+    bucket, node, low, first, runs = (c[order] for c in (bucket, node, low, first, runs))
+    edges = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (bucket[1:] != bucket[:-1])]) if len(node) else np.zeros(0, int)
+    nodes, payloads = [], []
+    for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(node)], strict=False):
+        nodes.append(int(node[s]))
+        payloads.append(pack(bucket[s : s + 1].astype(np.int32), low[s:e], first[s:e], runs[s:e]))
+        if len(nodes) == 5000:
+            yield nodes, payloads
+            nodes, payloads = [], []
+    if nodes:
+        yield nodes, payloads
+
+
+ANCHOR_COLUMNS = [("bucket", pa.int32()), ("payload", pa.binary()), ("node", pa.int64()), ("runs", pa.binary()), ("anchor", pa.int64()), ("places", pa.int64())]
+ANCHOR_SCHEMA = "bucket int, payload binary, node bigint, runs binary, anchor bigint, places bigint"
+
+
+def anchor_rows(**given: list) -> pa.RecordBatch:
+    n = len(next(iter(given.values())))
+    return pa.record_batch([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in ANCHOR_COLUMNS], [k for k, _ in ANCHOR_COLUMNS])
+
+
 def posted_anchors(texts: DataFrame, keys: list[int], length: int) -> DataFrame:
-    """(bucket, payload): the runs of anchors of each text (node), dealt by anchor."""
+    """Runs of anchors of each text (node), dealt by anchor: (bucket, payload).
+
+    Anchors that a batch holds several times are known to repeat: their runs go
+    straight on as (node, runs), the places of the frequent ones are counted
+    (anchor, places), and one place alone is dealt.
+    """
 
     def run(batches):
         seen: set[int] = set()
@@ -268,25 +309,46 @@ def posted_anchors(texts: DataFrame, keys: list[int], length: int) -> DataFrame:
             node = np.array(node, np.int64)
             h, first, runs = np.concatenate(hashes), np.concatenate(first).astype(np.uint32), np.concatenate(runs).astype(np.uint8)
             bucket = ((h >> np.uint64(32)) % count).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, own, low, first, runs = bucket[order], own[order], h[order].astype(np.uint32), first[order], runs[order]
+            low = h.astype(np.uint32)
+            name = bucket << 32 | low.astype(np.int64)
+            order = np.argsort(name, kind="stable")
+            name, bucket, own, low, first, runs = (c[order] for c in (name, bucket, own, low, first, runs))
+            begins = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+            times = np.diff(np.r_[begins, len(name)])
+            several = np.repeat(times > 1, times)
+            for nodes, payloads in run_rows(bucket[several], node[own[several]], low[several], first[several], runs[several]):
+                yield anchor_rows(bucket=[keys[n % len(keys)] for n in nodes], node=nodes, runs=payloads)
+            often = np.flatnonzero(times >= 8)
+            if len(often):
+                yield anchor_rows(bucket=[keys[i % len(keys)] for i in name[begins[often]].tolist()], anchor=name[begins[often]], places=times[often])
+            dealt = ~several
+            dealt[begins] = True
+            bucket, own, low, first, runs = bucket[dealt], own[dealt], low[dealt], first[dealt], runs[dealt]
             at, payloads = [], []
             for s, e in in_groups(bucket):
                 docs, times = np.unique(own[s:e], return_counts=True)
+                by = np.argsort(own[s:e], kind="stable")
                 at.append(keys[bucket[s]])
-                payloads.append(pack(node[docs], times.astype(np.uint32), low[s:e], first[s:e], runs[s:e]))
-            yield binary_rows([("bucket", at, pa.int32()), ("payload", payloads, pa.binary())])
+                payloads.append(pack(node[docs], times.astype(np.uint32), low[s:e][by], first[s:e][by], runs[s:e][by]))
+            yield anchor_rows(bucket=at, payload=payloads)
 
-    return texts.mapInArrow(run, "bucket int, payload binary")
+    return texts.mapInArrow(run, ANCHOR_SCHEMA)
 
 
 def repeated_anchors(posted: DataFrame, keys: list[int]) -> DataFrame:
-    """(node, runs): the runs of each node whose anchor stands at several places: bucket number, low half of the anchor, first start, starts."""
+    """(node, runs), the runs of each node whose anchor stands at several places: bucket number, low half of the anchor, first start, starts.
+
+    Rows that are known already, and counts, pass. A place can come twice.
+    """
     number = {k: i for i, k in enumerate(keys)}
 
     def run(batches):
         held: dict[int, list] = {}
         for b in batches:
+            known = b.filter(b.column("payload").is_null())
+            if known.num_rows:
+                yield known
+            b = b.filter(b.column("payload").is_valid())
             for k, payload in zip(b.column("bucket").to_pylist(), b.column("payload").to_pylist(), strict=True):
                 node, many, low, first, runs = unpack(payload, np.int64, np.uint32, np.uint32, np.uint32, np.uint8)
                 held.setdefault(k, []).append((np.repeat(node, many), low, first, runs))
@@ -298,44 +360,55 @@ def repeated_anchors(posted: DataFrame, keys: list[int]) -> DataFrame:
             node, low, first, runs = node[keep], low[keep], first[keep], runs[keep]
             same = low[1:] == low[:-1]
             some = np.r_[False, same] | np.r_[same, False]
-            order = np.argsort(node[some], kind="stable")
-            node, low, first, runs = node[some][order], low[some][order], first[some][order], runs[some][order]
-            nodes, payloads = [], []
-            for s, e in in_groups(node):
-                nodes.append(int(node[s]))
-                payloads.append(pack(np.full(1, number[k], np.int32), low[s:e], first[s:e], runs[s:e]))
-                if len(nodes) == 5000 or e == len(node):
-                    yield binary_rows([("node", nodes, pa.int64()), ("runs", payloads, pa.binary())])
-                    nodes, payloads = [], []
+            for nodes, payloads in run_rows(np.full(int(some.sum()), number[k]), node[some], low[some], first[some], runs[some]):
+                yield anchor_rows(node=nodes, runs=payloads)
+
+    return posted.repartition(len(keys), "bucket").mapInArrow(run, ANCHOR_SCHEMA).select("node", "runs", "anchor", "places")
+
 
-    return posted.repartition(len(keys), "bucket").mapInArrow(run, "node bigint, runs binary")
+def frequent_anchors(found: DataFrame) -> dict[int, int]:
+    """Anchor (bucket number and low half) -> into how many parts its surroundings are dealt; fewer than HOT."""
+    total = found.agg(F.sum("places")).first()[0] or 0
+    part = max(LEAST, total // HOT)
+    counted = found.where("anchor is not null").groupBy("anchor").agg(F.sum("places").alias("n")).where(F.col("n") > part)
+    return {r["anchor"]: -(-r["n"] // part) for r in counted.collect()}
 
 
-def surroundings(joined: DataFrame, keys: list[int], length: int) -> DataFrame:
-    """(bucket, payload): for each repeated anchor of a text, the bytes that its strings cover."""
+def surroundings(joined: DataFrame, keys: list[int], length: int, frequent: dict[int, int]) -> DataFrame:
+    """(bucket, payload): for each repeated anchor of a text, the bytes that its strings cover; those of frequent anchors are dealt by content."""
+    parts_of = joined.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         stretch = zstandard.ZstdDecompressor()
+        frequent = parts_of.value
         for b in slices(batches, 1024):
-            bucket, node, doc, low, first, sizes, parts = [], [], [], [], [], [], []
+            bucket, node, doc, low, first, shared, parts = [], [], [], [], [], [], []
             for n, d, packed, all_runs in zip(*(b.column(c).to_pylist() for c in ("node", "doc_id", "packed", "runs")), strict=True):
                 text = stretch.decompress(packed)
+                met: set[tuple[int, int, int]] = set()
                 for payload in all_runs:
                     home, lows, firsts, runs = unpack(payload, np.int32, np.uint32, np.uint32, np.uint8)
+                    home = int(home[0])
                     for a, s, r in zip(lows.tolist(), firsts.tolist(), runs.tolist(), strict=True):
-                        parts.append(text[s : s + r + length - 1])
+                        if (home, a, s) in met:
+                            continue
+                        met.add((home, a, s))
+                        part = text[s : s + r + length - 1]
+                        many = frequent.get(home << 32 | a, 1)
+                        parts.append(part)
+                        bucket.append((home + xxhash.xxh3_64_intdigest(part) % many) % len(keys) if many > 1 else home)
+                        shared.append(many > 1)
                         low.append(a)
                         first.append(s)
-                    bucket += [int(home[0])] * len(lows)
-                    node += [n] * len(lows)
-                    doc += [d] * len(lows)
+                        node.append(n)
+                        doc.append(d)
             if not bucket:
                 continue
             bucket = np.array(bucket)
             order = np.lexsort((np.array(low), bucket))
             at, payloads = [], []
-            columns = [np.array(c, k)[order] for c, k in ((node, np.int64), (doc, np.int64), (low, np.uint32), (first, np.uint32))]
+            columns = [np.array(c, k)[order] for c, k in ((node, np.int64), (doc, np.int64), (low, np.uint32), (first, np.uint32), (shared, np.uint8))]
             sizes = np.array([len(p) for p in parts], np.uint32)[order]
             bucket = bucket[order]
             for s, e in in_groups(bucket):
@@ -348,7 +421,16 @@ def surroundings(joined: DataFrame, keys: list[int], length: int) -> DataFrame:
 
 
 def repeated_strings(around: DataFrame, keys: list[int], length: int) -> DataFrame:
-    """(node, spans): byte ranges of each node that repeat earlier bytes; a shard of suffixes at a time."""
+    """(node, spans): byte ranges of each node that repeat earlier bytes; a shard of suffixes at a time.
+
+    For anchors that several tasks share also (string, doc_id, node, start): the
+    earliest start of each string (its 128-bit hash) in this task.
+    """
+    columns = [("node", pa.int64()), ("spans", pa.binary()), ("string", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64())]
+
+    def rows(**given: list) -> pa.RecordBatch:
+        n = len(next(iter(given.values())))
+        return pa.record_batch([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in columns], [k for k, _ in columns])
 
     def run(batches):
         stretch = zstandard.ZstdDecompressor()
@@ -357,10 +439,10 @@ def repeated_strings(around: DataFrame, keys: list[int], length: int) -> DataFra
             for k, payload in zip(b.column("bucket").to_pylist(), b.column("payload").to_pylist(), strict=True):
                 held.setdefault(k, []).append(payload)
         for k in sorted(held):
-            node, doc, low, first, number, texts = [], [], [], [], [], []
+            node, doc, low, first, shared, number, texts = [], [], [], [], [], [], []
             index: dict[tuple[int, bytes], int] = {}
             for payload in held.pop(k):
-                n, d, a, f, sizes, body = unpack(stretch.decompress(payload), np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8)
+                n, d, a, f, w, sizes, body = unpack(stretch.decompress(payload), np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint32, np.uint8)
                 body = body.tobytes()
                 ends = np.cumsum(sizes).tolist()
                 begin = 0
@@ -374,10 +456,10 @@ def repeated_strings(around: DataFrame, keys: list[int], length: int) -> DataFra
                     own.append(i)
                     begin = end
                 number.append(np.array(own))
-                for c, v in ((node, n), (doc, d), (low, a), (first, f)):
+                for c, v in ((node, n), (doc, d), (low, a), (first, f), (shared, w)):
                     c.append(v)
             del index
-            node, doc, low, first, number = (np.concatenate(c) for c in (node, doc, low, first, number))
+            node, doc, low, first, shared, number = (np.concatenate(c) for c in (node, doc, low, first, shared, number))
             order = np.lexsort((first, node, doc))
             changed = (node[order][1:] != node[order][:-1]) | (doc[order][1:] != doc[order][:-1])
             place = np.empty(len(node), np.int64)
@@ -393,6 +475,18 @@ def repeated_strings(around: DataFrame, keys: list[int], length: int) -> DataFra
                 elif flags[i].any():
                     edges = np.flatnonzero(np.diff(np.r_[False, flags[i], False].astype(np.int8)))
                     spans += [(n, f + s, f + e + length - 1) for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+            names, at_doc, at_node, at_start = [], [], [], []
+            for i in np.flatnonzero(shared[head]).tolist():
+                for offset in np.flatnonzero(~flags[i]).tolist():
+                    names.append(xxhash.xxh3_128_digest(texts[i][offset : offset + length]))
+                    at_doc.append(int(doc[head[i]]))
+                    at_node.append(int(node[head[i]]))
+                    at_start.append(int(first[head[i]]) + offset)
+                if len(names) > 20_000:
+                    yield rows(string=names, doc_id=at_doc, node=at_node, start=at_start)
+                    names, at_doc, at_node, at_start = [], [], [], []
+            if names:
+                yield rows(string=names, doc_id=at_doc, node=at_node, start=at_start)
             if not spans:
                 continue
             found = np.array(spans, np.int64)
@@ -402,9 +496,24 @@ def repeated_strings(around: DataFrame, keys: list[int], length: int) -> DataFra
                 nodes.append(int(found[s, 0]))
                 payloads.append(found[s:e, 1:].astype(np.uint32).tobytes())
             for at in range(0, len(nodes), 5000):
-                yield binary_rows([("node", nodes[at : at + 5000], pa.int64()), ("spans", payloads[at : at + 5000], pa.binary())])
+                yield rows(node=nodes[at : at + 5000], spans=payloads[at : at + 5000])
+
+    return around.repartition(len(keys), "bucket").mapInArrow(run, "node bigint, spans binary, string binary, doc_id bigint, start bigint")
+
+
+def later_starts(spans: DataFrame, length: int) -> DataFrame:
+    """(node, spans) of the starts that are earliest in their task, but not over all tasks; a string has a row of each task at most."""
+    place = F.struct("doc_id", "node", "start")
+    per = spans.where("string is not null").groupBy("string").agg(F.sort_array(F.collect_set(place)).alias("places")).where("size(places) > 1")
+    again = per.select(F.explode(F.slice("places", 2, F.size("places"))).alias("p")).select("p.node", "p.start")
+
+    def run(batches):
+        for b in batches:
+            start = b.column("start").to_numpy()
+            ranges = np.stack([start, start + length], 1).astype(np.uint32)
+            yield pa.record_batch([b.column("node"), pa.array([r.tobytes() for r in ranges], pa.binary())], ["node", "spans"])
 
-    return around.repartition(len(keys), "bucket").mapInArrow(run, "node bigint, spans binary")
+    return again.mapInArrow(run, "node bigint, spans binary")
 
 
 def united(spans: list[bytes]) -> np.ndarray:
@@ -424,7 +533,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Texts are taken as UTF-8 bytes; a null text is empty. Strings never cross
     documents. Documents of equal text are judged together: of copies, all but
     the one of smallest id are removed whole if they have `length` bytes or
-    more. Rows with equal ids are ordered by a hash of their text; rows that are
+    more. A text of any length is judged whole. Rows with equal ids are ordered by a hash of their text; rows that are
     equal in both are one document and get equal results. Null ids come before
     others. An empty table gives no rows.
     """
@@ -432,15 +541,18 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest")).withColumn("node", F.xxhash64("text"))
-    keys = partition_keys(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keys = partition_keys(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET))
     found = stored(repeated_anchors(posted_anchors(texts.select("node", "text"), keys, length), keys), "anchors")
+    frequent = frequent_anchors(found)
 
     ids = texts.select("node", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
     heads = ids.groupBy("node").agg(F.min("id").alias("id"))
-    asked = found.groupBy("node").agg(F.collect_list("runs").alias("runs")).join(heads, "node")
+    asked = found.where("runs is not null").groupBy("node").agg(F.collect_list("runs").alias("runs")).join(heads, "node")
     packed = packed_texts(texts.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))), "node", "id")
     joined = packed.join(asked, ["node", "id"]).select("node", F.col("id").alias("doc_id"), "packed", "runs")
-    spans = stored(repeated_strings(surroundings(joined, keys, length), keys, length), "spans")
+    spans = stored(repeated_strings(surroundings(joined, keys, length, frequent), keys, length), "spans")
+    spans = spans.where("spans is not null").select("node", "spans").unionByName(later_starts(spans, length))
 
     removed = heads.join(spans.groupBy("node").agg(F.collect_list("spans").alias("spans")), "node", "left")
     rows = packed_texts(texts.withColumns({"id": F.coalesce("doc_id", F.lit(-(1 << 63))), "known": F.col("doc_id").isNotNull()}), "node", "id", "known", "rest")

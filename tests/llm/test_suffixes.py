@@ -35,6 +35,32 @@ def test_equals_brute_force(spark, letters):
     assert found(suffixes.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))) == brute(docs, 100)
 
 
+def test_frequent_anchors_are_dealt_to_several_tasks(spark, monkeypatch):
+    """A passage that most documents hold, between edges of their own or shared ones; copies of whole documents beside."""
+    monkeypatch.setattr(suffixes, "LEAST", 6)
+    rng = np.random.default_rng(8)
+    line = "".join(rng.choice(list("abcdefgh"), 260))
+    edges = ["".join(rng.choice(list("xyz"), 60)) for _ in range(9)]
+    docs = [(int(i), str(rng.choice(edges)) * (rng.random() < 0.8) + line * (rng.random() < 0.8) + str(rng.choice(edges)) + line[: rng.integers(0, 200)]) for i in rng.permutation(150)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    texts = rows.withColumn("node", suffixes.F.xxhash64("text"))
+    keys = suffixes.partition_keys(spark, 5)
+    many = suffixes.frequent_anchors(suffixes.repeated_anchors(suffixes.posted_anchors(texts.select("node", "text"), keys, 100), keys))
+    assert many and max(many.values()) > 2
+    assert found(suffixes.drop_repeats(rows)) == brute(docs, 100)
+
+
+def test_repeated_rows_with_passages(spark):
+    """Rows of equal id and text are one document: the passage stays in both, and what later documents repeat goes."""
+    rng = np.random.default_rng(9)
+    own = ["".join(rng.choice(list("abcdefgh"), 120)) for _ in range(3)]
+    line = "".join(rng.choice(list("abcdefgh"), 300))
+    docs = [(5, own[0] + line), (9, own[1] + line), (11, own[2]), (11, own[2])]
+    want = brute([*docs[:2], docs[2]], 100)
+    got = suffixes.drop_repeats(spark.createDataFrame([docs[0], *docs], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], bytes(r["kept"])) for r in got) == sorted((i, want[i][2]) for i in (5, 5, 9, 11, 11))
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(1)
     texts = [bytes(rng.integers(97, 99, rng.integers(1, 60)).astype(np.uint8)) for _ in range(40)] + [b"a" * 50, b"a" * 50]
