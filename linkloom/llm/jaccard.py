@@ -370,18 +370,17 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similar: int = SIMILA
     many = stored(placed.groupBy("root").agg(F.count("*").alias("many")), "many")
     units = with_root_values(placed.select("group", "root").distinct(), many, "many")
     units = units.withColumn("early", F.pmod(F.xxhash64("group"), F.ceil(F.col("many") / EARLY)) == 0).withColumn("now", F.col("root"))
-    # `tail`: how many lists a unit has from this one on, longer lists last. Of the lists that two similar sets share, fewer than half of
-    # what they need can come so late that either tail is below that half; so such places are left out, and the rest of the need is asked for
+    # `tail`: how many lists a unit has from this one on, longer lists last. Not all of the lists that two similar sets have to share
+    # can come so late that either tail is below the need; so such places are left out, and two sets meet where one is left
     later = Window.partitionBy("group", "root").orderBy(F.desc("n"), F.desc("list")).rowsBetween(Window.unboundedPreceding, 0)
     open_lists = stored(still_open(lists.join(units, "group")).join(sizes, "list").withColumn("tail", F.sum("weight").over(later)), "open")
-    half = f"ceil({need} / 2)"
     for early in (True, False):
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("bigint")  # of a long list, a task joins a block with the whole
         left = open_lists.withColumn("block", F.pmod(F.xxhash64("group"), blocks))
         other = open_lists.where(F.col("early") == early).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
         other = other.selectExpr("list", "block", "group as other_group", "size as other", "root as other_root", "many as other_many", "now as other_now", "tail as other_tail")
-        between = left.join(other, ["list", "block"]).where(f"now <> other_now and (many < other_many or (many = other_many and root < other_root)) and {fits} and least(tail, other_tail) >= {half}")
-        between = between.groupBy("group", "root", "other_group", "other_root", "size", "other").agg(F.sum("weight").alias("shared")).where(f"shared > {need} - {half}")
+        between = left.join(other, ["list", "block"]).where(f"now <> other_now and (many < other_many or (many = other_many and root < other_root)) and {fits} and least(tail, other_tail) >= {need}")
+        between = between.select("group", "root", "other_group", "other_root").distinct()
         left_nodes, right_nodes = placed.selectExpr("group", "root", "node as a"), placed.selectExpr("group as other_group", "root as other_root", "node as b")
         between = stored(between.join(left_nodes, ["group", "root"]).join(right_nodes, ["other_group", "other_root"]).select("a", "b"), "between")
         if not between.isEmpty():
