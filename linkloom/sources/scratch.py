@@ -5,16 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: dict[str, str] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Without one, a session that runs on this machine alone gets a folder of its own; a cluster is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="linkloom-")
+    return _LOCAL[context.applicationId]
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows of `df`, written once to the folder of spark.checkpoint.dir and read back; only a session without one gets a local folder."""
+    """The rows of `df`, written once to the shared folder and read back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="linkloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
