@@ -60,6 +60,17 @@ TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au",
 TOKENS = ("login", "verify", "verification", "secure", "account", "update", "bank", "wallet", "password", "signin", "confirm", "payment", "bonus", "reward", "urgent")
 TOKEN_FLAGS = ("login", "verify", "account", "secure", "update", "bank")
 MAX_URL = 2000
+#: Decimal digits of all scripts, and superscript and subscript ones.
+DIGIT = "[\\p{Nd}²³¹⁰⁴-⁹₀-₉]"
+
+
+def ip_v6(d: Dialect, x: str) -> str:
+    """Eight groups of up to four hex digits, or fewer around one '::'; an IPv4 tail stands for two groups."""
+    g = d.replace_all(x, f":{OCTET}(?:[.]{OCTET}){{3}}$", ":0:0")
+    shape = " and ".join([
+        d.matches(g, "^[0-9a-f:]*:[0-9a-f:]*$"), f"not {d.matches(g, '[0-9a-f]{5}|:::|^:[^:]|[^:]:$')}", f"length({g}) - length(replace({g}, '::', '')) <= 2",
+    ])
+    return f"(contains({x}, ':') and {shape} and CASE WHEN contains({g}, '::') THEN {d.count_parts(g, ':')} <= 7 ELSE {d.count_parts(g, ':')} = 8 END)"
 
 
 def parts(d: Dialect, u: str = "url") -> list[tuple[str, str]]:
@@ -76,7 +87,7 @@ def parts(d: Dialect, u: str = "url") -> list[tuple[str, str]]:
         ("hostport", f"regexp_replace(netloc, {d.text('^.*@')}, '')"),
         ("host", f"lower(replace(replace({host}, '[', ''), ']', ''))"),
         ("port", f"regexp_extract(hostport, {d.text(':([0-9]+)$')}, 1)"),
-        ("is_ip", f"({d.matches('host', f'^{OCTET}(?:[.]{OCTET}){{3}}$')} or (contains(host, ':') and {d.matches('host', '^[0-9a-f:.]+$')}))"),
+        ("is_ip", f"({d.matches('host', f'^{OCTET}(?:[.]{OCTET}){{3}}$')} or {ip_v6(d, 'host')})"),
         ("suffixed", f"regexp_extract(host, {d.text(f'([^.]+[.](?:{suffixes}|[^.]+))$')}, 1)"),
         ("registered_domain", "CASE WHEN is_ip OR suffixed = '' THEN host ELSE suffixed END"),
     ]
@@ -115,7 +126,7 @@ def shape_flags() -> list[tuple[str, str]]:
 
 def features(d: Dialect, u: str = "url") -> list[tuple[str, str]]:
     """(name, expression) of the 30 features, in their fixed order."""
-    digits = f"(length({u}) - length({d.replace_all(u, '[0-9]', '')}))"
+    digits = f"(length({u}) - length({d.replace_all(u, DIGIT, '')}))"
 
     def count(c: str) -> str:
         return d.long(f"length({u}) - length(replace({u}, '{c}', ''))")

@@ -53,11 +53,11 @@ def group_totals(parts: DataFrame, key: str) -> DataFrame:
 
 
 def factors(parts: DataFrame, key: str, k: int = 3) -> DataFrame:
-    """The k strongest features of each sign that agree with their group's total and are worth telling; watch-list words go as one."""
+    """The k strongest features of each sign that agree with their group's total, both worth telling; watch-list words go as one."""
     named = parts.withColumn("feature_group", group_of(F.col("feature")))
     merged = F.when(F.col("feature_group") == "Keywords", "keywords").otherwise(F.col("feature"))
     one = named.groupBy(key, "feature_group", merged.alias("factor")).agg(F.sum("contribution").alias("contribution"))
     one = one.withColumn("total", F.sum("contribution").over(Window.partitionBy(key, "feature_group")))
-    agreed = one.where((F.signum("contribution") == F.signum("total")) & (F.abs("contribution") >= TOLD))
+    agreed = one.where((F.signum("contribution") == F.signum("total")) & (F.abs("contribution") >= TOLD) & (F.abs("total") >= TOLD))
     order = Window.partitionBy(key, F.signum("contribution")).orderBy(F.abs(F.col("contribution")).desc(), "factor")
     return agreed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(key, F.when(F.col("contribution") > 0, "raises").otherwise("lowers").alias("direction"), "place", "factor", "contribution")

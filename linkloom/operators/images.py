@@ -140,20 +140,24 @@ def with_statistics(images: DataFrame, key: str) -> DataFrame:
     return images.select(key, "pixels", "height", "width").mapInPandas(run, f"{key} bigint, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
-def distorted(images: DataFrame, key: str, grid: DataFrame) -> DataFrame:
-    """Each image under each condition that has a kernel: (key, type, severity, pixels, height, width)."""
-    crossed = images.select(key, "pixels", "height", "width").crossJoin(grid.where(F.col("type").isin(*KERNELS)))  # a fixed grid
+def distorted(images: DataFrame, key: str, grid: DataFrame, *keep: str) -> DataFrame:
+    """Each image under each condition that has a kernel: (key, type, severity, pixels, height, width) and the double columns `keep`."""
+    crossed = images.select(key, "pixels", "height", "width", *keep).crossJoin(grid.where(F.col("type").isin(*KERNELS)))  # a fixed grid
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             new = [KERNELS[t](np.frombuffer(p, np.uint8).reshape(h, w), v) for p, h, w, t, v in zip(b["pixels"], b["height"], b["width"], b["type"], b["value"], strict=True)]
-            yield pd.DataFrame({key: b[key], "type": b["type"], "severity": b["severity"], "pixels": [x.tobytes() for x in new], "height": [x.shape[0] for x in new], "width": [x.shape[1] for x in new]})
+            yield pd.DataFrame({key: b[key], "type": b["type"], "severity": b["severity"], "pixels": [x.tobytes() for x in new], "height": [x.shape[0] for x in new], "width": [x.shape[1] for x in new], **{k: b[k] for k in keep}})
 
-    return crossed.mapInPandas(run, f"{key} bigint, type string, severity string, pixels binary, height int, width int")
+    return crossed.mapInPandas(run, ", ".join([f"{key} bigint, type string, severity string, pixels binary, height int, width int", *(f"{k} double" for k in keep)]))
 
 
 def patterned(rows: DataFrame, key: str, text: str, modules: int = 25, scale: int = 4) -> DataFrame:
-    """A module grid drawn from the md5 of a text, with a white border: images for which no encoder is needed."""
+    """A module grid drawn from the md5 of a text, with a white border: images for which no encoder is needed.
+
+    A row of text becomes thousands of bytes, so rows are dealt to all tasks before they are drawn.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = F.repeat(F.conv(F.substring(F.md5(text), 1, 12), 16, 2), 64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,4 +169,4 @@ def patterned(rows: DataFrame, key: str, text: str, modules: int = 25, scale: in
                 images.append(np.kron(np.pad(x, 4, constant_values=255), np.ones((scale, scale), np.uint8)))
             yield pd.DataFrame({key: b[key], "pixels": [x.tobytes() for x in images], "height": [x.shape[0] for x in images], "width": [x.shape[1] for x in images]})
 
-    return rows.select(key, bits.alias("bits")).mapInPandas(run, f"{key} bigint, pixels binary, height int, width int")
+    return rows.select(key, bits.alias("bits")).repartition(parts, key).mapInPandas(run, f"{key} bigint, pixels binary, height int, width int")

@@ -40,7 +40,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str, pattern: str = "*.pgm") -> DataFrame:
-    """(path, content) of image files; binary PGM is the one format that is decoded here."""
+    """(path, content) of image files, as bytes; nothing is decoded here."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
