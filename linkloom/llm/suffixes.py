@@ -525,10 +525,11 @@ def united(spans: list[bytes]) -> np.ndarray:
     return np.stack([own[new, 0], np.maximum.reduceat(own[:, 1], np.flatnonzero(new))], 1)
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, spans (array of start and end of each maximal removed run), kept (binary) and `rest` of every row.
 
-    `rest` is a struct of the other columns, whatever their names.
+    `rest` is a struct of the other columns, whatever their names. With `as_text`,
+    kept is a string: bytes of characters that were cut apart are left out.
 
     Texts are taken as UTF-8 bytes; a null text is empty. Strings never cross
     documents. Documents of equal text are judged together: of copies, all but
@@ -578,8 +579,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     kept.append(text)
             doc_id = [i if k else None for i, k in zip(b.column("id").to_pylist(), b.column("known").to_pylist(), strict=True)]
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            columns = [pa.array(doc_id, pa.int64()), pa.array(sizes, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary()), b.column("rest")]
+            columns = [pa.array(doc_id, pa.int64()), pa.array(sizes, pa.int64()), pa.array(runs, span), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), b.column("rest")]
             yield pa.record_batch(columns, ["doc_id", "n_bytes", "spans", "kept", "rest"])
 
-    schema = texts.selectExpr("cast(doc_id as bigint) as doc_id", "0L as n_bytes", "array(named_struct('start', 0L, 'end', 0L)) as spans", "binary('') as kept", "rest").schema
+    schema = texts.selectExpr("cast(doc_id as bigint) as doc_id", "0L as n_bytes", "array(named_struct('start', 0L, 'end', 0L)) as spans", "'' as kept" if as_text else "binary('') as kept", "rest").schema
     return whole.mapInArrow(run, schema)

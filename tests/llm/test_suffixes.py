@@ -32,7 +32,10 @@ def passages(n, seed, letters="abcd"):
 @pytest.mark.parametrize("letters", ["abcd", "a", "é😀b\x00"])
 def test_equals_brute_force(spark, letters):
     docs = passages(60, len(letters), letters)
-    assert found(suffixes.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))) == brute(docs, 100)
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert found(suffixes.drop_repeats(rows)) == brute(docs, 100)
+    got = {r["doc_id"]: r["kept"] for r in suffixes.drop_repeats(rows, as_text=True).collect()}
+    assert got == {i: kept.decode("utf-8", "ignore") for i, (_, _, kept) in brute(docs, 100).items()}
 
 
 def test_frequent_anchors_are_dealt_to_several_tasks(spark, monkeypatch):
