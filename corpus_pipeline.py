@@ -14,37 +14,36 @@ ACCEPT = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; null and empty texts stay."""
+    """Documents that the toxicity model rejects go; null and empty texts stay, repeated rows are judged each, other columns pass as they are."""
     return toxicity.below(docs, table(spark, sf_dir, "labels"), "toxic", fold_of("doc_id", 3) != 1, ACCEPT)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; repeated rows are judged each, other columns pass as they are, whatever their names."""
     return quality.at_least(docs, table(spark, sf_dir, "labels"), "quality", fold_of("doc_id", 4) != 2, ACCEPT)
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, the one of smallest id stays."""
+    """Of each group of similar documents, the one of smallest id stays; rows without id, text or words stay, of repeated rows one does."""
     return jaccard.one_of_each(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat earlier ones are cut out; all documents stay, with the text that is left.
 
-    Bytes of a character that was cut apart, and with them any U+FFFD of such a
-    text, are left out; n_chars counts the new text.
+    Bytes of a character that was cut apart are left out; n_chars counts the new
+    text. Copies of a whole text are left empty, repeated rows are one document,
+    and an empty table stays empty.
     """
-    cut = suffixes.drop_repeats(docs)
-    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    text = F.when(F.size("spans") == 0, F.col("kept").cast("string")).otherwise(text)
-    rows = cut.select("doc_id", text.alias("text"), "rest")
+    cut = suffixes.drop_repeats(docs, as_text=True)
+    rows = cut.select("doc_id", F.col("kept").alias("text"), "rest")
     columns = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
     return rows.select(*(columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rest is packed into sequences of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), 2048)
+    """The rest is packed into sequences of 2048 tokens; an empty table gives no pieces, repeated rows are packed each."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
 STAGES = [
