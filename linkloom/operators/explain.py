@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls
+from linkloom.operators import ranks
 
 #: Risk bands of a probability.
 SUSPICIOUS, HIGH = 0.30, 0.70
@@ -15,7 +16,9 @@ TOLD = 0.05
 
 def fitted_scaling(rows: DataFrame, features: list[str], logged: list[str]) -> DataFrame:
     """One row: median, mean and population deviation of each feature, after log(1 + x) where asked."""
-    medians = rows.agg(*(F.median(f).alias(f"{f}__median") for f in features))
+    long = rows.select(*(F.col(f).cast("double").alias(f) for f in features)).unpivot([], features, "feature", "value")
+    found = ranks.quantiles(long, ["feature"], "value", {"median": 0.5})
+    medians = found.agg(*(F.max(F.when(F.col("feature") == f, F.col("median"))).alias(f"{f}__median") for f in features))
     filled = rows.crossJoin(F.broadcast(medians))
     values = {f: transformed(F.coalesce(F.col(f), F.col(f"{f}__median")), f, logged) for f in features}
     rest = filled.agg(*(e for f, v in values.items() for e in (F.avg(v).alias(f"{f}__mean"), F.stddev_pop(v).alias(f"{f}__std"))))

@@ -198,9 +198,28 @@ def bootstrap(rows: DataFrame, unit: str, label: str, predicted: str, draws: int
     return long.groupBy("metric").agg(F.count("*").alias("draws"), F.percentile("value", F.lit(0.025)).alias("ci95_low"), F.percentile("value", F.lit(0.975)).alias("ci95_high"))
 
 
+def bootstrap_differences(rows: DataFrame, unit: str, label: str, first: str, second: str, draws: int, seed: int) -> DataFrame:
+    """Point and 95 % interval of the first prediction's rates less the second's: both are taken over the same resamples of units."""
+    y = F.col(label) == 1
+    cells = {f"{c}_{s}": F.count_if((y if t else ~y) & (F.col(p) == v)) for s, p in (("a", first), ("b", second)) for c, t, v in (("tp", 1, 1), ("fp", 0, 1), ("tn", 0, 0), ("fn", 1, 0))}
+    units = rows.groupBy(unit).agg(*(e.alias(n) for n, e in cells.items()))
+    names = ("f1", "recall", "precision", "fpr")
+
+    def gaps(sums: DataFrame) -> DataFrame:
+        a, b = (rates(*(F.col(f"{c}_{s}") for c in ("tp", "fp", "tn", "fn"))) for s in "ab")
+        return sums.select(*(c for c in sums.columns if c not in cells), *((a[n] - b[n]).alias(n) for n in names))
+
+    point = gaps(units.agg(*(F.sum(c).alias(c) for c in cells))).unpivot([], list(names), "metric", "point")
+    drawn = resampled(units.select(unit), unit, draws, seed).join(units, unit).groupBy("draw").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in cells))
+    long = gaps(drawn).unpivot(["draw"], list(names), "metric", "value")
+    found = long.groupBy("metric").agg(F.count("*").alias("draws"), F.percentile("value", F.lit(0.025)).alias("ci95_low"), F.percentile("value", F.lit(0.975)).alias("ci95_high"))
+    return point.join(F.broadcast(found), "metric")  # four rows
+
+
 def quantile_bins(rows: DataFrame, value: str, bins: int) -> DataFrame:
     """`bin` of each row: right-closed quantile ranges from 1, equal edges merged, the least value in the first."""
-    edges = rows.agg(F.array_distinct(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(bins + 1))))).alias("edges"))  # one row
+    found = ranks.quantiles(rows, [], value, {f"q{i}": i / bins for i in range(bins + 1)})
+    edges = found.select(F.array_distinct(F.array(*(f"q{i}" for i in range(bins + 1)))).alias("edges"))  # one row
     number = F.expr(f"greatest(1, size(filter(edges, e -> e < {value})))")
     return rows.crossJoin(F.broadcast(edges)).withColumn("bin", number).drop("edges")
 

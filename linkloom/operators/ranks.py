@@ -7,6 +7,8 @@ totals (one row a range) gives what lies before it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,3 +40,53 @@ def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
     distinct = rows.groupBy(value).agg(F.count("*").alias("n"))
     ranked = running(distinct, value, ["n"]).select(value, (F.col("below_n") + (F.col("n") + 1) / 2).alias(name))
     return rows.join(ranked, value)
+
+
+def running_by(distinct: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:
+    """running() within each group of `by`, and `all_<sum>` of the group. For few groups, as those of a report: of these, cuts and range totals are broadcast."""
+    rows = distinct.withColumn("_by", F.struct(F.lit(0).alias("_all"), *by))  # structs of null fields are equal
+    shares = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    cuts = rows.groupBy("_by").agg(F.array_distinct(F.percentile_approx(value, shares, 1000)).alias("_cuts"))
+    rows = rows.join(F.broadcast(cuts), "_by").withColumn("_range", F.expr(f"size(filter(_cuts, c -> c <= {value}))")).drop("_cuts")
+    group = Window.partitionBy("_by")
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_by", "_range").agg(*(F.sum(s).alias(s) for s in sums))
+    totals = totals.select("_by", "_range", *(e for s in sums for e in (F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_before_{s}"), F.sum(s).over(group).alias(f"all_{s}"))))
+    inside = Window.partitionBy("_by", "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"below_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}).join(F.broadcast(totals), ["_by", "_range"])
+    return rows.select(*by, value, *sums, *(e for s in sums for e in ((F.col(f"below_{s}") + F.col(f"_before_{s}")).alias(f"below_{s}"), F.col(f"all_{s}"))))
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each group with linear interpolation, a column for each share. Values are counted, so no task holds a group; nulls are left out."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("n"))
+    placed = running_by(counted, by, "_v", ["n"])
+
+    def at(place):
+        return F.max(F.when((F.col("below_n") <= place) & (place < F.col("below_n") + F.col("n")), F.col("_v")))
+
+    places = {name: (F.col("all_n") - 1) * F.lit(float(q)) for name, q in shares.items()}
+    found = placed.groupBy(*by).agg(*(e for name, x in places.items() for e in (at(F.floor(x)).alias(f"{name}_low"), at(F.ceil(x)).alias(f"{name}_high"), F.max(x - F.floor(x)).alias(f"{name}_rest"))))
+    return found.select(*by, *((F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * F.col(f"{name}_rest")).alias(name) for name in shares))
+
+
+def with_quantiles(per: DataFrame, rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """`per`, one row for each of a few groups of `rows`, with their quantiles; null groups are groups too."""
+    found = quantiles(rows, by, value, shares).withColumnsRenamed({c: f"_q_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by), F.lit(True))
+    return per.join(F.broadcast(found), same, "left").drop(*(f"_q_{c}" for c in by))
+
+
+def rank_correlations(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(a, b, n, spearman) of every pair of numeric `columns`, over rows that have both; null where one of them is constant.
+
+    All columns are ranked in one pass, among all their values; so with nulls, ranks of
+    a column are those among its own non-null values.
+    """
+    long = rows.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([key], columns, "column", "value").where("value is not null")
+    counted = running_by(long.groupBy("column", "value").agg(F.count("*").alias("n")), ["column"], "value", ["n"])
+    ranked = long.join(counted.select("column", "value", (F.col("below_n") + (F.col("n") + 1) / 2).alias("rank")), ["column", "value"])
+    wide = ranked.groupBy(key).pivot("column", columns).agg(F.first("rank"))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    cells = wide.agg(*(e for i, (a, b) in enumerate(pairs) for e in (F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n{i}"), F.corr(a, b).alias(f"r{i}"))))
+    return cells.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"), F.when(~F.isnan(f"r{i}"), F.col(f"r{i}")).alias("spearman")) for i, (a, b) in enumerate(pairs)))))

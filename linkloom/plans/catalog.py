@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls
-from linkloom.operators import checks, clean, explain, groups, images, metrics
+from linkloom.operators import checks, clean, explain, groups, images, metrics, ranks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,7 +79,8 @@ _SUMMED = ["url_length", "url_digit_count", "url_path_depth", "url_entropy"]
 @query(" UNION ALL ".join(f"SELECT scheme, '{n}' AS feature, round(median({n})::DOUBLE, 6) AS median, round(min({n})::DOUBLE, 6) AS least, round(max({n})::DOUBLE, 6) AS most FROM ({_FEATURES}) GROUP BY scheme" for n in _SUMMED))
 def url_feature_summary(spark, sf):
     long = page_features(spark, sf).select("scheme", *(F.col(n).cast("double").alias(n) for n in _SUMMED)).unpivot(["scheme"], _SUMMED, "feature", "value")
-    return long.groupBy("scheme", "feature").agg(r6(F.median("value"), "median"), r6(F.min("value"), "least"), r6(F.max("value"), "most"))
+    per = long.groupBy("scheme", "feature").agg(r6(F.min("value"), "least"), r6(F.max("value"), "most"))
+    return ranks.with_quantiles(per, long, ["scheme", "feature"], "value", {"median": 0.5}).withColumn("median", F.round("median", 6)).select("scheme", "feature", "median", "least", "most")
 
 
 _PAYLOADS = "(SELECT page_id, CASE page_id % 6 WHEN 0 THEN '' WHEN 1 THEN url || ' x' WHEN 2 THEN 'mailto:a@b.c' WHEN 3 THEN url || repeat('a', 2000) WHEN 4 THEN 'http://' ELSE url END AS payload FROM pages)"
@@ -169,10 +170,11 @@ def dataset_audit(spark, sf):
     rows = urls.with_parts(table(spark, sf, "pages")).withColumns({"n": F.length("url"), "label": F.col("page_id") % 2})
     area = metrics.auc(rows, "label", "n").select(F.round(F.greatest("auc", 1 - F.col("auc")), 6).alias("length_only_auc"))
     per = rows.groupBy("label").agg(
-        F.count("*").alias("n"), F.median("n").alias("median_length"), F.percentile("n", F.lit(0.25)).alias("q1"), F.percentile("n", F.lit(0.75)).alias("q3"),
+        F.count("*").alias("n"),
         r6(F.avg((F.col("scheme") == "https").cast("int")), "share_https"), r6(F.avg((F.col("query") != "").cast("int")), "share_query"),
     )
-    return per.crossJoin(F.broadcast(area))  # one row
+    per = ranks.with_quantiles(per, rows, ["label"], "n", {"median_length": 0.5, "q1": 0.25, "q3": 0.75})
+    return per.crossJoin(F.broadcast(area)).select("label", per["n"], "median_length", "q1", "q3", "share_https", "share_query", "length_only_auc")  # one row
 
 
 @query("""SELECT label, bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY label), 6) AS share FROM
@@ -258,10 +260,10 @@ def pivot_counts(spark, sf):
 
 @query("SELECT l_returnflag, median(l_extendedprice) AS median_price, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3, min(l_tax) AS least, max(l_tax) AS most, round(stddev_pop(l_quantity), 6) AS std FROM lineitem GROUP BY l_returnflag")
 def group_quantiles(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.median("l_extendedprice").alias("median_price"), F.percentile("l_extendedprice", F.lit(0.25)).alias("q1"), F.percentile("l_extendedprice", F.lit(0.75)).alias("q3"),
-        F.min("l_tax").alias("least"), F.max("l_tax").alias("most"), r6(F.stddev_pop("l_quantity"), "std"),
-    )
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice", "l_tax", "l_quantity")
+    per = rows.groupBy("l_returnflag").agg(F.min("l_tax").alias("least"), F.max("l_tax").alias("most"), r6(F.stddev_pop("l_quantity"), "std"))
+    found = ranks.with_quantiles(per, rows, ["l_returnflag"], "l_extendedprice", {"median_price": 0.5, "q1": 0.25, "q3": 0.75})
+    return found.select("l_returnflag", "median_price", "q1", "q3", "least", "most", "std")
 
 
 @query("SELECT o_orderpriority, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM orders GROUP BY o_orderpriority")
@@ -285,10 +287,11 @@ def top_k_errors(spark, sf):
 
 @query("SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) WHERE k = (n - 1) // 2 + 1")
 def lower_median_pick(spark, sf):
-    w = Window.partitionBy("o_orderpriority")
     o = table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
-    o = o.withColumns({"k": F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")), "n": F.count("*").over(w)})
-    return o.where("k = (n - 1) div 2 + 1").select("o_orderpriority", "o_orderkey")
+    values = ranks.running_by(o.groupBy("o_orderpriority", "o_totalprice").agg(F.count("*").alias("n")), ["o_orderpriority"], "o_totalprice", ["n"])
+    held = values.where("below_n <= (all_n - 1) div 2 and (all_n - 1) div 2 < below_n + n").selectExpr("o_orderpriority", "o_totalprice", "(all_n - 1) div 2 - below_n + 1 as place")
+    tied = o.join(F.broadcast(held), ["o_orderpriority", "o_totalprice"])  # one row a group
+    return tied.withColumn("k", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))).where("k = place").select("o_orderpriority", "o_orderkey")
 
 
 @query("SELECT c_nationkey, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY abs(c_acctbal) DESC, c_custkey) AS k FROM customer) WHERE k <= 3")
@@ -470,7 +473,7 @@ v AS (SELECT draw, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(t
 l AS (SELECT 'precision' AS metric, precision AS x FROM v UNION ALL SELECT 'recall', recall FROM v UNION ALL SELECT 'f1', f1 FROM v)
 SELECT metric, count(*) AS draws, round(quantile_cont(x, 0.025), 6) AS ci95_low, round(quantile_cont(x, 0.975), 6) AS ci95_high FROM l GROUP BY metric""")
 def bootstrap_ci(spark, sf):
-    """50 draws, as in its SQL; bootstrap_ci_whole takes 2,000 and adds the area under the curve."""
+    """2,000 draws, as in its SQL; bootstrap_ci_whole adds the area under the curve."""
     return metrics.bootstrap(judged_lengths(spark, sf), "source", "quality", "predicted", _DRAWS, SEED).select("metric", "draws", r6("ci95_low", "ci95_low"), r6("ci95_high", "ci95_high"))
 
 
@@ -635,7 +638,7 @@ def training_filter(spark, sf):
 @query()
 def lr_fit(spark, sf):
     """L2 logistic regression of returned lines on standardised columns (regParam = 1 / (C n)); no SQL twin."""
-    rows = scored(spark, sf).join(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_extendedprice"), ["l_orderkey", "l_linenumber"])
+    rows = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity / 50.0 as score", "cast(l_returnflag = 'R' as bigint) as label", "l_discount", "l_tax", "l_extendedprice")
     names = ["score", "l_discount", "l_tax", "l_extendedprice"]
     scale = rows.agg(F.count("*").alias("n"), *(e for c in names for e in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s")))).first()
     ready = rows.select("l_orderkey", "l_linenumber", F.col("label").cast("double").alias("label"), *((F.col(c) - scale[f"{c}_m"]) / (scale[f"{c}_s"] or 1.0) for c in names)).toDF("l_orderkey", "l_linenumber", "label", *names)
@@ -688,7 +691,8 @@ def paired_shift(spark, sf):
     second = urls.with_features(urls.with_parts(changed)).select("page_id", *(F.col(f).alias(f"new_{f}") for f in _SHIFTED))
     both = page_features(spark, sf).select("page_id", *_SHIFTED).join(second, "page_id")
     long = both.select(F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), (F.col(f"new_{f}") - F.col(f)).alias("shift")) for f in _SHIFTED))))
-    return long.groupBy("feature").agg(F.count("*").alias("n"), r6(F.avg("shift"), "mean_shift"), F.median("shift").alias("median_shift"), r6(F.avg((F.col("shift") != 0).cast("int")), "share_changed"))
+    per = long.groupBy("feature").agg(F.count("*").alias("n"), r6(F.avg("shift"), "mean_shift"), r6(F.avg((F.col("shift") != 0).cast("int")), "share_changed"))
+    return ranks.with_quantiles(per, long, ["feature"], "shift", {"median_shift": 0.5}).select("feature", "n", "mean_shift", "median_shift", "share_changed")
 
 
 # ---------------------------------------------------------------- checks and images
