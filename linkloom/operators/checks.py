@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.sources.files import ContractError
+
 
 def table_diff(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """One row for each compared column: rows of one side only, differing texts or null places, largest numeric difference."""
@@ -50,3 +52,21 @@ def not_shared(name: str, df: DataFrame, group: str, part: str) -> DataFrame:
 
 def report(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
+
+
+def _ask_unique(df: DataFrame, keys: list[str], side: str) -> None:
+    if not df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        raise ContractError(f"keys {keys} repeat on the {side} side of a join")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join that is an error if the keys repeat on either side."""
+    _ask_unique(left, keys, "left")
+    _ask_unique(right, keys, "right")
+    return left.join(right, keys, how)
+
+
+def one_to_many(one: DataFrame, many: DataFrame, keys: list[str]) -> DataFrame:
+    """`many` joined with `one`; an error if the keys repeat in `one`."""
+    _ask_unique(one, keys, "one")
+    return many.join(one, keys)

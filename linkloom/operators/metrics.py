@@ -80,10 +80,10 @@ def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Correlation of average ranks over rows that have both values."""
+    """Correlation of average ranks over rows that have both values; null if one of them is constant."""
     both = rows.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
     ranked = ranks.average_ranks(ranks.average_ranks(both, "x", "rx"), "y", "ry")
-    return ranked.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
+    return ranked.agg(F.count("*").alias("n"), ranks.correlation(F.col("rx"), F.col("ry")).alias("spearman"))
 
 
 def wilson(k: Column, n: Column) -> tuple[Column, Column]:

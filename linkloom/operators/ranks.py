@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 64
@@ -58,7 +58,7 @@ def running_by(distinct: DataFrame, by: list[str], value: str, sums: list[str])
 
 
 def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact quantiles of each group with linear interpolation, a column for each share. Values are counted, so no task holds a group; nulls are left out."""
+    """Exact quantiles of each group with linear interpolation, a column for each share. Values are counted, so no task holds a group; nulls are left out. Without `by`, an empty table gives one row of nulls."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("n"))
     placed = running_by(counted, by, "_v", ["n"])
 
@@ -77,6 +77,12 @@ def with_quantiles(per: DataFrame, rows: DataFrame, by: list[str], value: str, s
     return per.join(F.broadcast(found), same, "left").drop(*(f"_q_{c}" for c in by))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's coefficient over rows with both values; null if one of them is constant."""
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def rank_correlations(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(a, b, n, spearman) of every pair of numeric `columns`, over rows that have both; null where one of them is constant.
 
@@ -88,5 +94,5 @@ def rank_correlations(rows: DataFrame, key: str, columns: list[str]) -> DataFram
     ranked = long.join(counted.select("column", "value", (F.col("below_n") + (F.col("n") + 1) / 2).alias("rank")), ["column", "value"])
     wide = ranked.groupBy(key).pivot("column", columns).agg(F.first("rank"))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    cells = wide.agg(*(e for i, (a, b) in enumerate(pairs) for e in (F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n{i}"), F.corr(a, b).alias(f"r{i}"))))
-    return cells.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"), F.when(~F.isnan(f"r{i}"), F.col(f"r{i}")).alias("spearman")) for i, (a, b) in enumerate(pairs)))))
+    cells = wide.agg(*(e for i, (a, b) in enumerate(pairs) for e in (F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n{i}"), correlation(F.col(a), F.col(b)).alias(f"r{i}"))))
+    return cells.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("spearman")) for i, (a, b) in enumerate(pairs)))))
