@@ -87,12 +87,15 @@ def rank_correlations(rows: DataFrame, key: str, columns: list[str]) -> DataFram
     """(a, b, n, spearman) of every pair of numeric `columns`, over rows that have both; null where one of them is constant.
 
     All columns are ranked in one pass, among all their values; so with nulls, ranks of
-    a column are those among its own non-null values.
+    a column are those among its own non-null values. `key` is unique. Each row meets
+    the pairs in its own task and is added up there. An empty table gives no rows.
     """
     long = rows.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([key], columns, "column", "value").where("value is not null")
     counted = running_by(long.groupBy("column", "value").agg(F.count("*").alias("n")), ["column"], "value", ["n"])
     ranked = long.join(counted.select("column", "value", (F.col("below_n") + (F.col("n") + 1) / 2).alias("rank")), ["column", "value"])
     wide = ranked.groupBy(key).pivot("column", columns).agg(F.first("rank"))
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    cells = wide.agg(*(e for i, (a, b) in enumerate(pairs) for e in (F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n{i}"), correlation(F.col(a), F.col(b)).alias(f"r{i}"))))
-    return cells.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("spearman")) for i, (a, b) in enumerate(pairs)))))
+    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(len(columns)) for j in range(i + 1, len(columns))))
+    met = wide.select(F.array(*columns).alias("ranks"), F.inline(pairs)).select("i", "j", F.expr("ranks[i]").alias("x"), F.expr("ranks[j]").alias("y"))
+    cells = met.groupBy("i", "j").agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n"), correlation(F.col("x"), F.col("y")).alias("spearman"))
+    names = F.array(*map(F.lit, columns))
+    return cells.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "n", "spearman")

@@ -398,17 +398,25 @@ def spearman(spark, sf):
     return metrics.spearman(rows, "n_chars", "quality").select("n", r6("spearman", "spearman"))
 
 
-_CORRELATED = ["url_hostname_length", "url_path_length", "url_digit_count", "url_entropy"]
+def rounded(f: str) -> str:
+    """A feature in SQL; ratios are rounded, so that both engines find the same ties."""
+    return f"round({f}, 9)" if f in ("url_digit_ratio", "url_entropy") else f
 
 
-@query(" UNION ALL ".join(f"SELECT '{f}' AS feature, round(corr(a, b), 6) AS spearman, abs(round(corr(a, b), 6)) <= 0.9 AS kept FROM (SELECT {_RHO.format('url_length')} AS a, {_RHO.format(f'round({f}, 9)')} AS b FROM ({_FEATURES}))" for f in _CORRELATED))
+def rounded_features(spark, sf) -> DataFrame:
+    return page_features(spark, sf).select("page_id", *(F.expr(f"cast({rounded(f)} as double)").alias(f) for f in urls.FEATURES))
+
+
+_RANKED = f"SELECT {', '.join(f'{_RHO.format(rounded(f))} AS {f}' for f in urls.FEATURES)} FROM ({_FEATURES})"
+_PAIRS = [(a, b) for i, a in enumerate(urls.FEATURES) for b in urls.FEATURES[i + 1 :]]
+_RHO_OF = "CASE WHEN min({0}) < max({0}) AND min({1}) < max({1}) THEN round(corr({0}, {1}), 6) END"
+
+
+@query(f"WITH r AS MATERIALIZED ({_RANKED}), c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, {_RHO_OF.format(a, b)} AS spearman FROM r" for a, b in _PAIRS) + ") SELECT *, coalesce(abs(spearman) <= 0.9, true) AS kept FROM c")
 def feature_corr_table(spark, sf):
-    rows = page_features(spark, sf).withColumn("url_entropy", F.round("url_entropy", 9))
-    out = None
-    for f in _CORRELATED:
-        one = metrics.spearman(rows, "url_length", f).select(F.lit(f).alias("feature"), r6("spearman", "spearman"))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("kept", F.abs("spearman") <= 0.9)
+    """Rank correlations of all pairs of the features; those with a constant one have none, and are kept."""
+    pairs = ranks.rank_correlations(rounded_features(spark, sf), "page_id", urls.FEATURES)
+    return pairs.withColumn("spearman", F.round("spearman", 6)).withColumn("kept", F.coalesce(F.abs("spearman") <= 0.9, F.lit(True)))
 
 
 _WILSON = "CASE WHEN {n} > 0 THEN round({f}({b}, ({k}/{n} + 1.9208/{n} {s} 1.96 * sqrt(({k}/{n}) * (1 - {k}/{n}) / {n} + 0.9604/({n}*{n}::DOUBLE))) / (1 + 3.8416/{n})), 6) END"
@@ -627,12 +635,13 @@ def factor_sentences(spark, sf):
     return explain.factors(page_contributions(spark, sf), "page_id").withColumn("contribution", F.round("contribution", 6))
 
 
-@query(f"WITH f AS ({_FEATURES}) " + " UNION ALL ".join(f"SELECT '{f}' AS feature, CASE WHEN count(DISTINCT {f}) < 2 THEN 'zero variance' WHEN max({f}) <= 1 AND min({f}) >= 0 AND count(DISTINCT {f}) <= 2 AND sum({f}) < 2 THEN 'rare flag' ELSE 'kept' END AS verdict FROM f" for f in urls.FEATURES if f not in ("url_entropy", "url_digit_ratio")))
+@query(f"WITH f AS ({_FEATURES}) " + " UNION ALL ".join(f"SELECT '{f}' AS feature, CASE WHEN count(DISTINCT {rounded(f)}) < 2 THEN 'zero variance' WHEN bool_and({f} IN (0, 1)) AND sum({f}) < 2 THEN 'rare flag' ELSE 'kept' END AS verdict FROM f" for f in urls.FEATURES))
 def training_filter(spark, sf):
-    names = [f for f in urls.FEATURES if f not in ("url_entropy", "url_digit_ratio")]
-    long = page_features(spark, sf).unpivot(["page_id"], names, "feature", "value")
-    per = long.groupBy("feature").agg(F.countDistinct("value").alias("n"), F.bool_and(F.col("value").isin(0, 1)).alias("flag"), F.sum("value").alias("s"))
-    return per.select("feature", F.when(F.col("n") < 2, "zero variance").when(F.col("flag") & (F.col("s") < 2), "rare flag").otherwise("kept").alias("verdict"))
+    """Which of the features a model may take; least and most values tell whether one varies, so nothing is counted by value."""
+    long = rounded_features(spark, sf).unpivot(["page_id"], urls.FEATURES, "feature", "value")
+    per = long.groupBy("feature").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.bool_and(F.col("value").isin(0.0, 1.0)).alias("flag"), F.sum("value").alias("s"))
+    varies = F.coalesce(F.col("least") < F.col("most"), F.lit(False))
+    return per.select("feature", F.when(~varies, "zero variance").when(F.col("flag") & (F.col("s") < 2), "rare flag").otherwise("kept").alias("verdict"))
 
 
 @query()
@@ -673,11 +682,11 @@ def example_picker(spark, sf):
     return tied.withColumn("k", k).where("k = place").select("label", "predicted", "l_orderkey", "l_linenumber", "score")
 
 
-@query(f"""WITH g AS (SELECT floor(c_custkey / 3)::BIGINT AS group_id, count_if(c_custkey % 2 = 0)::BIGINT AS zeros, count_if(c_custkey % 2 = 1)::BIGINT AS ones FROM customer GROUP BY 1)
+@query(f"""WITH s AS ({SQL["split_groups"]}), g AS (SELECT group_id, count_if(c_custkey % 2 = 0)::BIGINT AS zeros, count_if(c_custkey % 2 = 1)::BIGINT AS ones FROM s GROUP BY 1)
 SELECT group_id, zeros, ones, ((row_number() OVER (PARTITION BY zeros, ones ORDER BY md5(concat_ws('|', '{SEED}', group_id::VARCHAR)), group_id) - 1) % 5)::INT AS fold FROM g""")
 def group_folds(spark, sf):
-    per = customers(spark, sf).groupBy(F.col("domain").alias("group_id")).agg(F.count_if(F.col("label") == 0).alias("zeros"), F.count_if(F.col("label") == 1).alias("ones"))
-    return groups.stratified_folds(per, 5, SEED)
+    """The fold of each group of customers that a domain or a template links, so linked rows never part."""
+    return groups.stratified_folds(groups.stored(customer_groups(spark, sf), "groups"), 5, SEED)
 
 
 _SHIFTED = ["url_length", "url_path_length", "url_digit_count", "url_hyphen_count"]
