@@ -233,7 +233,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) and decoded text of every document.
 
     A null text is empty: no ids and an empty decoded text. Repeated rows are
-    encoded each, a null doc_id stays null, other columns are left unread.
+    encoded each, a null doc_id stays null, other columns are left unread. An empty
+    table gives no rows; a very long text is encoded whole, in one task.
     """
     spec = broadcast_file(docs, path)
 
@@ -250,7 +251,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of every document; a null text has none of either.
 
     Repeated rows are counted each, a null doc_id stays null, other columns are
-    left unread.
+    left unread. An empty table gives no rows; a very long text is counted whole.
     """
     spec = broadcast_file(docs, path)
 

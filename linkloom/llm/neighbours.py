@@ -129,7 +129,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, shard: int = SHARD, block
     rows count once; if an id has several vectors, all are candidates and the
     first in order is its query. Equal vectors are indexed together with their
     k + 1 smallest ids: no other can be among the k nearest, as ties go to the
-    smaller id. Other columns are left unread.
+    smaller id. Other columns are left unread. An empty table gives no rows.
     """
     rows = usable(vectors)
     smallest = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))

@@ -149,14 +149,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str, visible, per
 
     A null or empty text has the statistics of no words and is scored by them.
     Without labels of both classes every score is high (only 1 or none seen) or
-    low. Repeated rows are scored each; other columns are left unread.
+    low. Repeated rows are scored each; other columns are left unread. An empty table
+    gives no rows, and a very long text is measured whole, as any other.
     """
     ensemble = learn(docs, labels, label, visible, per_class)
     return statistics(docs, "doc_id").select("doc_id", ensemble.column().alias("score"))
 
 
 def at_least(docs: DataFrame, labels: DataFrame, label: str, visible, threshold: float, per_class: int = PER_CLASS) -> DataFrame:
-    """The rows of `docs`, all columns, whose score is `threshold` or more; they are scored as by score_documents."""
+    """The rows of `docs`, all columns, whose score is `threshold` or more; they are scored as by score_documents. An empty table stays empty."""
     ensemble = learn(docs, labels, label, visible, per_class)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), "text")
     # a filter would be pushed below the statistics, with a copy of them for each rule; a generator's output is not

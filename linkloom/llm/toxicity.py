@@ -183,7 +183,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str, visible, per
     The model is fitted on at most 2 * per_class documents whose labels are
     `visible`. A text that is null, empty or without words is scored by the bias
     alone. Without labels of both classes every score is low (only 0 or none
-    seen) or high. Repeated rows are scored each; other columns are left unread.
+    seen) or high. Repeated rows are scored each; other columns are left unread. An
+    empty table gives no rows; of a very long text every window counts.
     """
     docs = docs.select("doc_id", "text")
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label, visible, per_class))
@@ -197,7 +198,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str, visible, per
 
 
 def below(docs: DataFrame, labels: DataFrame, label: str, visible, threshold: float, per_class: int = PER_CLASS) -> DataFrame:
-    """The rows of `docs`, all columns, whose score is below `threshold`; they are scored as by score_documents."""
+    """The rows of `docs`, all columns, whose score is below `threshold`; they are scored as by score_documents. An empty table stays empty."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label, visible, per_class))
 
     def run(batches):
