@@ -14,17 +14,17 @@ ACCEPT = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; null and empty texts stay, repeated rows are judged each, other columns pass as they are."""
+    """Documents that the toxicity model rejects go; null and empty texts stay, repeated rows are judged each, other columns pass as they are, whatever their names; an empty table stays empty."""
     return toxicity.below(docs, table(spark, sf_dir, "labels"), "toxic", fold_of("doc_id", 3) != 1, ACCEPT)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; repeated rows are judged each, other columns pass as they are, whatever their names."""
+    """Documents that the quality rules reject go; repeated rows are judged each, other columns pass as they are, whatever their names; an empty table stays empty."""
     return quality.at_least(docs, table(spark, sf_dir, "labels"), "quality", fold_of("doc_id", 4) != 2, ACCEPT)
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, the one of smallest id stays; rows without id, text or words stay, of repeated rows one does."""
+    """Of each group of similar documents, the one of smallest id stays; rows without id, text or words stay, of repeated rows one does; other columns pass as they are, and an empty table stays empty."""
     return jaccard.one_of_each(docs)
 
 

@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Fields that the usual CSV dialect takes for missing ones.
+NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
 class ContractError(Exception):
     """A table does not keep what its reader asks for."""
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, nulls: str = "empty") -> DataFrame:
-    """A CSV file with header and quoted fields. nulls: 'keep' (empty fields stay empty texts) or 'empty' (they are null)."""
+    """A CSV file with header and quoted fields. nulls: 'keep' (empty fields stay empty texts), 'empty' (they are null) or 'default' (all fields of NA are)."""
+    if nulls == "default":  # tokens are looked for in the fields as written, before they are cast
+        wanted = spark.createDataFrame([], schema).schema
+        raw = spark.read.csv(path, header=True, schema=", ".join(f"`{f.name}` string" for f in wanted), quote='"', escape='"', multiLine=True)
+        return raw.select(*(F.when(~F.col(f"`{f.name}`").isin(NA), F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in wanted))
     df = spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=True, nullValue="" if nulls == "empty" else "\0", emptyValue="")
     if nulls == "keep":
         df = df.select(*(F.coalesce(c, F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes))

@@ -3,6 +3,7 @@ import math
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +238,13 @@ def test_images():
 def test_qr_versions(spark):
     rows = spark.createDataFrame([("x" * n,) for n in (14, 15, 2331, 2332)], "t string").select(images.qr_version(F.col("t")).alias("v"))
     assert [r["v"] for r in rows.collect()] == [1, 2, 40, None]
+
+
+def test_default_missing_values(spark, tmp_path):
+    fields = [*files.NA[1:], "na", "text", " NA", "\"\""]
+    path = tmp_path / "na.csv"
+    path.write_text("a,b,c d\n" + "".join(f"{f},{i if i % 3 else 'NA'},{i / 4 if i % 2 else 'nan'}\n" for i, f in enumerate(fields)))
+    got = files.read_csv(spark, str(path), "a string, b bigint, `c d` double", "default").collect()
+    want = pd.read_csv(path)
+    assert [tuple(r) for r in got] == [tuple(None if pd.isna(v) else v for v in row) for row in want.itertuples(index=False)]
+    assert got[0].b is None and got[1].b == 1 and sum(r.a is not None for r in got) == 3
