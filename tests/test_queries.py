@@ -20,7 +20,7 @@ def duck(sf):
 
 def comparable(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
-    rows = [tuple(None if v is None or v != v else round(float(v), 5) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v) for v in row) for row in df.itertuples(index=False)]
+    rows = [tuple(None if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v) for v in row) for row in df.itertuples(index=False)]
     return sorted(rows, key=str)
 
 
