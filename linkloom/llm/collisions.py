@@ -194,7 +194,7 @@ def links_of(nodes: DataFrame, near: float, leaf: int, visitors: int) -> DataFra
     to = F.when(F.col("own"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks"))))
     tasks = with_blocks.withColumn("block", F.explode(to)).select("node", *key, "own", "block").join(nodes.select("node", "first", "n", "unit", "places"), "node")
 
-    def run(k, f: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["own", "node"], ascending=[False, True])
         unit, places = np.stack(f["unit"].to_list()), np.stack(f["places"].to_list())
         own, many, first = int(f["own"].sum()), f["n"].to_numpy().astype(float), f["first"].to_numpy()

@@ -211,15 +211,15 @@ OP13_SQL = f"""
 WITH d AS (
   SELECT doc_id, {_TERMS} AS w FROM documents WHERE doc_id IS NOT NULL
 ), s AS (
-  SELECT count(*) AS N, sum(len(w))::BIGINT AS L FROM d WHERE len(w) > 0
+  SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0
 ), t AS (
   SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) GROUP BY ALL
 ), f AS (
-  SELECT term, floor(1000 * ln((2 * any_value(N) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, s GROUP BY term
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, s GROUP BY term
 ), q AS (
   SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL
 ), r AS (
-  SELECT item_id, doc_id, sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * N) // L))))::BIGINT AS score
+  SELECT item_id, doc_id, sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
   FROM q JOIN t USING (term) JOIN f USING (term), s GROUP BY item_id, doc_id
 )
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0

@@ -168,14 +168,14 @@ class Bundle:
 def advanced(bundle: Bundle, terms_of: np.ndarray, places: np.ndarray, parts: np.ndarray, by_item: list, rest: np.ndarray, n_docs: int, k: int) -> Bundle:
     """The bundle after a stage. rest: what later stages can add to a document of each item at most."""
     dense = np.zeros(n_docs, np.int64)
-    starts = dict(zip(*(x.tolist() for x in np.unique(terms_of, return_index=True)), strict=True))
-    ends = dict(zip(starts, [*list(starts.values())[1:], len(terms_of)], strict=True))
+    there, starts = np.unique(terms_of, return_index=True)
+    spans = {t: slice(s, e) for t, s, e in zip(there.tolist(), starts.tolist(), [*starts[1:].tolist(), len(terms_of)], strict=False)}
     out = []
     for item, (place, score) in enumerate(bundle.of):
         dense[place] = score
         for term, factor in by_item[item]:
-            if term in starts:
-                own = slice(starts[term], ends[term])
+            if term in spans:
+                own = spans[term]  # a document holds a term once
                 dense[places[own]] += factor * parts[own]
         held = np.flatnonzero(dense)
         score = dense[held]
@@ -215,7 +215,7 @@ def ranked_pass(docs: DataFrame, items: Items, k: int, stages: int) -> DataFrame
     bundles = owned.where("stage = 0").select("shard", "ids", *(F.lit(None).cast("binary").alias(c) for c in ("many", "place", "score")))
 
     def meet(stage):
-        def run(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        def run(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             factors, rest = shared.value
             row = left.iloc[0]
             own = [np.concatenate([np.frombuffer(x, np.int32) for x in right[c]]) if len(right) else np.zeros(0, np.int32) for c in ("term", "place", "part")]
