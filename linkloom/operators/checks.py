@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.operators import ranks
+from linkloom.sources import files
 from linkloom.sources.files import ContractError
+from linkloom.sources.scratch import folder
 
 
 def table_diff(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
@@ -28,11 +32,57 @@ def table_diff(left: DataFrame, right: DataFrame, keys: list[str], tolerance: fl
     return rows.withColumn("status", F.when((F.col("one_sided") == 0) & (F.col("differing") == 0) & (F.coalesce("max_abs_diff", F.lit(0.0)) <= tolerance), "PASS").otherwise("FAIL"))
 
 
-def digest(rows: DataFrame, key: str, buckets: int = 256) -> DataFrame:
-    """SHA-256 over the sorted keys, in buckets of their md5, so that no task holds them all."""
-    bucket = F.substring(F.md5(F.col(key).cast("string")), 1, 2)
-    parts = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), 256).alias("part"))
-    return parts.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"]), "\n"), 256).alias("sha256"))
+def digest(rows: DataFrame, key: str, block: int = 1024) -> DataFrame:
+    """n, levels and sha256 of the keys, as text, in their order: a tree of digests.
+
+    Sorted keys are hashed in blocks of `block`, joined by line breaks, and so are the
+    digests of each level until one is left; a task holds one block at a time. Null
+    keys are empty texts; no keys have the digest of an empty text and no levels.
+    """
+    parts = ranks.numbered(rows.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("part")), ["part"], "at")
+    n = parts.count()
+    levels, left = 0, n
+    while left > 1 or (levels == 0 and n):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "\n")
+        parts = parts.groupBy(F.expr(f"at div {block}").alias("at")).agg(F.sha2(joined, 256).alias("part"))
+        levels, left = levels + 1, -(-left // block)
+    root = parts.agg(F.coalesce(F.max("part"), F.sha2(F.lit(""), 256)).alias("sha256"))  # one row at most
+    return root.select(F.lit(n).cast("bigint").alias("n"), F.lit(levels).alias("levels"), "sha256")
+
+
+def digest_of(rows: DataFrame, key: str, block: int = 1024) -> str:
+    return digest(rows, key, block).first()["sha256"]
+
+
+def file_manifest(spark: SparkSession, path: str, block: int = 1024) -> tuple[DataFrame, str]:
+    """Name, size and SHA-256 of each file below `path`, and one digest of them all, by name."""
+    found = files.file_digests(spark, path)
+    return found, digest_of(found.select(F.concat_ws(" ", "file", "n_bytes", "sha256").alias("entry")), "entry", block)
+
+
+def same_as_saved(fresh: DataFrame, path: str, keys: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """table_diff() of a table that was saved with a fresh one, which is saved and read back first, so both have passed through the same file form.
+
+    Lines that the saved schema does not take are a row of their own (column_name
+    '_corrupt'), and so are columns that differ ('_columns').
+    """
+    spark = fresh.sparkSession
+    saved, corrupt = files.read_saved(spark, path)
+    again = f"{folder(spark)}/again-{uuid.uuid4().hex}"
+    files.save(fresh, again)
+    back, _ = files.read_saved(spark, again)
+    broken = corrupt.count()
+    notes = [("_corrupt", 0, broken, None, "FAIL")] if broken else []
+    if saved.columns != back.columns:
+        notes.append(("_columns", 0, len(set(saved.columns) ^ set(back.columns)), None, "FAIL"))
+    both = [c for c in saved.columns if c in back.columns]
+    found = table_diff(saved.select(*both), back.select(*both), keys, tolerance)
+    return found.unionByName(spark.createDataFrame(notes, found.schema)) if notes else found
+
+
+def row_keys(df: DataFrame, key: str) -> DataFrame:
+    """`row`: each row as text, its key first, the columns in order of their names."""
+    return df.select(F.concat_ws("\t", F.col(key).cast("string"), F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))), {"ignoreNullFields": "false"})).alias("row"))
 
 
 def check(name: str, df: DataFrame, failures: Column) -> DataFrame:

@@ -23,23 +23,26 @@ def judged(rows: DataFrame, row_id: str = "row_id") -> DataFrame:
 
     Rows go, in this order, for being empty or holding white space, for over
     2,000 characters, for labels that contradict another copy of the canonical
-    url, as exact and as canonical duplicates of an earlier row. One shuffle.
+    url, as exact and as canonical duplicates of an earlier row. The first two need
+    no other row; for the rest, least and greatest values of a url are aggregated
+    in part before the shuffle and joined back, so no task holds all copies of one.
     """
     rows = rows.withColumn("url", F.regexp_replace(F.coalesce("url", F.lit("")), WHITE, ""))
     rows = urls.with_columns(urls.with_parts(rows), [("canonical_url", urls.canonical(urls.SPARK))])
     bad = F.col("url").isin("", "nan", "None") | F.col("url").rlike(r"(?U)\s")
-    usable = ~bad & (F.length("url") <= urls.MAX_URL)
-    one, same = Window.partitionBy("usable", "canonical_url"), Window.partitionBy("usable", "canonical_url", "url")
-    rows = rows.withColumn("usable", usable).withColumns({
-        "contrary": F.min("label").over(one) != F.max("label").over(one),
-        "first": F.min(row_id).over(one),
-        "first_same": F.min(row_id).over(same),
-    })
+    alone = F.when(bad, "empty_or_whitespace").when(F.length("url") > urls.MAX_URL, "over_2000_chars")
+    rows = rows.withColumn("_alone", alone)
+    usable = rows.where("_alone is null")
+    least = usable.groupBy("canonical_url", "url").agg(F.min(row_id).alias("_first_same"), F.min("label").alias("_least"), F.max("label").alias("_most"))
+    one = least.groupBy("canonical_url").agg(F.min("_first_same").alias("_first"), (F.min("_least") != F.max("_most")).alias("_contrary"))
+    found = usable.join(least.select("canonical_url", "url", "_first_same").join(one, "canonical_url"), ["canonical_url", "url"])
     verdict = (
-        F.when(bad, "empty_or_whitespace").when(~F.col("usable"), "over_2000_chars").when(F.col("contrary"), "conflicting_label")
-        .when(F.col("first_same") != F.col(row_id), "exact_duplicate").when(F.col("first") != F.col(row_id), "canonical_duplicate").otherwise("kept")
+        F.when(F.col("_contrary"), "conflicting_label").when(F.col("_first_same") != F.col(row_id), "exact_duplicate")
+        .when(F.col("_first") != F.col(row_id), "canonical_duplicate").otherwise("kept")
     )
-    return rows.withColumn("verdict", verdict).drop("usable", "contrary", "first", "first_same")
+    names = [c for c in rows.columns if c != "_alone"]
+    settled = rows.where("_alone is not null").select(*names, F.col("_alone").alias("verdict"))
+    return found.select(*names, verdict.alias("verdict")).unionByName(settled)
 
 
 def drop_report(judged_rows: DataFrame) -> DataFrame:
@@ -58,3 +61,19 @@ def balanced(rows: DataFrame, per_class: int, seed: int, key: str, label: str =
     if short:
         raise ValueError(f"fewer than {per_class} rows of label {short[0][label]}")
     return capped(rows, label, per_class, seed, key)
+
+
+def least_hashed(rows: DataFrame, by: list[str], keep: str, seed: int, key: str, digits: int = 3) -> DataFrame:
+    """Of each group of `by`, the rows of the `keep` smallest hashes (`keep`: a column, one number a group).
+
+    Hashes are counted by their first hex digits; whole ranges below a group's limit
+    stay, and only the range that holds the limit is ordered. `keep` goes.
+    """
+    rows = rows.withColumns({"_hash": hashed(seed, key), "_range": F.substring(hashed(seed, key), 1, digits)})
+    counts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.first(keep).alias("_keep"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))  # 16 ** digits rows a group
+    limits = counts.withColumn("_upto", upto).where("_upto - _n < _keep").select(*by, "_range", F.when(F.col("_upto") > F.col("_keep"), F.col("_keep") - F.col("_upto") + F.col("_n")).alias("_some"))
+    near = rows.join(limits, [*by, "_range"])
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_hash", key))
+    some = near.where("_some is not null").withColumn("_place", place).where("_place <= _some").drop("_place")
+    return near.where("_some is null").unionByName(some).drop("_hash", "_range", "_some", keep)

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.operators import ranks
 from linkloom.operators.clean import hashed
 from linkloom.sources.scratch import stored
 
 #: Templates used so often connect rows; more often they are generic and only reported.
 LEAST, MOST = 3, 30
 TARGETS = {"test": 0.15, "val": 0.15}
-#: Groups of one candidate in a task, about.
-RANGE = 1 << 14
+#: Groups of one candidate in a task, about, as long as there are not more than RANGES ranges.
+RANGE, RANGES = 1 << 14, 1024
 
 
 def split_groups(rows: DataFrame, key: str, domain: str, template: str, least: int = LEAST, most: int = MOST) -> DataFrame:
@@ -38,18 +40,17 @@ def split_groups(rows: DataFrame, key: str, domain: str, template: str, least: i
     return rows.join(label.withColumnRenamed("label", "group_id"), domain).drop("_t")
 
 
-def numbered_groups(grouped: DataFrame) -> DataFrame:
-    """(group_id, name) with names G00000, ... in the order of the smallest key."""
-    distinct = grouped.select("group_id").distinct()
-    return distinct.withColumn("name", F.format_string("G%05d", F.row_number().over(Window.orderBy("group_id")) - 1))
+def numbered_groups(grouped: DataFrame, order: str = "group_id") -> DataFrame:
+    """(group_id, name) with names G00000, ... in the order of their first appearance, the least `order` of their rows."""
+    first = grouped.groupBy("group_id").agg(F.min(order).alias("_first"))
+    return ranks.numbered(first, ["_first", "group_id"], "_number").select("group_id", F.format_string("G%05d", "_number").alias("name"))
 
 
 def _ordered(groups: DataFrame, candidates: list[int], seed: int, ranges: int) -> DataFrame:
-    """Every group with every candidate, its hash there (`_order`) and the number of the range of hashes (`_range`)."""
+    """Every group with every candidate, its hash there (`_order`) and the number of the range of hashes (`_range`); never written out."""
     numbers = groups.sparkSession.createDataFrame([(c,) for c in candidates], "candidate int")
     tries = groups.select("group_id", "zeros", "ones").crossJoin(F.broadcast(numbers)).withColumn("_order", F.md5(F.concat_ws("|", F.lit(str(seed)), "candidate", "group_id")))
-    tries = tries.withColumn("_range", F.expr(f"cast(cast(conv(substr(_order, 1, 8), 16, 10) as bigint) * {ranges} div 4294967296 as int)"))
-    return stored(tries.repartitionByRange("_range").sortWithinPartitions("_range"), "tries") if ranges > 1 else tries
+    return tries.withColumn("_range", F.expr(f"cast(cast(conv(substr(_order, 1, 8), 16, 10) as bigint) * {ranges} div 4294967296 as int)"))
 
 
 def _placed(own: pd.DataFrame, state: list[int], half: dict[str, float]) -> list[str]:
@@ -71,35 +72,75 @@ def _placed(own: pd.DataFrame, state: list[int], half: dict[str, float]) -> list
 def _folded(groups: DataFrame, candidates: list[int], seed: int, total: int, assign: bool, most: int) -> tuple[dict[int, list[int]], list[DataFrame]]:
     """What each candidate has in test and val at the end (_placed's state) and, with `assign`, the tables of splits by group.
 
-    The fold has state, so it goes by ranges of hashes of about `most` groups: a
-    task has one range of a candidate, and only the state passes from range to
-    range. When no candidate can take a further group, the rest is train.
+    One pass adds up each range of hashes of each candidate. A range that fits into
+    test as a whole goes there, one that fits into val while no class of groups fits
+    into test goes to val, and once no class fits anywhere the rest is train; all this
+    takes sums only. What is left are the few ranges in which test or val fills up:
+    rounds fold the next one of every candidate, group by group, a task a candidate.
+    There are RANGES at most, so the number of jobs does not grow with the groups.
     """
     half = {s: share * total / 2 for s, share in TARGETS.items()}
-    ranges = max(1, -(-groups.count() // most))
+    targets, names = list(half.values()), list(half)
+    ranges = max(1, min(RANGES, -(-groups.count() // most)))
     tries = _ordered(groups, candidates, seed, ranges)
+    classes = sorted((r["zeros"], r["ones"]) for r in groups.select("zeros", "ones").distinct().toLocalIterator())
+    sums = {(r["candidate"], r["_range"]): r for r in tries.groupBy("candidate", "_range").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.max(F.col("zeros") + F.col("ones")).alias("largest")).toLocalIterator()}
     state = {c: [0] * (3 * len(half)) for c in candidates}
+    at = dict.fromkeys(candidates, 0)
+    whole: list[tuple[int, int, str]] = []
     tables = []
-    for r in range(ranges):
-        before = state  # the function below is sent before the name moves on
 
+    def fits(now: list[int], k: int, zeros: int, ones: int) -> bool:
+        return now[3 * k] + zeros <= targets[k] and now[3 * k + 1] + ones <= targets[k]
+
+    def passed(c: int) -> bool:
+        """Goes on as far as sums tell; whether there is a range to fold."""
+        now = state[c]
+        room: dict[tuple[int, int, int], bool] = {}
+        while at[c] < ranges:
+            for k in range(len(half)):
+                key = (k, now[3 * k], now[3 * k + 1])
+                if key not in room:
+                    room[key] = any(fits(now, k, *x) for x in classes)
+            free = [k for k in range(len(half)) if room[k, now[3 * k], now[3 * k + 1]]]
+            own = sums.get((c, at[c]))
+            if own is not None and free and not fits(now, free[0], own["zeros"], own["ones"]):
+                return True
+            if own is not None and free:
+                k = free[0]
+                now[3 * k] += own["zeros"]
+                now[3 * k + 1] += own["ones"]
+                now[3 * k + 2] = max(now[3 * k + 2], own["largest"])
+            whole.append((c, at[c], names[free[0]] if free else "train"))
+            at[c] += 1
+        return False
+
+    def folding(before: dict[int, list[int]]):
         def fold(own: pd.DataFrame) -> pd.DataFrame:
             own = own.sort_values(["_order", "group_id"])
-            now = list(before[int(own["candidate"].iloc[0])])  # noqa: B023
+            now = list(before[int(own["candidate"].iloc[0])])
             splits = _placed(own, now, half)
             if not assign:
                 own, splits = own.iloc[-1:], splits[-1:]
             return own.assign(split=splits, state=[*[None] * (len(own) - 1), now])[["candidate", "group_id", "zeros", "ones", "split", "state"]]
 
-        part = tries.where(F.col("_range") == r).groupBy("candidate").applyInPandas(fold, "candidate int, group_id bigint, zeros bigint, ones bigint, split string, state array<bigint>")
+        return fold
+
+    while waiting := [c for c in candidates if passed(c)]:
+        before = {c: list(state[c]) for c in waiting}
+        asked = groups.sparkSession.createDataFrame([(c, at[c]) for c in waiting], "candidate int, _range int")
+
+        part = tries.join(F.broadcast(asked), ["candidate", "_range"]).groupBy("candidate").applyInPandas(folding(before), "candidate int, group_id bigint, zeros bigint, ones bigint, split string, state array<bigint>")
         if assign:
             part = stored(part, "splits")
             tables.append(part.drop("state"))
-        state = before | {x["candidate"]: list(x["state"]) for x in part.where("state is not null").select("candidate", "state").collect()}
-        if all(t - now[3 * k + x] < 1 for now in state.values() for k, t in enumerate(half.values()) for x in (0, 1)):
-            if assign:
-                tables.append(tries.where(F.col("_range") > r).select("candidate", "group_id", "zeros", "ones", F.lit("train").alias("split")))
-            break
+        for r in part.where("state is not null").select("candidate", "state").collect():  # a row a candidate
+            state[r["candidate"]] = list(r["state"])
+        for c in waiting:
+            at[c] += 1
+    if assign and whole:
+        places = groups.sparkSession.createDataFrame(whole, "candidate int, _range int, split string")
+        tables.append(tries.join(F.broadcast(places), ["candidate", "_range"]).select("candidate", "group_id", "zeros", "ones", "split"))
     return state, tables
 
 
@@ -107,6 +148,8 @@ def greedy_candidates(groups: DataFrame, candidates: int | list[int], seed: int,
     """(candidate, group_id, zeros, ones, split): for each candidate, groups in hashed order fill test, then val, each class up to its target."""
     numbers = list(range(candidates)) if isinstance(candidates, int) else candidates
     _, tables = _folded(groups, numbers, seed, total, True, most)
+    if not tables:
+        return groups.selectExpr("0 as candidate", "group_id", "zeros", "ones", "'train' as split").limit(0)
     return reduce(DataFrame.unionByName, tables)
 
 
@@ -146,7 +189,66 @@ def best_candidate(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.round("score", 12)).agg(F.min_by("candidate", F.struct("score", "candidate")).alias("candidate"), F.min("score").alias("score"))
 
 
+def dealt_classes(classes: list[tuple[int, int, int]], folds: int) -> dict[tuple[int, int], tuple[list[int], list[int]]]:
+    """The folds that groups of each class (zeros, ones, number of groups) go to, one after another: a beginning, and a cycle that repeats.
+
+    Groups whose zeros and ones differ most come first, and each goes to the fold that
+    leaves the shares of both classes most even over the folds, the fold of fewest
+    rows and then of lowest number if several do. Groups of one class are alike, so
+    once the folds stand to each other as they did before, their turns repeat.
+    """
+    held = [[0, 0] for _ in range(folds)]
+    totals = [sum(c[x] * c[2] for c in classes) for x in (0, 1)]
+    out = {}
+    for zeros, ones, many in sorted(classes, key=lambda c: (-abs(c[0] - c[1]), -c[0], -c[1])):
+        own = (zeros, ones)
+        seen: dict[tuple, int] = {}
+        turns: list[int] = []
+        begin = None
+        for step in range(many):
+            least = [min(h[x] for h in held) for x in (0, 1)]
+            key = tuple(h[x] - least[x] for h in held for x in (0, 1))
+            if key in seen:
+                begin = seen[key]
+                break
+            seen[key] = step
+            turns.append(_evenest(held, own, totals))
+            for x in (0, 1):
+                held[turns[-1]][x] += own[x]
+        out[own] = (turns, []) if begin is None else (turns[:begin], turns[begin:])
+        if begin is not None:
+            cycle = turns[begin:]
+            rounds, rest = divmod(many - len(turns), len(cycle))
+            for k, fold in enumerate(cycle):
+                for x in (0, 1):
+                    held[fold][x] += own[x] * (rounds + (k < rest))
+    return out
+
+
+def _evenest(held: list[list[int]], own: tuple[int, int], totals: list[int]) -> int:
+    k = len(held)
+    sums = [sum(h[x] for h in held) + own[x] for x in (0, 1)]
+    squares = [sum(h[x] * h[x] for h in held) for x in (0, 1)]
+
+    def uneven(h: list[int]) -> float:
+        spread = [k * (squares[x] + 2 * h[x] * own[x] + own[x] * own[x]) - sums[x] * sums[x] for x in (0, 1)]
+        return round(sum(math.sqrt(s) / max(1, t) for s, t in zip(spread, totals, strict=True)), 12)
+
+    return min(range(k), key=lambda f: (uneven(held[f]), sum(held[f]), f))
+
+
 def stratified_folds(per_group: DataFrame, folds: int, seed: int) -> DataFrame:
-    """Adds `fold`: groups of equal class counts are dealt round in hashed order, so folds keep whole groups and the class balance."""
-    order = F.row_number().over(Window.partitionBy("zeros", "ones").orderBy(hashed(seed, "group_id"), "group_id"))
-    return per_group.withColumn("fold", ((order - 1) % folds).cast("int"))
+    """Adds `fold` to groups (group_id, zeros, ones): whole groups are dealt so that folds hold even shares of both classes (dealt_classes).
+
+    Only the number of groups of each (zeros, ones) is dealt on the driver; groups of
+    one class take their turns in hashed order, by their number in it, which no single
+    task counts.
+    """
+    counts = per_group.groupBy("zeros", "ones").agg(F.count("*").alias("n"))
+    turns = dealt_classes([(r["zeros"], r["ones"], r["n"]) for r in counts.toLocalIterator()], folds)
+    rows = [(z, o, first, cycle) for (z, o), (first, cycle) in turns.items()]
+    table = per_group.sparkSession.createDataFrame(rows, "zeros bigint, ones bigint, first array<int>, cycle array<int>")
+    placed = ranks.numbered_within(per_group.withColumn("_hash", hashed(seed, "group_id")), ["zeros", "ones"], ["_hash", "group_id"], "_place")
+    joined = placed.join(F.broadcast(table) if len(rows) <= 10_000 else table, ["zeros", "ones"])
+    fold = F.when(F.col("_place") < F.size("first"), F.get("first", F.col("_place").cast("int"))).otherwise(F.get("cycle", ((F.col("_place") - F.size("first")) % F.size("cycle")).cast("int")))
+    return joined.select(*per_group.columns, fold.alias("fold"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators import ranks
-from linkloom.operators.clean import hashed
+from linkloom.operators.clean import hashed, least_hashed
 
 Z = 1.96
 
@@ -198,6 +199,72 @@ def bootstrap(rows: DataFrame, unit: str, label: str, predicted: str, draws: int
     return long.groupBy("metric").agg(F.count("*").alias("draws"), F.percentile("value", F.lit(0.025)).alias("ci95_low"), F.percentile("value", F.lit(0.975)).alias("ci95_high"))
 
 
+#: Cells of rows_bootstrap: ranges of about equal scores, each of both classes and both predictions.
+CELLS = 4096
+
+
+def rows_bootstrap(rows: DataFrame, label: str, predicted: str, score: str, draws: int, seed: int, cells: int = CELLS) -> DataFrame:
+    """Points and 95 % intervals of rates and of the area under the curve over resamples of single rows.
+
+    How often a resample of n rows takes from each of some cells is one multinomial
+    draw, whatever rows they hold; it is split down a tree of ranges of scores, half
+    by half, by binomial draws. So a resample costs the number of cells, and rows are
+    read once to count them. Rates are exact. For the area, pairs of one range count
+    as they do among its own rows; with few distinct scores each is a range and the
+    area is exact too, else it is off by less than 1 / `cells`.
+    """
+    some = rows.select(F.col(label).cast("int").alias("y"), F.col(predicted).cast("int").alias("p"), F.col(score).cast("double").alias("s")).where("y is not null and p is not null and s is not null")
+    cuts = sorted(set(some.approxQuantile("s", [i / cells for i in range(1, cells)], 0.25 / cells)))
+    edges = some.sparkSession.sparkContext.broadcast(np.array(cuts))
+
+    def place(batches):
+        for b in batches:
+            yield pa.record_batch([b.column("y"), b.column("p"), b.column("s"), pa.array(np.searchsorted(edges.value, b.column("s").to_numpy(), "right").astype(np.int32))], ["y", "p", "s", "r"])
+
+    placed = some.mapInArrow(place, "y int, p int, s double, r int")
+    values = placed.groupBy("r", "s").agg(*(F.count_if((F.col("y") == y) & (F.col("p") == p)).alias(f"n{y}{p}") for y in (0, 1) for p in (0, 1)))
+    lower = F.coalesce(F.sum(F.col("n00") + F.col("n01")).over(Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wins = (F.col("n10") + F.col("n11")) * (lower + (F.col("n00") + F.col("n01")) / 2)
+    sums = values.withColumn("wins", wins).groupBy("r").agg(*(F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11", "wins"))).orderBy("r")
+    found = sums.toPandas()  # a row a range, `cells` at most
+    counts, won = found[["n00", "n01", "n10", "n11"]].to_numpy(np.int64), found["wins"].to_numpy(float)
+    inside = won / np.maximum(1, (counts[:, 2] + counts[:, 3]) * (counts[:, 0] + counts[:, 1]))
+    names = ("precision", "recall", "f1", "roc_auc")
+
+    def rates_of(drawn: np.ndarray) -> list[float | None]:
+        tn, fp, fn, tp = drawn.sum(0).tolist()
+        ones, zeros = drawn[:, 2] + drawn[:, 3], drawn[:, 0] + drawn[:, 1]
+        pairs = (ones * (np.cumsum(zeros) - zeros + inside * zeros)).sum()
+        part = lambda a, b: a / b if b else 0.0
+        return [part(tp, tp + fp), part(tp, tp + fn), part(2 * tp, 2 * tp + fp + fn), pairs / ((tp + fn) * (tn + fp)) if (tp + fn) * (tn + fp) else None]
+
+    def halved(n: int, many: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """n rows dealt to cells of `many` rows: level by level, each node's to its two halves."""
+        size = 1 << max(0, int(len(many) - 1).bit_length())
+        levels = [np.pad(many, (0, size - len(many)))]
+        while len(levels[-1]) > 1:
+            levels.append(levels[-1].reshape(-1, 2).sum(1))
+        drawn = np.array([n])
+        for level in levels[-2::-1]:
+            left, whole = level[::2], level.reshape(-1, 2).sum(1)
+            first = rng.binomial(drawn, np.where(whole > 0, left / np.maximum(1, whole), 0.0))
+            drawn = np.stack([first, drawn - first], 1).ravel()
+        return drawn[: len(many)]
+
+    def draw(batches):
+        for b in batches:
+            out = [rates_of(halved(int(counts.sum()), counts.ravel(), np.random.default_rng([seed, d])).reshape(-1, 4)) for d in b.column("id").to_pylist()]
+            yield pa.record_batch([pa.array(v, pa.float64()) for v in zip(*out, strict=True)], list(names))
+
+    spark = rows.sparkSession
+    schema = ", ".join(f"{n} double" for n in names)
+    point = spark.createDataFrame([tuple(map(lambda v: None if v is None else float(v), rates_of(counts)))] if len(counts) else [], schema).unpivot([], list(names), "metric", "point")
+    drawn = spark.range(draws).mapInArrow(draw, schema) if len(counts) else spark.createDataFrame([], schema)
+    long = drawn.unpivot([], list(names), "metric", "value").where("value is not null")
+    found = long.groupBy("metric").agg(F.count("*").alias("draws"), F.percentile("value", F.lit(0.025)).alias("ci95_low"), F.percentile("value", F.lit(0.975)).alias("ci95_high"))
+    return point.join(F.broadcast(found), "metric", "left")  # four rows
+
+
 def bootstrap_differences(rows: DataFrame, unit: str, label: str, first: str, second: str, draws: int, seed: int) -> DataFrame:
     """Point and 95 % interval of the first prediction's rates less the second's: both are taken over the same resamples of units."""
     y = F.col(label) == 1
@@ -231,6 +298,6 @@ def matched(rows: DataFrame, value: str, label: str, key: str, seed: int, option
         counts = binned.groupBy("bin").agg(F.count_if(F.col(label) == 0).alias("zeros"), F.count_if(F.col(label) == 1).alias("ones")).withColumn("keep", F.least("zeros", "ones"))
         if not counts.where(F.col("keep") < least).isEmpty() and bins != options[-1]:
             continue
-        order = F.row_number().over(Window.partitionBy("bin", label).orderBy(hashed(seed, key), key))
-        return binned.join(F.broadcast(counts.where(F.col("keep") >= least).select("bin", "keep")), "bin").withColumn("_n", order).where("_n <= keep").drop("_n", "keep").withColumn("bins", F.lit(bins))
+        some = binned.join(F.broadcast(counts.where(F.col("keep") >= least).select("bin", "keep")), "bin")  # a row a bin
+        return least_hashed(some, ["bin", label], "keep", seed, key).withColumn("bins", F.lit(bins))
     raise ValueError("no bin options")

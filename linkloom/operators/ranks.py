@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.sources.scratch import stored
+
 RANGES = 64
 
 
@@ -99,3 +101,29 @@ def rank_correlations(rows: DataFrame, key: str, columns: list[str]) -> DataFram
     cells = met.groupBy("i", "j").agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n"), correlation(F.col("x"), F.col("y")).alias("spearman"))
     names = F.array(*map(F.lit, columns))
     return cells.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "n", "spearman")
+
+
+#: Rows of one sorted partition have numbers below this in the lower bits of monotonically_increasing_id.
+_LOCAL = (1 << 33) - 1
+
+
+def numbered(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """`rows` with `name`, their place from 0 in the order of `order`, which has to tell all rows apart.
+
+    Rows are range-partitioned and sorted, and numbered inside their partition; the
+    places that lie before a partition come from a table of one row each. Written to
+    the shared folder in between, so that all readers see the same partitions.
+    """
+    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit(_LOCAL))
+    sizes = placed.groupBy(part.alias("_part")).agg((F.max(inside) + 1).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_at", "_start")
+
+
+def numbered_within(rows: DataFrame, by: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """numbered() from 0 in each group of `by` (not null), however many rows a group has."""
+    placed = numbered(rows, [*by, *order], "_seat")
+    first = placed.groupBy(*by).agg(F.min("_seat").alias("_first"))
+    return placed.join(first, by).withColumn(name, F.col("_seat") - F.col("_first")).drop("_seat", "_first")

@@ -682,8 +682,16 @@ def example_picker(spark, sf):
     return tied.withColumn("k", k).where("k = place").select("label", "predicted", "l_orderkey", "l_linenumber", "score")
 
 
-@query(f"""WITH s AS ({SQL["split_groups"]}), g AS (SELECT group_id, count_if(c_custkey % 2 = 0)::BIGINT AS zeros, count_if(c_custkey % 2 = 1)::BIGINT AS ones FROM s GROUP BY 1)
-SELECT group_id, zeros, ones, ((row_number() OVER (PARTITION BY zeros, ones ORDER BY md5(concat_ws('|', '{SEED}', group_id::VARCHAR)), group_id) - 1) % 5)::INT AS fold FROM g""")
+@query(f"""WITH RECURSIVE s AS ({SQL["split_groups"]}), g AS (SELECT group_id, count_if(c_custkey % 2 = 0)::BIGINT AS zeros, count_if(c_custkey % 2 = 1)::BIGINT AS ones FROM s GROUP BY 1),
+k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY abs(zeros - ones) DESC, zeros DESC, ones DESC, md5(concat_ws('|', '{SEED}', group_id::VARCHAR)), group_id) AS at FROM g),
+t AS (SELECT greatest(1, sum(zeros)) AS z, greatest(1, sum(ones)) AS o FROM g),
+f AS (SELECT 0::BIGINT AS at, [0, 0, 0, 0, 0]::BIGINT[] AS z, [0, 0, 0, 0, 0]::BIGINT[] AS o, 0 AS fold
+ UNION ALL SELECT k.at, list_transform(range(1, 6), lambda i: p.z[i] + CASE WHEN i = p.best THEN k.zeros ELSE 0 END), list_transform(range(1, 6), lambda i: p.o[i] + CASE WHEN i = p.best THEN k.ones ELSE 0 END), p.best::INT - 1
+ FROM (SELECT f.at, f.z, f.o, list_sort(list_transform(range(1, 6), lambda j: {{'u': round(
+   sqrt(5 * (list_sum(list_transform(f.z, lambda x: x * x)) + 2 * f.z[j] * n.zeros + n.zeros * n.zeros) - (list_sum(f.z) + n.zeros) * (list_sum(f.z) + n.zeros)) / t.z
+   + sqrt(5 * (list_sum(list_transform(f.o, lambda x: x * x)) + 2 * f.o[j] * n.ones + n.ones * n.ones) - (list_sum(f.o) + n.ones) * (list_sum(f.o) + n.ones)) / t.o, 12), 'n': f.z[j] + f.o[j], 'j': j}}))[1].j AS best
+   FROM f JOIN k n ON n.at = f.at + 1, t) p JOIN k ON k.at = p.at + 1)
+SELECT k.group_id, k.zeros, k.ones, f.fold FROM f JOIN k ON k.at = f.at""")
 def group_folds(spark, sf):
     """The fold of each group of customers that a domain or a template links, so linked rows never part."""
     return groups.stratified_folds(groups.stored(customer_groups(spark, sf), "groups"), 5, SEED)
@@ -731,7 +739,12 @@ def dataset_checks(spark, sf):
     ])
 
 
-@query("SELECT sum(n)::BIGINT AS n, sha256(string_agg(part, chr(10) ORDER BY bucket)) AS sha256 FROM (SELECT substr(md5(o_orderkey::VARCHAR), 1, 2) AS bucket, count(*) AS n, sha256(string_agg(o_orderkey::VARCHAR, chr(10) ORDER BY o_orderkey::VARCHAR)) AS part FROM orders GROUP BY 1)")
+@query("""WITH k AS (SELECT o_orderkey::VARCHAR AS part, row_number() OVER (ORDER BY o_orderkey::VARCHAR) - 1 AS pos FROM orders),
+a AS (SELECT pos // 1024 AS pos, sha256(string_agg(part, chr(10) ORDER BY pos)) AS part FROM k GROUP BY pos // 1024),
+b AS (SELECT pos // 1024 AS pos, sha256(string_agg(part, chr(10) ORDER BY pos)) AS part FROM a GROUP BY pos // 1024),
+c AS (SELECT sha256(string_agg(part, chr(10) ORDER BY pos)) AS part FROM b),
+n AS (SELECT (SELECT count(*) FROM k) AS n, (SELECT count(*) FROM a) AS n1, (SELECT count(*) FROM b) AS n2)
+SELECT n, CASE WHEN n1 = 1 THEN 1 WHEN n2 = 1 THEN 2 ELSE 3 END::INT AS levels, CASE WHEN n1 = 1 THEN (SELECT part FROM a) WHEN n2 = 1 THEN (SELECT part FROM b) ELSE (SELECT part FROM c) END AS sha256 FROM n""")
 def id_digest(spark, sf):
     return checks.digest(table(spark, sf, "orders"), "o_orderkey")
 

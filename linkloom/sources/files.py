@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from linkloom.operators import ranks
+from linkloom.sources.scratch import stored
 
 
 # Fields that the usual CSV dialect takes for missing ones.
 NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+#: Fixed value: the name under which an index without name is read back.
+INDEX = "Unnamed: 0"
+
+
 class ContractError(Exception):
     """A table does not keep what its reader asks for."""
 
@@ -62,6 +72,31 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True, quote='"', escape='"', mode="errorifexists")
 
 
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+CORRUPT = "_corrupt"
+
+
+def save(df: DataFrame, path: str) -> None:
+    """A CSV table and, beside it, its schema: read_saved() gives the same rows and types."""
+    df.write.csv(path, header=True, quote='"', escape='"', timestampFormat=STAMP, mode="errorifexists")
+    df.sparkSession.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.text(f"{path}-schema")
+
+
+def read_saved(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a saved table that its schema takes, and the lines that it does not (_corrupt)."""
+    schema = StructType.fromJson(json.loads(spark.read.text(f"{path}-schema").first()["value"]))
+    asked = StructType([*schema.fields, StructField(CORRUPT, StringType())])
+    parsed = spark.read.csv(path, header=True, schema=asked, quote='"', escape='"', multiLine=True, timestampFormat=STAMP, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    rows = stored(parsed, "parsed")  # corrupt lines alone can't be asked of the file itself
+    return rows.where(F.col(CORRUPT).isNull()).select(*schema.names), rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+
+
+def with_index(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with their place in `order` (from 0) as a first column without name, as tables with an index are written."""
+    placed = ranks.numbered(df, order, "_index")
+    return placed.select(F.col("_index").alias(INDEX), *df.columns)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
 
