@@ -744,7 +744,7 @@ a AS (SELECT pos // 1024 AS pos, sha256(string_agg(part, chr(10) ORDER BY pos))
 b AS (SELECT pos // 1024 AS pos, sha256(string_agg(part, chr(10) ORDER BY pos)) AS part FROM a GROUP BY pos // 1024),
 c AS (SELECT sha256(string_agg(part, chr(10) ORDER BY pos)) AS part FROM b),
 n AS (SELECT (SELECT count(*) FROM k) AS n, (SELECT count(*) FROM a) AS n1, (SELECT count(*) FROM b) AS n2)
-SELECT n, CASE WHEN n1 = 1 THEN 1 WHEN n2 = 1 THEN 2 ELSE 3 END::INT AS levels, CASE WHEN n1 = 1 THEN (SELECT part FROM a) WHEN n2 = 1 THEN (SELECT part FROM b) ELSE (SELECT part FROM c) END AS sha256 FROM n""")
+SELECT n, CASE WHEN n1 = 1 THEN 1 WHEN n2 = 1 THEN 2 ELSE 3 END::INT AS levels, CASE WHEN n1 = 1 THEN (SELECT min(part) FROM a) WHEN n2 = 1 THEN (SELECT min(part) FROM b) ELSE (SELECT min(part) FROM c) END AS sha256 FROM n""")
 def id_digest(spark, sf):
     return checks.digest(table(spark, sf, "orders"), "o_orderkey")
 

@@ -74,6 +74,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 CORRUPT = "_corrupt"
+#: What quoted empty fields are read as at first, so that they differ from missing ones.
+EMPTY = "\x01empty\x01"
 
 
 def save(df: DataFrame, path: str) -> None:
@@ -86,9 +88,11 @@ def read_saved(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The rows of a saved table that its schema takes, and the lines that it does not (_corrupt)."""
     schema = StructType.fromJson(json.loads(spark.read.text(f"{path}-schema").first()["value"]))
     asked = StructType([*schema.fields, StructField(CORRUPT, StringType())])
-    parsed = spark.read.csv(path, header=True, schema=asked, quote='"', escape='"', multiLine=True, timestampFormat=STAMP, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    parsed = spark.read.csv(path, header=True, schema=asked, quote='"', escape='"', multiLine=True, timestampFormat=STAMP, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, emptyValue=EMPTY)
     rows = stored(parsed, "parsed")  # corrupt lines alone can't be asked of the file itself
-    return rows.where(F.col(CORRUPT).isNull()).select(*schema.names), rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    texts = {f.name for f in schema.fields if f.dataType == StringType()}
+    plain = [F.when(F.col(c) != EMPTY, F.col(c)).when(F.col(c) == EMPTY, "").alias(c) if c in texts else F.col(c) for c in schema.names]
+    return rows.where(F.col(CORRUPT).isNull()).select(*plain), rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
 def with_index(df: DataFrame, order: list[str]) -> DataFrame:
