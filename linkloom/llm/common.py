@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.sources.scratch import stored
 
-__all__ = ["documents", "fold_of", "packed_texts", "partition_keys", "slices", "stored", "table"]
+__all__ = ["documents", "fold_of", "packed_texts", "partition_keys", "slices", "stored", "stored_counting", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,13 @@ def partition_keys(spark, count: int) -> list[int]:
     return sorted(r["id"] for r in rows)
 
 
+def stored_counting(df: DataFrame, label: str, condition: str = "true") -> tuple[DataFrame, int]:
+    """stored(), and how many of the rows meet a condition: counted while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count_if(F.expr(condition)).alias("n")), label)
+    return out, seen.get["n"]
+
+
 def packed_texts(rows: DataFrame, *keep: str) -> DataFrame:
     """`keep` columns and the text's UTF-8 bytes, compressed for the shuffle."""
     schema = rows.select(*keep, F.lit(b"").alias("packed")).schema

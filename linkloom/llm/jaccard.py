@@ -65,8 +65,15 @@ class Shingler:
         return np.unique(out)
 
 
-def node_of(own: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+def hashes_of(own: np.ndarray, bits: int) -> tuple[int, int]:
+    """Two hashes of a set: `bits` of the first name it, the second tells sets of one name apart."""
+    return (xxhash.xxh64_intdigest(own.tobytes()) >> (64 - bits)) - (1 << (bits - 1)), xxhash.xxh64_intdigest(own.tobytes(), seed=1) - (1 << 63)
+
+
+def node_of(own: np.ndarray, shared: dict[int, int], bits: int) -> int:
+    """The set's name. `shared`: names that several sets have, with the second hash of the one that keeps it."""
+    name, second = hashes_of(own, bits)
+    return name ^ second if shared.get(name, second) != second else name
 
 
 def least_overlap(size: int, similar: int) -> int:
@@ -74,15 +81,15 @@ def least_overlap(size: int, similar: int) -> int:
     return -(-similar * size // 100)
 
 
-def nodes_and_counts(docs: DataFrame, words: int) -> DataFrame:
-    """A row for each document (doc_id, node, size) and, with `part`, the task's document frequencies in one part of the counters (counts)."""
+def nodes_and_counts(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """A row for each document (doc_id, node, second, size) and, with `part`, the task's document frequencies in one part of the counters (counts)."""
 
     def counted(all_of: list[np.ndarray]):
         squeeze = zstandard.ZstdCompressor(level=1)
         per = COUNTERS // PARTS
         counts = np.bincount((np.concatenate(all_of) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
         packed = [squeeze.compress(counts[k * per : (k + 1) * per].tobytes()) for k in range(PARTS)]
-        return pa.record_batch([pa.nulls(PARTS, pa.int64())] * 3 + [pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "node", "size", "part", "counts"])
+        return pa.record_batch([pa.nulls(PARTS, pa.int64())] * 4 + [pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "node", "second", "size", "part", "counts"])
 
     def run(batches):
         shingler = Shingler(words)
@@ -90,17 +97,19 @@ def nodes_and_counts(docs: DataFrame, words: int) -> DataFrame:
         seen: set[int] = set()
         held = 0
         for b in slices(batches):
-            nodes, sizes = [], []
+            nodes, seconds, sizes = [], [], []
             for text in b.column("text").to_pylist():
                 own = shingler.shingles(text or "")
-                nodes.append(node_of(own))
+                name, second = hashes_of(own, bits)
+                nodes.append(name)
+                seconds.append(second)
                 sizes.append(len(own))
-                if nodes[-1] not in seen:
-                    seen.add(nodes[-1])
+                if second not in seen:
+                    seen.add(second)
                     all_of.append(own)
                     held += len(own)
             n = len(nodes)
-            yield pa.record_batch([b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "node", "size", "part", "counts"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "node", "second", "size", "part", "counts"])
             if held > 8_000_000:
                 yield counted(all_of)
                 all_of.clear()
@@ -109,33 +118,39 @@ def nodes_and_counts(docs: DataFrame, words: int) -> DataFrame:
         if all_of:
             yield counted(all_of)
 
-    return docs.mapInArrow(run, "doc_id bigint, node bigint, size bigint, part int, counts binary")
+    return docs.mapInArrow(run, "doc_id bigint, node bigint, second bigint, size bigint, part int, counts binary")
 
 
 def frequencies(found: DataFrame) -> np.ndarray:
     """The counters over all tasks: COUNTERS numbers, whatever the data. Tasks sum each part; one row of each comes to the driver."""
     per = COUNTERS // PARTS
 
-    def run(batches):
-        stretch = zstandard.ZstdDecompressor()
+    def summed(batches, numbers):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for part, packed in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                own = sums.setdefault(part, np.zeros(per, np.int64))
-                own += np.frombuffer(stretch.decompress(packed), np.uint32)
+            for part, own in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                total = sums.setdefault(part, np.zeros(per, np.int64))
+                total += numbers(own)
         for part, own in sums.items():
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "counts"])
 
+    def partly(batches):
+        stretch = zstandard.ZstdDecompressor()
+        return summed(batches, lambda packed: np.frombuffer(stretch.decompress(packed), np.uint32))
+
+    def wholly(batches):
+        return summed(batches, lambda plain: np.frombuffer(plain, np.int64))
+
     some = found.where("part is not null").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(8)).alias("salt"))
     # summed within salted parts first, so that no task takes all that the tasks of a large table report
-    sums = some.repartition(PARTS * 8, "part", "salt").select("part", "counts").mapInArrow(run, "part int, counts binary")
+    shares = some.repartition(PARTS * 8, "part", "salt").select("part", "counts").mapInArrow(partly, "part int, counts binary")
     out = np.zeros(COUNTERS, np.int64)
-    for r in sums.toLocalIterator():
+    for r in shares.repartition(PARTS, "part").mapInArrow(wholly, "part int, counts binary").collect():  # 8 MB in all
         out[r["part"] * per : (r["part"] + 1) * per] += np.frombuffer(r["counts"], np.int64)
     return out
 
 
-def postings(docs: DataFrame, words: int, similar: int, counts: np.ndarray, keys: list[int]) -> DataFrame:
+def postings(docs: DataFrame, words: int, similar: int, counts: np.ndarray, keys: list[int], shared: dict[int, int], bits: int) -> DataFrame:
     """(bucket, payload): groups under their prefix shingles; and, without payload, (bucket, node, size, group): members of groups."""
     table = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -151,7 +166,7 @@ def postings(docs: DataFrame, words: int, similar: int, counts: np.ndarray, keys
                 own = shingler.shingles(text or "")
                 if not len(own):
                     continue
-                node = node_of(own)
+                node = node_of(own, shared, bits)
                 if node in seen:
                     continue
                 seen.add(node)
@@ -307,7 +322,7 @@ def with_root_values(rows: DataFrame, values: DataFrame, many: str) -> DataFrame
     return rows.join(some, "root").unionByName(rows.join(some.select("root"), "root", "left_anti").join(values.where(~large), "root"))
 
 
-def similar_documents(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, bits: int = 64) -> DataFrame:
     """doc_id, size (of its shingle set) and component (smallest doc_id linked to it, directly or not) of every row.
 
     Two documents are linked if their sets' Jaccard similarity is `similar`
@@ -315,14 +330,24 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similar: int = SIMILA
     null text or one without words has an empty set and is linked with nothing.
     Repeated rows are rows of their own and linked with one another. A row without
     id is linked only with rows of an equal set. An empty table gives no rows. Other columns are left unread.
+    A text of any length is read whole, and its set is one row.
+
+    Sets are told apart by 128 bits: `bits` of a first hash name them, and sets that
+    share a name by a second one.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    found = stored(nodes_and_counts(docs, words), "nodes")
-    own = found.where("part is null").select("doc_id", "node", "size")
+    found = stored(nodes_and_counts(docs, words, bits), "nodes")
+    own = found.where("part is null").select("doc_id", "node", "second", "size")
+    met_names = own.groupBy("node").agg(F.min("second").alias("keeps"), F.max("second").alias("other")).where("keeps <> other").select("node", "keeps")
+    shared = {r["node"]: r["keeps"] for r in met_names.collect()}  # n * n / 2 ** 65 of them: 68 for 5e10 texts
+    if shared:
+        names = spark.createDataFrame(list(shared.items()), "node bigint, keeps bigint")
+        own = own.join(F.broadcast(names), "node", "left").withColumn("node", F.when(F.col("keeps") != F.col("second"), F.col("node").bitwiseXOR(F.col("second"))).otherwise(F.col("node")))
+    own = own.select("doc_id", "node", "size")
     counts = frequencies(found)
     keys = partition_keys(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // PARTITION))
-    met = stored(met_groups(postings(docs, words, similar, counts, keys), keys), "met")
+    met = stored(met_groups(postings(docs, words, similar, counts, keys, shared, bits), keys), "met")
     members = met.where("node is not null").select("node", "size", "group").dropDuplicates(["node"])
     groups = stored(members.groupBy("group").agg(F.max("size").alias("size"), F.min("node").alias("head"), F.count("*").alias("n")), "groups")
     found_lists = met.where("groups is not null").groupBy("list", "groups").agg(F.sum("weight").alias("weight"))
@@ -339,7 +364,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similar: int = SIMILA
         stretch = zstandard.ZstdDecompressor()
         for b in slices(batches):
             sets = [shingler.shingles(stretch.decompress(t).decode("utf-8", "replace")) for t in b.column("packed").to_pylist()]
-            same = [node_of(x) == node for x, node in zip(sets, b.column("node").to_pylist(), strict=True)]  # rows can share an id
+            same = [node_of(x, shared, bits) == node for x, node in zip(sets, b.column("node").to_pylist(), strict=True)]  # rows can share an id
             yield pa.record_batch([b.column("node"), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"]).filter(pa.array(same, pa.bool_()))
 
     def whole_sets(pairs: DataFrame) -> DataFrame:

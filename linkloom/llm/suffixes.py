@@ -37,6 +37,8 @@ LENGTH, GRAM = 100, 24
 SHARD = 1 << 20
 #: Anchors with over a 1 / HOT of all reported places, fewer than HOT, and with so many at least, are dealt to several tasks.
 HOT, LEAST = 1_000, 2_000
+#: Contents around anchors whose earliest place a task remembers.
+CONTENTS = 200_000
 #: Bytes of text for a bucket.
 BUCKET = 12_000_000
 FIRST = 7  # symbols in a first sort key
@@ -375,14 +377,21 @@ def frequent_anchors(found: DataFrame) -> dict[int, int]:
 
 
 def surroundings(joined: DataFrame, keys: list[int], length: int, frequent: dict[int, int]) -> DataFrame:
-    """(bucket, payload): for each repeated anchor of a text, the bytes that its strings cover; those of frequent anchors are dealt by content."""
+    """(bucket, payload): for each repeated anchor of a text, the bytes that its strings cover; those of frequent anchors are dealt by content.
+
+    Of places that hold the same bytes around one anchor, a task sends on only those
+    that are earlier than all that it has met: the others repeat them whatever else
+    there is, so their spans are known: (bucket, node, spans), dealt by node.
+    """
     parts_of = joined.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         stretch = zstandard.ZstdDecompressor()
         frequent = parts_of.value
+        earliest: dict[tuple[int, int, bytes], tuple[int, int, int]] = {}
         for b in slices(batches, 1024):
+            known: dict[int, list[int]] = {}
             bucket, node, doc, low, first, shared, parts = [], [], [], [], [], [], []
             for n, d, packed, all_runs in zip(*(b.column(c).to_pylist() for c in ("node", "doc_id", "packed", "runs")), strict=True):
                 text = stretch.decompress(packed)
@@ -395,6 +404,13 @@ def surroundings(joined: DataFrame, keys: list[int], length: int, frequent: dict
                             continue
                         met.add((home, a, s))
                         part = text[s : s + r + length - 1]
+                        content, place = (home, a, xxhash.xxh3_128_digest(part)), (d, n, s)
+                        first_place = earliest.get(content)
+                        if first_place is not None and first_place <= place:
+                            if first_place < place:
+                                known.setdefault(n, []).extend((s, s + len(part)))
+                            continue
+                        earliest[content] = place
                         many = frequent.get(home << 32 | a, 1)
                         parts.append(part)
                         bucket.append((home + xxhash.xxh3_64_intdigest(part) % many) % len(keys) if many > 1 else home)
@@ -403,6 +419,10 @@ def surroundings(joined: DataFrame, keys: list[int], length: int, frequent: dict
                         first.append(s)
                         node.append(n)
                         doc.append(d)
+            if len(earliest) > CONTENTS:
+                earliest.clear()  # more places are sent on, nothing else changes
+            if known:
+                yield sent(bucket=[keys[n % len(keys)] for n in known], node=list(known), spans=[np.array(x, np.uint32).tobytes() for x in known.values()])
             if not bucket:
                 continue
             bucket = np.array(bucket)
@@ -415,9 +435,14 @@ def surroundings(joined: DataFrame, keys: list[int], length: int, frequent: dict
                 at.append(keys[bucket[s]])
                 body = np.frombuffer(b"".join([parts[i] for i in order[s:e]]), np.uint8)
                 payloads.append(squeeze.compress(pack(*(c[s:e] for c in columns), sizes[s:e], body)))
-            yield binary_rows([("bucket", at, pa.int32()), ("payload", payloads, pa.binary())])
+            yield sent(bucket=at, payload=payloads)
+
+    def sent(**given: list) -> pa.RecordBatch:
+        n = len(given["bucket"])
+        columns = [("bucket", pa.int32()), ("payload", pa.binary()), ("node", pa.int64()), ("spans", pa.binary())]
+        return pa.record_batch([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in columns], [k for k, _ in columns])
 
-    return joined.mapInArrow(run, "bucket int, payload binary")
+    return joined.mapInArrow(run, "bucket int, payload binary, node bigint, spans binary")
 
 
 def repeated_strings(around: DataFrame, keys: list[int], length: int) -> DataFrame:
@@ -436,6 +461,10 @@ def repeated_strings(around: DataFrame, keys: list[int], length: int) -> DataFra
         stretch = zstandard.ZstdDecompressor()
         held: dict[int, list] = {}
         for b in batches:
+            known = b.filter(b.column("payload").is_null())
+            if known.num_rows:
+                yield rows(node=known.column("node").to_pylist(), spans=known.column("spans").to_pylist())
+            b = b.filter(b.column("payload").is_valid())
             for k, payload in zip(b.column("bucket").to_pylist(), b.column("payload").to_pylist(), strict=True):
                 held.setdefault(k, []).append(payload)
         for k in sorted(held):
@@ -525,7 +554,18 @@ def united(spans: list[bytes]) -> np.ndarray:
     return np.stack([own[new, 0], np.maximum.reduceat(own[:, 1], np.flatnonzero(new))], 1)
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+def with_names(texts: DataFrame, bits: int) -> DataFrame:
+    """Adds `node`, a number for each different text: `bits` of its hash and, for texts that share these, a second hash mixed in."""
+    hashed = texts.withColumns({"node": F.shiftright(F.xxhash64("text"), 64 - bits), "second": F.xxhash64(F.lit("second"), "text")})
+    keeps = hashed.groupBy("node").agg(F.min("second").alias("keeps"), F.max("second").alias("other")).where("keeps <> other").select("node", "keeps")
+    shared = stored(keeps, "names")  # n * n / 2 ** 65 of n texts: 68 for 5e10 texts
+    if shared.isEmpty():
+        return hashed.drop("second")
+    mixed = F.when(F.col("keeps") != F.col("second"), F.col("node").bitwiseXOR(F.col("second"))).otherwise(F.col("node"))
+    return hashed.join(shared, "node", "left").withColumn("node", mixed).drop("second", "keeps")
+
+
+def drop_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False, bits: int = 64) -> DataFrame:
     """doc_id, n_bytes, spans (array of start and end of each maximal removed run), kept (binary) and `rest` of every row.
 
     `rest` is a struct of the other columns, whatever their names. With `as_text`,
@@ -536,12 +576,12 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -
     the one of smallest id are removed whole if they have `length` bytes or
     more. A text of any length is judged whole. Rows with equal ids are ordered by a hash of their text; rows that are
     equal in both are one document and get equal results. Null ids come before
-    others. An empty table gives no rows.
+    others. An empty table gives no rows. Texts are told apart by 128 bits of hashes.
     """
     spark = docs.sparkSession
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest")).withColumn("node", F.xxhash64("text"))
+    texts = with_names(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest")), bits)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     keys = partition_keys(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET))
     found = stored(repeated_anchors(posted_anchors(texts.select("node", "text"), keys, length), keys), "anchors")

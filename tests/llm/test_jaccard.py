@@ -67,3 +67,36 @@ def test_odd_rows(odd, empty):
     assert jaccard.similar_documents(empty).count() == 0
     kept = jaccard.one_of_each(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 6, 7, 8, 9]
+
+
+@pytest.mark.parametrize("bits", [3, 64])
+def test_sets_that_share_a_hash(spark, bits):
+    """With three bits of the first hash nearly all sets share their names; the second hash tells them apart."""
+    docs = [(i, f"w{i} " * 3 + f"one two three four five w{i % 7}") for i in range(40)] + [(i, f"the same text number {i % 3} of a few words") for i in range(100, 130)]
+    got = jaccard.similar_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bits=bits)
+    assert sorted(map(tuple, got.collect())) == brute(docs)
+
+
+def test_split_lists_blocks_and_large_roots(spark, monkeypatch):
+    """Small limits, so that lists are dealt to several tasks, joined by blocks, tried in two passes, and large components broadcast."""
+    for name, value in (("LONG", 4), ("BLOCK", 3), ("EARLY", 2), ("LARGE", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(150)]
+    bases = [list(rng.choice(words, 40)) for _ in range(5)]
+    docs = []
+    for i in rng.permutation(120):
+        own = list(bases[min(4, int(rng.integers(0, 9)))])
+        for _ in range(rng.integers(0, 4)):
+            own[rng.integers(0, len(own))] = rng.choice(words)
+        docs.append((int(i), " ".join(own)))
+    got = jaccard.similar_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect())) == brute(docs)
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(6)
+    words = rng.choice([f"v{i}" for i in range(5000)], 120_000).tolist()
+    docs = [(3, " ".join(words)), (1, " ".join(words[:110_000])), (2, " ".join(words[:60_000])), (7, "a few words of its own here")]
+    got = {r["doc_id"]: r["component"] for r in jaccard.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {3: 1, 1: 1, 2: 2, 7: 7}

@@ -111,3 +111,39 @@ def test_odd_rows(spark, odd, empty):
     assert suffixes.drop_repeats(empty).count() == 0
     twice = spark.createDataFrame([(1, "ab" * 80), (1, "ab" * 80), (2, "ab" * 80), (None, "xyz" * 60)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, len(r["kept"])) for r in suffixes.drop_repeats(twice).collect()) == [(0, 3), (1, 2), (1, 2), (2, 0)]
+
+
+def test_a_passage_in_half_of_all_documents_is_sent_once_a_task(spark, monkeypatch):
+    """One content around one anchor: places after a task's earliest one need no comparison."""
+    monkeypatch.setattr(suffixes, "LEAST", 6)
+    rng = np.random.default_rng(21)
+    line = "".join(rng.choice(list("abcdefgh"), 400))
+    docs = [(i, (line if i % 2 else "") + "".join(rng.choice(list("uvwxyz"), 150))) for i in range(400)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").coalesce(4)
+    assert found(suffixes.drop_repeats(rows)) == brute(docs, 100)
+    texts = rows.withColumn("node", suffixes.F.xxhash64("text"))
+    keys = suffixes.partition_keys(spark, 5)
+    anchors = suffixes.repeated_anchors(suffixes.posted_anchors(texts.select("node", "text"), keys, 100), keys).where("runs is not null")
+    asked = anchors.groupBy("node").agg(suffixes.F.collect_list("runs").alias("runs"))
+    joined = suffixes.packed_texts(texts, "node", "doc_id").join(asked, "node").coalesce(2)
+    sent = suffixes.surroundings(joined, keys, 100, {})
+    places = sum(len(suffixes.unpack(suffixes.zstandard.ZstdDecompressor().decompress(r["payload"]), np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint32, np.uint8)[0]) for r in sent.where("payload is not null").collect())
+    known = sum(len(r["spans"]) // 8 for r in sent.where("spans is not null").collect())
+    assert known > 3 * places  # what is left holds edges of single documents
+
+
+@pytest.mark.parametrize("bits", [2, 64])
+def test_texts_that_share_a_hash(spark, bits):
+    """With two bits of the first hash nearly all texts share their names; the second hash tells them apart."""
+    docs = [*passages(50, 4), (900, "copy " * 60), (901, "copy " * 60)]
+    assert found(suffixes.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string"), bits=bits)) == brute(docs, 100)
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(5)
+    own = "".join(rng.choice(list("abcdefghijklmnop"), 400_000))
+    docs = [(1, own), (2, "x" * 60_000 + own[1000:300_000]), (3, own[200_000:] + "end"), (4, "short")]
+    got = found(suffixes.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got[1][1] == [] and got[4] == (5, [], b"short")
+    assert got[2][:2] == (359_000, [(1, 359_000)])
+    assert got[3][:2] == (200_003, [(0, 200_000)])
