@@ -156,7 +156,7 @@ def features(d: Dialect, u: str = "url") -> list[tuple[str, str]]:
         ("url_has_https", "cast(scheme = 'https' as bigint)"),
         ("url_has_ip", "cast(is_ip as bigint)"),
         ("url_has_punycode", has("xn--")),
-        ("url_has_nonstandard_port", "cast(CASE WHEN port = '' THEN false ELSE try_cast(port as bigint) NOT IN (80, 443) END as bigint)"),
+        ("url_has_nonstandard_port", "cast(CASE WHEN port = '' THEN false ELSE coalesce(try_cast(port as bigint), 65536) BETWEEN 0 AND 65535 AND try_cast(port as bigint) NOT IN (80, 443) END as bigint)"),
         ("url_has_double_slash_path", "cast(contains(path, '//') as bigint)"),
         ("url_entropy", d.entropy(u)),
         ("url_suspicious_token_count", d.long(" + ".join(has(t) for t in TOKENS))),
@@ -165,8 +165,11 @@ def features(d: Dialect, u: str = "url") -> list[tuple[str, str]]:
 
 
 FEATURES = [name for name, _ in features(SPARK)]
-#: Counts and lengths that are modelled as log(1 + x).
-LOGGED = [f for f in FEATURES[:17] if f != "url_digit_ratio"] + ["url_suspicious_token_count"]
+#: Counts and lengths that are modelled as log(1 + x).
+LOGGED = [
+    "url_length", "url_hostname_length", "url_path_length", "url_query_length", "url_dot_count", "url_subdomain_count", "url_hyphen_count", "url_digit_count", "url_special_char_count",
+    "url_at_count", "url_question_count", "url_equals_count", "url_ampersand_count", "url_percent_count", "url_path_depth", "url_query_param_count", "url_suspicious_token_count",
+]
 
 #: The groups under which contributions are reported.
 GROUPS = {

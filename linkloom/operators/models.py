@@ -230,6 +230,10 @@ def load(spark: SparkSession, path: str, sha256: str) -> Model:
     raw = spark.read.text(path).first()["value"]
     if hashlib.sha256(raw.encode()).hexdigest() != sha256:
         raise ContractError(f"{path} is not the model that was locked")
-    got = json.loads(raw)
-    return Model(**{k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in got.items()})
+    return parsed(raw)
+
 
+def parsed(text: str) -> Model:
+    """The model of Model.text()."""
+    got = json.loads(text)
+    return Model(**{k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in got.items()})

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,22 +87,65 @@ def correlation(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
 
 
-def rank_correlations(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+#: A column of at most so many distinct values has its ranks sent to all tasks.
+FEW = 10_000
+
+
+def rank_correlations(rows: DataFrame, key: str, columns: list[str], few: int = FEW) -> DataFrame:
     """(a, b, n, spearman) of every pair of numeric `columns`, over rows that have both; null where one of them is constant.
 
     All columns are ranked in one pass, among all their values; so with nulls, ranks of
-    a column are those among its own non-null values. `key` is unique. Each row meets
-    the pairs in its own task and is added up there. An empty table gives no rows.
+    a column are those among its own non-null values. `key` is unique. Ranks of columns
+    with few distinct values are looked up in tasks, others are joined. Each task adds
+    up the products of its rows' ranks, a number for each pair. An empty table gives no
+    rows.
     """
-    long = rows.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([key], columns, "column", "value").where("value is not null")
+    wide = rows.select(key, *(F.col(c).cast("double").alias(c) for c in columns))
+    long = wide.unpivot([key], columns, "column", "value").where("value is not null")
     counted = running_by(long.groupBy("column", "value").agg(F.count("*").alias("n")), ["column"], "value", ["n"])
-    ranked = long.join(counted.select("column", "value", (F.col("below_n") + (F.col("n") + 1) / 2).alias("rank")), ["column", "value"])
-    wide = ranked.groupBy(key).pivot("column", columns).agg(F.first("rank"))
-    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(len(columns)) for j in range(i + 1, len(columns))))
-    met = wide.select(F.array(*columns).alias("ranks"), F.inline(pairs)).select("i", "j", F.expr("ranks[i]").alias("x"), F.expr("ranks[j]").alias("y"))
-    cells = met.groupBy("i", "j").agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n"), correlation(F.col("x"), F.col("y")).alias("spearman"))
-    names = F.array(*map(F.lit, columns))
-    return cells.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "n", "spearman")
+    ranked = stored(counted.select("column", "value", (F.col("below_n") + (F.col("n") + 1) / 2 - (F.col("all_n") + 1) / 2).alias("rank")), "ranks")  # from the middle
+    sizes = {r["column"]: r["n"] for r in ranked.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    large = [c for c in columns if sizes.get(c, 0) > few]
+    tables: dict[str, list[tuple[float, float]]] = {c: [] for c in columns if c not in large}
+    for r in ranked.where(~F.col("column").isin(large) if large else F.lit(True)).toLocalIterator():
+        tables[r["column"]].append((r["value"], r["rank"]))
+    looked_up = rows.sparkSession.sparkContext.broadcast({c: np.array(sorted(t)).reshape(-1, 2).T for c, t in tables.items()})
+    if large:
+        found = long.where(F.col("column").isin(large)).join(ranked, ["column", "value"]).groupBy(key).pivot("column", large).agg(F.first("rank"))
+        wide = wide.drop(*large).join(found, key, "left")
+    names = ("i", "j", "n", "x", "y", "xx", "yy", "xy")
+
+    def run(batches):
+        k = len(columns)
+        n, x, xx, xy = (np.zeros((k, k)) for _ in range(4))
+        seen = 0
+        for b in batches:
+            seen += b.num_rows
+            r = np.full((b.num_rows, k), np.nan)
+            for i, c in enumerate(columns):
+                own = b.column(c).to_numpy(zero_copy_only=False).astype(float)
+                if c in large:
+                    r[:, i] = own
+                elif looked_up.value[c].shape[1]:
+                    values, places = looked_up.value[c]
+                    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                    r[:, i] = np.where(np.isnan(own), np.nan, places[at])
+            there = (~np.isnan(r)).astype(float)
+            r = np.nan_to_num(r)
+            n += there.T @ there
+            x += r.T @ there
+            xx += (r * r).T @ there
+            xy += r.T @ r
+        i, j = np.triu_indices(k, 1)
+        if seen:
+            yield pa.record_batch([pa.array(v) for v in (i, j, n[i, j], x[i, j], x[j, i], xx[i, j], xx[j, i], xy[i, j])], list(names))
+
+    sums = wide.select(*columns).mapInArrow(run, "i bigint, j bigint, " + ", ".join(f"{c} double" for c in names[2:])).groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in names[2:]))
+    left, right = (F.col(s + s) * F.col("n") - F.col(s) * F.col(s) for s in ("x", "y"))
+    varies = (left > 1e-12 * F.col("xx") * F.col("n")) & (right > 1e-12 * F.col("yy") * F.col("n"))
+    rho = F.when(varies, (F.col("xy") * F.col("n") - F.col("x") * F.col("y")) / F.sqrt(left * right))
+    label = F.array(*map(F.lit, columns))
+    return sums.select(label[F.col("i").cast("int")].alias("a"), label[F.col("j").cast("int")].alias("b"), F.col("n").cast("bigint").alias("n"), rho.alias("spearman"))
 
 
 #: Rows of one sorted partition have numbers below this in the lower bits of monotonically_increasing_id.

@@ -20,7 +20,7 @@ def escaped(x: Column, limit: int = SHOWN) -> Column:
         short = F.concat(F.lit("\\u"), F.substring(u, 5, 4))
         return F.when(c.rlike(r"^[\p{C}\p{Zl}\p{Zp}\p{Zs}]$") & (c != " "), F.when(F.substring(u, 1, 4) == "0000", short).otherwise(F.concat(F.lit("\\U"), u))).otherwise(c)
 
-    rest = F.length(x) - limit
+    rest = F.length(x) - limit  # fixed value: the words that stand for what is not shown
     text = F.array_join(F.transform(F.split(head, ""), shown), "")
     return F.concat(text, F.when(rest > 0, F.concat(F.lit(" ... ["), rest.cast("string"), F.lit(" more characters not shown]"))).otherwise(""))
 

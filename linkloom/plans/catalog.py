@@ -73,7 +73,7 @@ def url_features_30(spark, sf):
     return page_features(spark, sf).select("page_id", *(r6(n, n) if n in ("url_digit_ratio", "url_entropy") else F.col(n) for n in urls.FEATURES))
 
 
-_SUMMED = ["url_length", "url_digit_count", "url_path_depth", "url_entropy"]
+_SUMMED = urls.FEATURES
 
 
 @query(" UNION ALL ".join(f"SELECT scheme, '{n}' AS feature, round(median({n})::DOUBLE, 6) AS median, round(min({n})::DOUBLE, 6) AS least, round(max({n})::DOUBLE, 6) AS most FROM ({_FEATURES}) GROUP BY scheme" for n in _SUMMED))
@@ -594,37 +594,37 @@ def best_split(spark, sf):
 
 # ---------------------------------------------------------------- models and explanations
 
-_WEIGHTS = {"url_length": 0.4, "url_digit_ratio": 0.9, "url_entropy": -0.3, "url_path_depth": 0.2, "url_has_https": -0.7, "url_suspicious_token_count": 1.1, "url_has_token_login": 0.5, "url_hyphen_count": 0.25}
+#: Weights of all 30 features, in their order, for queries that need a scorer but no training; plans/training.py fits real ones.
+_WEIGHTS = dict(zip(urls.FEATURES, (0.4, 0.15, -0.1, 0.3, 0.2, 0.35, 0.25, -0.2, 0.9, 0.1, 0.6, 0.05, -0.15, 0.1, 0.3, 0.2, -0.05, -0.7, 0.8, 0.5, 0.45, 0.3, -0.3, 1.1, 0.5, -0.25, 0.2, 0.15, -0.1, 0.4), strict=True))
 _INTERCEPT = -0.2
 
 
-def page_contributions(spark, sf) -> DataFrame:
+def page_parts(spark, sf) -> DataFrame:
     rows = page_features(spark, sf)
-    scaling = explain.fitted_scaling(rows, list(_WEIGHTS), urls.LOGGED)
-    return explain.contributions(rows, "page_id", scaling, _WEIGHTS, urls.LOGGED)
+    return explain.with_parts(rows, explain.fitted_scaling(rows, list(_WEIGHTS), urls.LOGGED), _WEIGHTS, urls.LOGGED)
 
 
 def _value(f: str) -> str:
     return f"ln(1 + {f})" if f in urls.LOGGED else f"{f}::DOUBLE"
 
 
-_Z = "SELECT page_id, " + ", ".join(f"({_value(f)} - avg({_value(f)}) OVER ()) / CASE WHEN round(stddev_pop({_value(f)}) OVER (), 12) = 0 THEN 1.0 ELSE stddev_pop({_value(f)}) OVER () END AS {f}" for f in _WEIGHTS) + f" FROM ({_FEATURES})"
-_LONG = " UNION ALL ".join(f"SELECT page_id, '{f}' AS feature, {f} AS z, {f} * {w} AS contribution, '{next(g for g, fs in urls.GROUPS.items() if f in fs)}' AS feature_group FROM z" for f, w in _WEIGHTS.items())
+_Z = f"SELECT page_id, {', '.join(f'{f}::DOUBLE AS raw_{f}' for f in _WEIGHTS)}, " + ", ".join(f"({_value(f)} - avg({_value(f)}) OVER ()) / CASE WHEN round(stddev_pop({_value(f)}) OVER (), 12) = 0 THEN 1.0 ELSE stddev_pop({_value(f)}) OVER () END AS {f}" for f in _WEIGHTS) + f" FROM ({_FEATURES})"
+_LONG = " UNION ALL ".join(f"SELECT page_id, '{f}' AS feature, {f} AS z, raw_{f} AS raw, {f} * {w} AS contribution, '{next(g for g, fs in urls.GROUPS.items() if f in fs)}' AS feature_group FROM z" for f, w in _WEIGHTS.items())
 
 
-@query(f"WITH z AS ({_Z}) SELECT page_id, feature, round(z, 6) AS z, round(contribution, 6) AS contribution FROM ({_LONG})")
+@query(f"WITH z AS ({_Z}) SELECT page_id, feature, round(z, 6) + 0.0 AS z, round(contribution, 6) + 0.0 AS contribution FROM ({_LONG})")
 def contributions(spark, sf):
-    return page_contributions(spark, sf).select("page_id", "feature", r6("z", "z"), r6("contribution", "contribution"))
+    return page_parts(spark, sf).select("page_id", F.inline("parts")).select("page_id", "feature", *((F.round(c, 6) + 0.0).alias(c) for c in ("z", "contribution")))  # no negative zeros
 
 
 @query(f"WITH z AS ({_Z}), s AS (SELECT page_id, sum(contribution) + {_INTERCEPT} AS logit FROM ({_LONG}) GROUP BY page_id) SELECT page_id, round(logit, 6) AS logit, round(1 / (1 + exp(-logit)), 6) AS score, CASE WHEN 1 / (1 + exp(-logit)) >= 0.7 THEN 'HIGH RISK' WHEN 1 / (1 + exp(-logit)) >= 0.3 THEN 'SUSPICIOUS' ELSE 'LOW RISK' END AS band FROM s")
 def linear_score(spark, sf):
-    return explain.scored(page_contributions(spark, sf), "page_id", _INTERCEPT).select("page_id", r6("logit", "logit"), r6("score", "score"), "band")
+    return explain.scored(page_parts(spark, sf), _INTERCEPT).select("page_id", r6("logit", "logit"), r6("score", "score"), "band")
 
 
 @query(f"WITH z AS ({_Z}) SELECT page_id, feature_group, round(sum(contribution), 6) AS total FROM ({_LONG}) GROUP BY ALL")
 def group_contributions(spark, sf):
-    return explain.group_totals(page_contributions(spark, sf), "page_id").withColumn("total", F.round("total", 6))
+    return explain.group_totals(page_parts(spark, sf), "page_id").withColumn("total", F.round("total", 6))
 
 
 @query(f"""WITH z AS ({_Z}), o AS (SELECT page_id, feature_group, CASE WHEN feature_group = 'Keywords' THEN 'keywords' ELSE feature END AS factor, sum(contribution) AS contribution FROM ({_LONG}) GROUP BY ALL),
@@ -632,7 +632,7 @@ t AS (SELECT *, sum(contribution) OVER (PARTITION BY page_id, feature_group) AS
 k AS (SELECT *, row_number() OVER (PARTITION BY page_id, sign(contribution) ORDER BY abs(round(contribution, 9)) DESC, factor) AS place FROM t WHERE sign(contribution) = sign(total) AND abs(contribution) >= 0.05 AND abs(total) >= 0.05)
 SELECT page_id, CASE WHEN contribution > 0 THEN 'raises' ELSE 'lowers' END AS direction, place::INT AS place, factor, round(contribution, 6) AS contribution FROM k WHERE place <= 3""")
 def factor_sentences(spark, sf):
-    return explain.factors(page_contributions(spark, sf), "page_id").withColumn("contribution", F.round("contribution", 6))
+    return explain.factors(page_parts(spark, sf), "page_id").drop("sentence").withColumn("contribution", F.round("contribution", 6))
 
 
 @query(f"WITH f AS ({_FEATURES}) " + " UNION ALL ".join(f"SELECT '{f}' AS feature, CASE WHEN count(DISTINCT {rounded(f)}) < 2 THEN 'zero variance' WHEN bool_and({f} IN (0, 1)) AND sum({f}) < 2 THEN 'rare flag' ELSE 'kept' END AS verdict FROM f" for f in urls.FEATURES))
@@ -673,12 +673,10 @@ def confident_errors(spark, sf):
 def example_picker(spark, sf):
     """The row of lower median score in each cell of the confusion table: its place is found by counts of scores, not in one sorted cell."""
     rows = scored(spark, sf)
-    per = rows.groupBy("label", "predicted", "score").agg(F.count("*").alias("c"))
-    cell = Window.partitionBy("label", "predicted")
-    per = per.withColumns({"n": F.sum("c").over(cell), "upto": F.sum("c").over(cell.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))}).withColumn("target", F.expr("(n - 1) div 2 + 1"))
-    hit = per.where("upto >= target and upto - c < target").selectExpr("label", "predicted", "score", "target - (upto - c) as place")
+    values = ranks.running_by(rows.groupBy("label", "predicted", "score").agg(F.count("*").alias("n")), ["label", "predicted"], "score", ["n"])
+    hit = values.where("below_n <= (all_n - 1) div 2 and (all_n - 1) div 2 < below_n + n").selectExpr("label", "predicted", "score", "(all_n - 1) div 2 - below_n + 1 as place")
     tied = rows.join(F.broadcast(hit), ["label", "predicted", "score"])  # one row a cell
-    k = F.row_number().over(cell.orderBy("l_orderkey", "l_linenumber"))
+    k = F.row_number().over(Window.partitionBy("label", "predicted", "score").orderBy("l_orderkey", "l_linenumber"))
     return tied.withColumn("k", k).where("k = place").select("label", "predicted", "l_orderkey", "l_linenumber", "score")
 
 
@@ -697,19 +695,30 @@ def group_folds(spark, sf):
     return groups.stratified_folds(groups.stored(customer_groups(spark, sf), "groups"), 5, SEED)
 
 
-_SHIFTED = ["url_length", "url_path_length", "url_digit_count", "url_hyphen_count"]
+_SHIFTED = urls.FEATURES
 _CHANGED = f"SELECT page_id, {', '.join(f'{e} AS {n}' for n, e in urls.features(urls.DUCKDB) if n in _SHIFTED)} FROM {urls.sql_with(urls.parts(urls.DUCKDB), '(SELECT page_id, concat(url, repeat(chr(45), (page_id % 3)::INT), page_id::VARCHAR) AS url FROM pages)')}"
 
 
-@query(f"WITH a AS ({_FEATURES}), b AS ({_CHANGED}) " + " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n, round(avg(b.{f} - a.{f}), 6) AS mean_shift, median(b.{f} - a.{f})::DOUBLE AS median_shift, round(avg((b.{f} <> a.{f})::INT), 6) AS share_changed FROM a JOIN b USING (page_id)" for f in _SHIFTED))
+def _moved(f: str) -> str:
+    old, new = (_value(f).replace(f, f"{t}.{f}", 1) for t in ("a", "b"))
+    std = f"(SELECT stddev_pop({_value(f)}) FROM a)"
+    return f"avg({new} - {old}) / CASE WHEN round({std}, 12) = 0 THEN 1.0 ELSE {std} END"
+
+
+@query(f"WITH a AS ({_FEATURES}), b AS ({_CHANGED}) " + " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n, round(avg(b.{f} - a.{f}), 6) AS mean_shift, round(median(b.{f} - a.{f})::DOUBLE, 6) AS median_shift, round(avg((b.{f} <> a.{f})::INT), 6) AS share_changed, round({_moved(f)}, 6) + 0.0 AS transformed_delta, round({_WEIGHTS[f]} * ({_moved(f)}), 6) + 0.0 AS mean_logit_shift FROM a JOIN b USING (page_id)" for f in _SHIFTED))
 def paired_shift(spark, sf):
-    """How features of the same row differ between two versions of it."""
+    """How the features of one row differ between two versions of it, and what that does to its score."""
     changed = table(spark, sf, "pages").select("page_id", F.expr("concat(url, repeat('-', cast(page_id % 3 as int)), page_id)").alias("url"))
     second = urls.with_features(urls.with_parts(changed)).select("page_id", *(F.col(f).alias(f"new_{f}") for f in _SHIFTED))
-    both = page_features(spark, sf).select("page_id", *_SHIFTED).join(second, "page_id")
-    long = both.select(F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), (F.col(f"new_{f}") - F.col(f)).alias("shift")) for f in _SHIFTED))))
-    per = long.groupBy("feature").agg(F.count("*").alias("n"), r6(F.avg("shift"), "mean_shift"), r6(F.avg((F.col("shift") != 0).cast("int")), "share_changed"))
-    return ranks.with_quantiles(per, long, ["feature"], "shift", {"median_shift": 0.5}).select("feature", "n", "mean_shift", "median_shift", "share_changed")
+    first = page_features(spark, sf).select("page_id", *_SHIFTED)
+    both = first.join(second, "page_id").crossJoin(F.broadcast(explain.fitted_scaling(first, _SHIFTED, urls.LOGGED)))  # one row of constants
+    moved = {f: (explain.transformed(F.col(f"new_{f}"), f, urls.LOGGED) - explain.transformed(F.col(f), f, urls.LOGGED)) / F.when(F.round(f"{f}__std", 12) == 0, 1.0).otherwise(F.col(f"{f}__std")) for f in _SHIFTED}
+    long = both.select(F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), (F.col(f"new_{f}") - F.col(f)).cast("double").alias("shift"), moved[f].alias("moved"), F.lit(_WEIGHTS[f]).alias("weight")) for f in _SHIFTED))))
+    per = long.groupBy("feature").agg(
+        F.count("*").alias("n"), r6(F.avg("shift"), "mean_shift"), r6(F.avg((F.col("shift") != 0).cast("int")), "share_changed"), r6(F.avg("moved"), "transformed_delta"), r6(F.avg(F.col("moved") * F.col("weight")), "mean_logit_shift"),
+    )
+    found = ranks.with_quantiles(per, long, ["feature"], "shift", {"median_shift": 0.5})
+    return found.select("feature", "n", "mean_shift", F.round("median_shift", 6).alias("median_shift"), "share_changed", *((F.col(c) + 0.0).alias(c) for c in ("transformed_delta", "mean_logit_shift")))  # no negative zeros
 
 
 # ---------------------------------------------------------------- checks and images

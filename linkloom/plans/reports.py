@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls
-from linkloom.operators import text
+from linkloom.operators import errors, ranks, text
 from linkloom.plans.catalog import query, r6, table
 
 # ---------------------------------------------------------------- columns, order and sets
@@ -40,12 +40,10 @@ def column_concat(spark, sf):
 def middle_row(spark, sf):
     """The row at n // 2 (from 0) of each band. Values are counted first: only rows of the one value that holds the place are ordered."""
     rows = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
-    values = rows.groupBy("c_nationkey", "c_acctbal").agg(F.count("*").alias("m"))
-    band = Window.partitionBy("c_nationkey")
-    upto = values.withColumns({"upto": F.sum("m").over(band.orderBy("c_acctbal").rowsBetween(Window.unboundedPreceding, 0)), "place": F.expr("sum(m) over (partition by c_nationkey) div 2")})
-    held = upto.where("upto - m <= place and place < upto").select("c_nationkey", "c_acctbal", (F.col("place") - F.col("upto") + F.col("m")).alias("skip"))
-    own = rows.join(held, ["c_nationkey", "c_acctbal"]).withColumn("k", F.row_number().over(Window.partitionBy("c_nationkey", "c_acctbal").orderBy("c_custkey")))
-    return own.where("k = skip + 1").select("c_nationkey", "c_custkey", "c_acctbal")
+    values = ranks.running_by(rows.groupBy("c_nationkey", "c_acctbal").agg(F.count("*").alias("n")), ["c_nationkey"], "c_acctbal", ["n"])
+    held = values.where("below_n <= all_n div 2 and all_n div 2 < below_n + n").selectExpr("c_nationkey", "c_acctbal", "all_n div 2 - below_n + 1 as place")
+    own = rows.join(F.broadcast(held), ["c_nationkey", "c_acctbal"])  # one row a nation
+    return own.withColumn("k", F.row_number().over(Window.partitionBy("c_nationkey", "c_acctbal").orderBy("c_custkey"))).where("k = place").select("c_nationkey", "c_custkey", "c_acctbal")
 
 
 @query("SELECT l_linestatus, sum(split_part(rate, '/', 1)::BIGINT)::BIGINT AS k, sum(split_part(rate, '/', 2)::BIGINT)::BIGINT AS n FROM (SELECT l_linestatus, l_suppkey, concat(count_if(l_quantity > 25)::VARCHAR, '/', count(*)::VARCHAR) AS rate FROM lineitem GROUP BY ALL) GROUP BY l_linestatus")
@@ -114,12 +112,14 @@ def status_counts(spark, sf):
     return table(spark, sf, "events").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_shipmode AS category, n FROM (SELECT concat(l_returnflag, l_linestatus) AS l_shipmode, count(*) AS n FROM lineitem WHERE trim(concat(l_returnflag, l_linestatus)) <> '' GROUP BY 1) ORDER BY n DESC, category LIMIT 6")
+_FILLED = "concat(CASE WHEN l_quantity > 25 THEN ' Large ' ELSE 'small' END)"
+
+
+@query(f"SELECT error_type, category, count(*) AS n_rows FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 'false negative' ELSE 'false positive' END AS error_type, lower(trim({_FILLED})) AS category FROM lineitem) GROUP BY ALL")
 def worksheet_summary(spark, sf):
-    """The six largest error categories; blank ones are not counted."""
-    category = F.concat("l_returnflag", "l_linestatus")
-    per = table(spark, sf, "lineitem").where(F.trim(category) != "").groupBy(category.alias("category")).agg(F.count("*").alias("n"))
-    return per.orderBy(F.desc("n"), "category").limit(6)
+    """The categories of a filled worksheet by kind of error; blank ones, missing notes and too many categories are refused."""
+    rows = table(spark, sf, "lineitem").selectExpr("case when l_returnflag = 'R' then 'false negative' else 'false positive' end as error_type", f"{_FILLED} as your_category", "l_linestatus as evidence_note")
+    return errors.summarised(rows)
 
 
 @query("SELECT event_type, strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day, trim(regexp_replace(lower(event_type || ' / Events'), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM events GROUP BY event_type")

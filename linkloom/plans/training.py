@@ -7,6 +7,7 @@ no SQL twin; tests compare them with a fit in numpy.
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import replace
 from functools import reduce
@@ -15,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls
-from linkloom.operators import checks, groups, images, metrics, models
+from linkloom.operators import checks, explain, freeze, groups, images, metrics, models
 from linkloom.plans.catalog import SEED, query, r6, table
 from linkloom.sources.scratch import folder, stored
 
 QR = ["qr_decoded_modules_per_side"]
+#: The models, in their order.
+ORDER = ("M1_length_only", "M1_plus_QR", "E1_url_only", "E2_qr_only", "E3_fusion", "E3_reducedQR")
 LEAST_RECALL, MOST_FPR, MOST_RHO = 0.9, 0.5, 0.9
 
 
@@ -54,16 +57,32 @@ def specs(train: DataFrame) -> dict[str, list[str]]:
 
 
 def trained(spark, sf) -> tuple[DataFrame, list[models.Model], dict[str, dict[float, float]], dict[str, dict[str, str]]]:
-    """The stored rows and, of each model, its fit with thresholds of the validation rows, mean F1 by strength, and dropped features."""
+    """The stored rows and, of each model, its fit with thresholds of the validation rows, mean F1 by strength, and dropped features.
+
+    Models are trained once for the same rows: they are frozen under the digest of
+    their input, from where further queries read them.
+    """
     rows = stored(labelled(spark, sf), "labelled")
+    path = f"{folder(spark)}/trained-{checks.digest_of(checks.row_keys(rows, 'page_id'), 'row')}"
+    if not freeze.exists(spark, path):
+        found = [(m.name, m.text(), json.dumps(list(f1.items())), json.dumps(gone)) for m, f1, gone in _fits(rows)]
+        try:
+            freeze.freeze(spark, path, {"models": (spark.createDataFrame(found, "name string, model string, f1 string, dropped string"), "name")}, {})
+        except freeze.FrozenError:  # another query was first, with the same rows
+            pass
+    locked = sorted(freeze.opened(spark, path, "models")["models"].collect(), key=lambda r: ORDER.index(r["name"]))
+    fits = [models.parsed(r["model"]) for r in locked]
+    return rows, fits, {r["name"]: {c: f for c, f in json.loads(r["f1"])} for r in locked}, {r["name"]: json.loads(r["dropped"]) for r in locked}
+
+
+def _fits(rows: DataFrame) -> list[tuple[models.Model, dict[float, float], dict[str, str]]]:
     train = stored(train_rows(rows), "train")
-    fits, found, gone = [], {}, {}
+    out = []
     for model, f1, dropped in models.train(train, specs(train), urls.LOGGED, "label", "fold"):
-        found[model.name], gone[model.name] = f1, dropped
         swept = metrics.sweep(rows.where("split = 'val'").select("label", model.score().alias("score")), "label", "score")
         views = {"primary": metrics.choose_threshold(swept, LEAST_RECALL, MOST_FPR), "f1_optimal": metrics.choose_threshold(swept, 2.0)}
-        fits.append(replace(model, thresholds=(*((v, float(df.first()["threshold"])) for v, df in views.items()), ("fixed_0.50", 0.5))))
-    return rows, fits, found, gone
+        out.append((replace(model, thresholds=(*((v, float(df.first()["threshold"])) for v, df in views.items()), ("fixed_0.50", 0.5))), f1, dropped))
+    return out
 
 
 @query()
@@ -113,3 +132,14 @@ def model_differences(spark, sf):
     pairs = [("E3_fusion", "E1_url_only"), ("M1_plus_QR", "M1_length_only"), ("E2_qr_only", "M1_length_only"), ("E3_reducedQR", "E1_url_only")]
     found = [metrics.bootstrap_differences(test, "group_id", "label", a, b, 2000, SEED).withColumn("difference", F.lit(f"{a} - {b}")) for a, b in pairs if a in by and b in by]
     return reduce(DataFrame.unionByName, found).select("difference", "metric", "draws", *(r6(c, c) for c in ("point", "ci95_low", "ci95_high")))
+
+
+@query()
+def model_explanations(spark, sf):
+    """Scores of the locked E1 model on the test rows with band, advice and what raises and lowers them; tests add the parts up."""
+    rows, fits, _, _ = trained(spark, sf)
+    (model,) = (m for m in fits if m.name == "E1_url_only")
+    test = rows.where("split = 'test'").join(table(spark, sf, "pages").select("page_id", "url"), "page_id")
+    scaling = spark.createDataFrame([tuple(x for f in zip(model.medians, model.means, model.deviations, strict=True) for x in f)], ", ".join(f"{f}__{s} double" for f in model.features for s in ("median", "mean", "std")))
+    whole = explain.explained(explain.scored(explain.with_parts(test, scaling, dict(zip(model.features, model.weights, strict=True)), list(model.logged)), model.intercept))
+    return whole.select("page_id", r6("score", "score"), "band", "recommendation", *(F.array_join(c, " | ").alias(c) for c in ("raising", "lowering")))

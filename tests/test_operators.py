@@ -188,11 +188,11 @@ def test_contributions_add_up(spark):
     rows = spark.createDataFrame([(i, float(i % 7), float(i % 3)) for i in range(50)], "id long, url_length double, url_entropy double")
     weights = {"url_length": 0.5, "url_entropy": -1.0}
     scaling = explain.fitted_scaling(rows, list(weights), ["url_length"])
-    parts = explain.contributions(rows, "id", scaling, weights, ["url_length"])
+    parts = explain.with_parts(rows, scaling, weights, ["url_length"])
     a = np.log1p(np.arange(50) % 7)
     b = np.arange(50) % 3
     want = 0.5 * (a - a.mean()) / a.std() - (b - b.mean()) / b.std() + 0.1
-    got = explain.scored(parts, "id", 0.1).orderBy("id").toPandas()
+    got = explain.scored(parts, 0.1).select("id", "logit", "score").orderBy("id").toPandas()
     assert np.allclose(got["logit"], want) and np.allclose(got["score"], 1 / (1 + np.exp(-want)))
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from linkloom.operators import text
-from linkloom.plans import catalog, datasets, reports, training  # noqa: F401  the latter three add their queries to the catalog
+from linkloom.plans import catalog, datasets, explanations, reports, training  # noqa: F401  the latter four add their queries to the catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
