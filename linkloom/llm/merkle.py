@@ -57,15 +57,20 @@ def _first(a: str, b: str) -> str:
     return f"coalesce(get(filter(sequence(0, {m}), i -> not (get({a}, i) <=> get({b}, i))), 0), 0)"
 
 
-def with_next(docs: DataFrame, id_column: str, columns: list[str], tie: Column) -> DataFrame:
+#: Bytes of text in a range of ids, about.
+RANGE = 64 << 20
+
+
+def with_next(docs: DataFrame, id_column: str, columns: list[str], tie: Column, least: int = 1) -> DataFrame:
     """Adds `next_<column>` of the row that follows in the order of ids; after the last comes the first.
 
     Ids are cut into ranges of about equal size; each range is ordered by a task
     of its own and holds a copy of the first row of the next range as its last
-    one. Only the cuts and each range's first id reach the driver.
+    one. Only the cuts and each range's first id reach the driver. There are `least`
+    ranges or more.
     """
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), least)
     ids = docs.select(id_column)
     cuts = sorted({float(c) for c in ids.approxQuantile(id_column, [i / ranges for i in range(1, ranges)], 0.25 / ranges)}) if ranges > 1 else []
     number = F.expr(f"size(filter(array({', '.join(f'{c!r}D' for c in cuts)}), c -> c <= {id_column}))") if cuts else F.lit(0)
@@ -87,7 +92,11 @@ def with_next(docs: DataFrame, id_column: str, columns: list[str], tie: Column)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text and `tree` of every row. A null text is empty: a root over no sections."""
+    """doc_id, text and `tree` of every row, repeated rows each.
+
+    A null text is empty: a root over no sections. A text of any length is hashed
+    whole, within its row; an empty table gives no rows.
+    """
     return with_tree(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "tree")
 
 
@@ -101,7 +110,8 @@ def compare_with_edit(docs: DataFrame) -> DataFrame:
     table gives no rows; other columns are left unread.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(texts, "doc_id", ["text"], F.xxhash64("text"))  # trees are larger than texts, so only texts are shuffled
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = with_next(texts, "doc_id", ["text"], F.xxhash64("text"), size // RANGE)  # trees are larger than texts, so only texts are shuffled
     rows = with_tree(with_tree(rows, "text", "tree"), "next_text", "next_tree")
     rows = rows.withColumn("n_chars", F.length("text").cast("bigint"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")

@@ -38,17 +38,22 @@ FILLED = 0.5
 STEPS = 1500
 
 
+#: From so many blanks in a row on, a text is encoded by this package's own encoder.
+BLANKS = 32
+
+
 class Encoder:
     """Ids of whole texts: compiled code for most, this package's own encoder for texts with long runs of white space.
 
-    The compiled pattern tries such runs place by place and fails on very long ones.
+    The compiled pattern tries such runs place by place, in time that grows with the
+    square of a run, and fails on very long ones.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         ranks = {vocabulary.strings[i]: i for s, i in vocabulary.ids.items() if s not in vocabulary.specials}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=BYTE_PIECES, mergeable_ranks=ranks, special_tokens=vocabulary.specials)
         self.whole = ByteEncoder(vocabulary)
-        self.blank = regex.compile(SPACE + "{2000}")
+        self.blank = regex.compile(SPACE + f"{{{BLANKS}}}")
 
     def encode(self, text: str) -> np.ndarray:
         if self.blank.search(text):
@@ -268,7 +273,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048) -> DataFram
     A null or empty text is its end mark alone. Repeated rows are packed each;
     which of several pieces of one length goes where does not matter to the
     packing, so ties take any order. An empty table gives no rows. Other columns
-    are left unread.
+    are left unread. A very long text is encoded whole and cut into pieces of
+    `capacity` tokens.
     """
     spark = docs.sparkSession
     pieces = stored(tokenized(docs, path, capacity), "pieces")

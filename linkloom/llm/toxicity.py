@@ -65,28 +65,56 @@ class Model:
         return self.bias + float(most) / WINDOW
 
 
+def bag(text: str) -> tuple[bytes, bytes, bytes]:
+    """A document as numbers: its words in order (places among its different words), and of each different word how many table rows it has, and which."""
+    number: dict[str, int] = {}
+    flat, sizes, own = array("i"), array("i"), array("i")
+    for run in runs(text):
+        i = number.get(run)
+        if i is None:
+            grams = buckets(run)
+            i = number[run] = len(sizes) if grams else -1
+            if grams:
+                flat.extend(grams)
+                sizes.append(len(grams))
+        if i >= 0:
+            own.append(i)
+    return own.tobytes(), sizes.tobytes(), flat.tobytes()
+
+
+def bagged(sample: DataFrame) -> DataFrame:
+    """doc_id, label, words, sizes and rows: bags of the sampled texts, made in tasks."""
+
+    def run(batches):
+        for b in slices(batches):
+            words, sizes, flat = zip(*(bag(t or "") for t in b.column("text").to_pylist()), strict=True)
+            yield pa.record_batch([b.column("doc_id"), b.column("label").cast(pa.int64()), *(pa.array(c, pa.binary()) for c in (words, sizes, flat))], ["doc_id", "label", "words", "sizes", "rows"])
+
+    return sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, label bigint, words binary, sizes binary, rows binary")
+
+
 class Sample:
     """Sampled documents as word numbers, and the table rows of each distinct word."""
 
-    def __init__(self, texts: list[str]):
-        number: dict[str, int] = {}
-        flat, sizes = array("i"), array("i")
+    def __init__(self, bags: list[tuple[bytes, bytes, bytes]]):
+        number: dict[bytes, int] = {}
+        known: list[bytes] = []
         self.docs = []
-        for text in texts:
-            own = array("i")
-            for run in runs(text):
-                i = number.get(run)
+        for words, sizes, rows in bags:
+            ends = np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64) * 4
+            own = np.empty(len(ends), np.int32)
+            begin = 0
+            for k, end in enumerate(ends.tolist()):
+                grams = bytes(rows[begin:end])
+                i = number.get(grams)
                 if i is None:
-                    grams = buckets(run)
-                    i = number[run] = len(sizes) if grams else -1
-                    if grams:
-                        flat.extend(grams)
-                        sizes.append(len(grams))
-                if i >= 0:
-                    own.append(i)
-            self.docs.append(np.frombuffer(own, np.int32) if own else np.zeros(0, np.int32))
-        self.flat = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
-        self.sizes = np.array(sizes, np.int64)
+                    i = number[grams] = len(known)
+                    known.append(grams)
+                own[k] = i
+                begin = end
+            self.docs.append(own[np.frombuffer(words, np.int32)] if len(ends) else np.zeros(0, np.int32))
+        self.flat = np.frombuffer(b"".join(known), np.int32)
+        self.sizes = np.array([len(g) // 4 for g in known], np.int64)
         self.ends = np.cumsum(self.sizes)
 
     def word_scores(self, rows: np.ndarray) -> np.ndarray:
@@ -112,9 +140,13 @@ class Sample:
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
+    return fit_bags([bag(t) for t in texts], labels, seed)
+
+
+def fit_bags(bags: list[tuple[bytes, bytes, bytes]], labels: list[int], seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
-    sample = Sample(texts)
+    sample = Sample(bags)
     if len({y for y, words in zip(labels, sample.docs, strict=True) if len(words)}) < 2:  # nothing to tell apart
         return Model(np.zeros(BUCKETS), 4.0 if labels and min(labels) == 1 else -4.0)
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
@@ -159,9 +191,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, visible, per_class: int = PER_CLASS) -> Model:
-    """Fits on at most 2 * per_class documents whose labels are `visible`."""
-    sample = labelled_sample(docs.select("doc_id", "text"), labels, label, visible, per_class).toPandas().sort_values("doc_id")
-    return fit([t or "" for t in sample["text"]], [int(x) for x in sample["label"]])
+    """Fits on at most 2 * per_class documents whose labels are `visible`; the driver gets their words' table rows, not their texts."""
+    sample = bagged(labelled_sample(docs.select("doc_id", "text"), labels, label, visible, per_class)).toPandas().sort_values("doc_id", kind="stable")
+    return fit_bags(list(zip(sample["words"], sample["sizes"], sample["rows"], strict=True)), [int(x) for x in sample["label"]])
 
 
 class Scorer:
