@@ -1,5 +1,6 @@
 import collections
 import random
+import time
 import zlib
 
 import numpy as np
@@ -75,6 +76,17 @@ def test_long_runs(text):
     assert encoder.encode(text).tolist() == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
 
 
+def test_many_runs_of_blanks_take_no_quadratic_time():
+    text = (" " * 1_999 + "x") * 200
+    with open(JSON, encoding="utf-8") as f:
+        encoder = packing.Encoder(packing.Vocabulary(f.read()))
+    encoder.encode("warm " * 50 + " " * 40)
+    began = time.process_time()
+    ids = encoder.encode(text).tolist()
+    assert time.process_time() - began < 3  # the compiled pattern takes three times that
+    assert ids == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+
+
 def test_cuts():
     assert packing.cut(2048, 2048) == [(0, 2048)] and packing.cut(2049, 2048) == [(0, 1), (1, 2048)] and packing.cut(4096, 2048) == [(0, 2048), (2048, 2048)]
 
