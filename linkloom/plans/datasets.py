@@ -15,6 +15,8 @@ from linkloom.plans.catalog import _FEATURES, _PARTS, _SHAPES, SEED, query, r6,
 from linkloom.sources import files, text
 from linkloom.sources.scratch import folder
 
+_OUTCOME_SQL = "CASE WHEN page_id % 5 = 0 THEN 'failure' WHEN page_id % 7 = 0 THEN 'mismatch' ELSE 'exact' END"
+
 # ---------------------------------------------------------------- registered domains
 
 #: Ends that take the place of every host's own end in turn, so that rules of all kinds are met.
@@ -88,6 +90,21 @@ def rows_bootstrap_ci(spark, sf):
     return found.select("metric", "draws", *(r6(c, c) for c in ("point", "ci95_low", "ci95_high")))
 
 
+@query(f"SELECT page_id, canonical_url, {_OUTCOME_SQL} AS outcome FROM {_SHAPES}")
+def one_to_one_join(spark, sf):
+    """URLs joined with their manifest; keys that repeat on either side are an error."""
+    tables = _dataset(spark, sf)
+    return checks.one_to_one(tables["urls"]().select("page_id", "canonical_url"), tables["manifest"]().select("page_id", "outcome"), ["page_id"])
+
+
+@query("SELECT feature, sum(value)::BIGINT AS total FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS value FROM ({_FEATURES})" for f in urls.FEATURES if "token" in f) + ") GROUP BY feature")
+def named_feature_totals(spark, sf):
+    """The features whose names hold a word, and their totals: other columns are never computed."""
+    rows = catalog.page_features(spark, sf)
+    names = [c for c in rows.columns if "token" in c]
+    return rows.agg(*(F.sum(c).alias(c) for c in names)).unpivot([], names, "feature", "total")
+
+
 # ---------------------------------------------------------------- validation
 
 
@@ -148,7 +165,7 @@ def validate(report: runner.Report, t: dict[str, Callable[[], DataFrame]], per_c
 
 
 _BY_DOMAIN = "CASE WHEN substr(md5({0}), 1, 1) IN ('0', '1') THEN 'test' WHEN substr(md5({0}), 1, 1) IN ('2', '3') THEN 'val' ELSE 'train' END"
-_OUTCOME = "CASE WHEN page_id % 5 = 0 THEN 'failure' WHEN page_id % 7 = 0 THEN 'mismatch' ELSE 'exact' END"
+_OUTCOME = _OUTCOME_SQL
 _CAP, _PER_CLASS = 25, 125
 
 

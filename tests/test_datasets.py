@@ -267,3 +267,33 @@ def test_copies_of_one_url_and_blank_rows(spark):
     got = clean.judged(spark.createDataFrame(rows, "row_id long, url string, label int").repartition(5)).groupBy("verdict").count().collect()
     assert {r["verdict"]: r["count"] for r in got} == {"empty_or_whitespace": 1000, "kept": 1, "exact_duplicate": 499 + 499, "canonical_duplicate": 1}
     assert urls.MAX_URL == 2000
+
+
+# ---------------------------------------------------------------- readers and writers
+
+
+def test_json_and_lines(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a\"b", None), (2, "two\nlines", 0.5)], "k int, s string, x double")
+    files.write_json(rows, str(tmp_path / "out"))
+    back = files.read_json(spark, str(tmp_path / "out")).selectExpr("cast(k as int) as k", "s", "x")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    (tmp_path / "whole.json").write_text('{"a": {"b": [1,\n 2]},\n "c": null}')
+    assert files.read_json(spark, str(tmp_path / "whole.json")).first()["a"]["b"] == [1, 2]
+    (tmp_path / "l.txt").write_text("one\ntwo\n")
+    assert sorted((r["value"], r["path"].rsplit("/", 1)[-1]) for r in files.read_lines(spark, str(tmp_path / "l.txt")).collect()) == [("one", "l.txt"), ("two", "l.txt")]
+
+
+def test_csv_with_and_without_missing_values(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a, \"b\""), (2, None), (3, "c\nd")], "k int, s string")
+    files.write_csv(rows.coalesce(1), str(tmp_path / "c"))
+    assert sorted(map(tuple, files.read_csv(spark, str(tmp_path / "c"), "k int, s string").collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        files.write_csv(rows, str(tmp_path / "c"))
+
+
+def test_joins_that_have_to_be_one_to_one(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), spark.createDataFrame([(1, "p"), (3, "q")], "k int, b string")
+    assert [tuple(r) for r in checks.one_to_one(a, b, ["k"]).collect()] == [(1, "x", "p")]
+    for left, right in ((a.unionByName(a), b), (a, b.unionByName(b))):
+        with pytest.raises(files.ContractError):
+            checks.one_to_one(left, right, ["k"])
