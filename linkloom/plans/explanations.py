@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -121,3 +122,108 @@ def length_matched_auc(spark, sf):
     return found
 
 
+
+
+# ---------------------------------------------------------------- payloads, tiers, controls and formats
+
+#: How far a matched subset of so many rows can be read.
+TIERS = ((200, "strong"), (150, "useful (show CIs)"), (100, "exploratory"), (0, "descriptive only"))
+#: What a control explains, by the share of the effect that it reproduces.
+CONTROL = ((0.10, "none"), (0.60, "part"), (float("inf"), "most"))
+
+
+def tier(n):
+    """How far n rows can be read."""
+    out = F.lit(TIERS[-1][1])
+    for least, name in reversed(TIERS[:-1]):
+        out = F.when(n >= least, name).otherwise(out)
+    return out
+
+
+def control_verdict(share):
+    """What a control explains; a share that is missing explains nothing."""
+    size = F.coalesce(F.abs(share), F.lit(0.0))
+    return F.when(size < CONTROL[0][0], CONTROL[0][1]).when(size < CONTROL[1][0], CONTROL[1][1]).otherwise(CONTROL[2][1])
+
+
+_TIER = "CASE " + " ".join(f"WHEN n >= {least} THEN '{name}'" for least, name in TIERS) + " END"
+
+
+@query(f"SELECT bins, n, zeros, ones, {_TIER} AS tier FROM (SELECT bins, count(*) AS n, count_if(quality = 0)::BIGINT AS zeros, count_if(quality = 1)::BIGINT AS ones FROM ({catalog.SQL['length_matched']}) GROUP BY bins)")
+def matched_tier(spark, sf):
+    """Size of the length-matched subset and how far it can be read."""
+    per = catalog.length_matched(spark, sf).groupBy("bins").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 0).alias("zeros"), F.count_if(F.col("quality") == 1).alias("ones"))
+    return per.withColumn("tier", tier(F.col("n")))
+
+
+_SHIFTS = "SELECT user_id % 5 AS condition, avg(CASE WHEN event_type = 'click' THEN value END) AS effect, avg(CASE WHEN event_type = 'view' THEN value END) - 40 AS control FROM events GROUP BY 1"
+
+
+@query(f"SELECT condition, round(share, 3) AS share, CASE WHEN coalesce(abs(share), 0) < 0.1 THEN 'none' WHEN abs(share) < 0.6 THEN 'part' ELSE 'most' END AS verdict FROM (SELECT condition, CASE WHEN abs(effect) > 1e-9 THEN control / effect END AS share FROM ({_SHIFTS}))")
+def control_shares(spark, sf):
+    """The share of an effect that a control reproduces, and what follows from it; no effect has no share."""
+    per = table(spark, sf, "events").groupBy((F.col("user_id") % 5).alias("condition")).agg(F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("effect"), (F.avg(F.when(F.col("event_type") == "view", F.col("value"))) - 40).alias("control"))
+    share = per.withColumn("share", F.when(F.abs("effect") > 1e-9, F.col("control") / F.col("effect")))
+    return share.select("condition", F.round("share", 3).alias("share"), control_verdict(F.col("share")).alias("verdict"))
+
+
+@query("""SELECT l_shipmode, l_returnflag, n, concat(CASE WHEN shift >= 0 THEN '+' ELSE '' END, format('{:.2f}', shift)) AS shift, concat(format('{:.1f}', share), '%') AS share FROM
+ (SELECT l_linestatus AS l_shipmode, l_returnflag, count(*) AS n, round_even(avg(l_quantity) - 25, 2) AS shift, round_even(100.0 * count_if(l_discount > 0.05) / count(*), 1) AS share FROM lineitem GROUP BY ALL)""")
+def formatted_numbers(spark, sf):
+    """Signed numbers and percentages as they stand in a report; halves go to even digits."""
+    per = table(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("l_shipmode"), "l_returnflag").agg(F.count("*").alias("n"), F.bround(F.avg("l_quantity") - 25, 2).alias("shift"), F.bround(100.0 * F.count_if(F.col("l_discount") > 0.05) / F.count("*"), 1).alias("share"))
+    return per.select("l_shipmode", "l_returnflag", "n", F.concat(F.when(F.col("shift") >= 0, "+").otherwise(""), F.format_string("%.2f", "shift")).alias("shift"), F.concat(F.format_string("%.1f", "share"), F.lit("%")).alias("share"))
+
+
+@query("SELECT bin, n, mean_score, share FROM (SELECT least(floor(score * 10), 9)::INT AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS share FROM " + _SCORED + " GROUP BY 1) WHERE n >= 5")
+def reliability_points(spark, sf):
+    """Mean score and share of positives of each bin that holds five rows or more."""
+    number = F.least(F.floor(F.col("score") * 10), F.lit(9)).cast("int")
+    per = catalog.scored(spark, sf).groupBy(number.alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("score"), "mean_score"), r6(F.avg("label"), "share"))
+    return per.where("n >= 5")
+
+
+@query("""SELECT band, y AS label, sum(exact)::BIGINT AS exact, sum(attempted)::BIGINT AS attempted, round(sum(exact) / sum(attempted), 6) AS rate FROM (SELECT l_suppkey, CASE WHEN l_quantity <= 15 THEN 'v1-v3' WHEN l_quantity <= 30 THEN 'v4-v6' ELSE 'v7+' END AS band, l_orderkey % 2 AS y, count_if(l_returnflag = 'N') AS exact, count(*) AS attempted FROM lineitem WHERE l_discount >= 0.05 GROUP BY ALL) GROUP BY ALL""")
+def strong_condition_bands(spark, sf):
+    """Named sums over two keys, version band and label, under one strong condition only."""
+    rows = table(spark, sf, "lineitem").where("l_discount >= 0.05").withColumn("band", catalog.images.version_band(F.col("l_quantity") / 5))
+    per = rows.groupBy("band", (F.col("l_orderkey") % 2).alias("label")).agg(F.count_if(F.col("l_returnflag") == "N").alias("exact"), F.count("*").alias("attempted"))
+    return per.withColumn("rate", F.round(F.col("exact") / F.col("attempted"), 6))
+
+
+#: What is said of payloads that are not analysed.
+MESSAGES = {"undecodable": "no payload was decoded", "non_url": "not a web URL: shown as text, not analysed", "too_long": "longer than any URL in training: shown as text, not analysed"}
+
+_ANALYSED = urls.sql_with(urls.parts(urls.DUCKDB, "payload"), catalog._PAYLOADS)
+_PAYLOAD_FEATURES = f"SELECT page_id, {urls.triage(urls.DUCKDB)} AS kind, {', '.join(f'{e} AS {n}' for n, e in urls.features(urls.DUCKDB, 'payload'))} FROM {_ANALYSED}"
+_STATS = f"SELECT {', '.join(f'avg({catalog._value(f)}) AS {f}_m, CASE WHEN round(stddev_pop({catalog._value(f)}), 12) = 0 THEN 1.0 ELSE stddev_pop({catalog._value(f)}) END AS {f}_s' for f in catalog._WEIGHTS)} FROM ({catalog._FEATURES})"
+_PAYLOAD_LOGIT = " + ".join(f"{w} * ({catalog._value(f)} - {f}_m) / {f}_s" for f, w in catalog._WEIGHTS.items())
+
+
+@query(f"WITH p AS ({_PAYLOAD_FEATURES}), s AS ({_STATS}) SELECT page_id, kind, CASE WHEN kind = 'url' THEN round(1 / (1 + exp(-({_PAYLOAD_LOGIT} + {_INTERCEPT}))), 6) END AS score, CASE kind {' '.join(f'WHEN {k!r} THEN {m!r}' for k, m in MESSAGES.items())} END AS message FROM p, s")
+def payload_analysis(spark, sf):
+    """Decoded payloads: what they are, and the score of those that are URLs; the others are only spoken of."""
+    rows = catalog.page_features(spark, sf)
+    scaling = explain.fitted_scaling(rows, list(catalog._WEIGHTS), urls.LOGGED)
+    payload = F.expr("CASE page_id % 6 WHEN 0 THEN '' WHEN 1 THEN url || ' x' WHEN 2 THEN 'mailto:a@b.c' WHEN 3 THEN url || repeat('a', 2000) WHEN 4 THEN 'http://' ELSE url END")
+    shown = urls.with_parts(table(spark, sf, "pages").select("page_id", payload.alias("payload")), "payload").withColumn("kind", F.expr(urls.triage(urls.SPARK)))
+    scored = explain.scored(explain.with_parts(urls.with_features(shown, "payload"), scaling, catalog._WEIGHTS, urls.LOGGED), _INTERCEPT)
+    said = F.create_map(*(F.lit(x) for p in MESSAGES.items() for x in p))
+    return scored.select("page_id", "kind", F.when(F.col("kind") == "url", F.round("score", 6)).alias("score"), F.try_element_at(said, F.col("kind")).alias("message"))
+
+
+_SOURCES = ("documents", "pages", "customer", "not_there")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS source, 'audited' AS status, count(*)::BIGINT AS n, count(DISTINCT {k})::BIGINT AS n_keys FROM {t}" for t, k in (("documents", "doc_id"), ("pages", "page_id"), ("customer", "c_custkey"))) + " UNION ALL SELECT 'not_there', 'skipped', NULL, NULL")
+def source_audit(spark, sf):
+    """Rows and keys of every source that is there; one that is missing is said to be, and stops nothing."""
+    out = None
+    for name in _SOURCES:
+        try:
+            rows = table(spark, sf, name)
+            one = rows.agg(F.count("*").alias("n"), F.countDistinct(rows.columns[0]).alias("n_keys")).select(F.lit(name).alias("source"), F.lit("audited").alias("status"), "n", "n_keys")
+        except AnalysisException:
+            one = spark.createDataFrame([(name, "skipped", None, None)], "source string, status string, n bigint, n_keys bigint")
+        out = one if out is None else out.unionByName(one)
+    return out
