@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls
+from linkloom.operators import ranks
 
 WHITE = r"(?U)^\s+|\s+$"
 
@@ -77,3 +78,16 @@ def least_hashed(rows: DataFrame, by: list[str], keep: str, seed: int, key: str,
     place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_hash", key))
     some = near.where("_some is not null").withColumn("_place", place).where("_place <= _some").drop("_place")
     return near.where("_some is null").unionByName(some).drop("_hash", "_range", "_some", keep)
+
+
+def built(rows: DataFrame, group: str, cap: int, per_class: int, seed: int, row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """The dataset of record and the report of what went: cleaned, at most `cap` rows of a `group`, `per_class` rows of each label, shuffled and numbered (sample_id).
+
+    `group` is a part of the URL, or registered_domain. A class with too few rows is
+    an error.
+    """
+    verdicts = judged(rows, row_id)
+    kept = urls.with_parts(verdicts.where("verdict = 'kept'").select(row_id, "label", "url", "canonical_url"))
+    some = balanced(capped(kept, group, cap, seed, row_id), per_class, seed, row_id)
+    shuffled = ranks.numbered(some.select(row_id, "label", "url", "canonical_url", group, hashed(seed, row_id).alias("_hash")), ["_hash", row_id], "_place")
+    return shuffled.select(F.format_string("Q%05d", "_place").alias("sample_id"), row_id, "label", "url", "canonical_url", group), drop_report(verdicts)

@@ -59,6 +59,19 @@ def registered_domain_cap(spark, sf):
     return clean.capped(registered_domains(spark, sf), "registered_domain", 5, SEED, "page_id").select("registered_domain", "page_id")
 
 
+_KEPT = urls.sql_with(urls.parts(urls.DUCKDB), "(SELECT row_id, label, url, canonical_url FROM j WHERE verdict = 'kept')")
+_ORDER = f"md5(concat_ws('|', '{SEED}', row_id::VARCHAR)), row_id"
+
+
+@query(f"""{catalog._JUDGED}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY {_ORDER}) AS a FROM {_KEPT}) WHERE a <= 5),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_ORDER}) AS c FROM k) WHERE c <= 15)
+SELECT format('Q{{:05d}}', row_number() OVER (ORDER BY {_ORDER}) - 1) AS sample_id, row_id, label, canonical_url, host FROM b""")
+def built_dataset(spark, sf):
+    """The whole way from raw rows to the dataset of record: cleaned, capped by host, balanced, shuffled and numbered."""
+    found, _ = clean.built(catalog.variants(spark, sf), "host", 5, 15, SEED)
+    return found.select("sample_id", "row_id", "label", "canonical_url", "host")
+
+
 # ---------------------------------------------------------------- numbering and lines
 
 

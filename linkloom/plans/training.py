@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls
-from linkloom.operators import checks, explain, freeze, groups, images, metrics, models
+from linkloom.operators import checks, errors, explain, freeze, groups, images, metrics, models
 from linkloom.plans.catalog import SEED, query, r6, table
 from linkloom.sources.scratch import folder, stored
 
@@ -134,6 +134,25 @@ def model_differences(spark, sf):
     return reduce(DataFrame.unionByName, found).select("difference", "metric", "draws", *(r6(c, c) for c in ("point", "ci95_low", "ci95_high")))
 
 
+@query()
+def evaluation(spark, sf):
+    """Everything an evaluation leaves behind, frozen together: predictions, metrics, paired differences, and the errors of each model. Its tables and how many rows they have."""
+    rows, fits, _, _ = trained(spark, sf)
+    test = rows.where("split = 'test'")
+    scores = [m.score().alias(f"{m.name}_score") for m in fits]
+    answers = [(m.score() >= dict(m.thresholds)["primary"]).cast("int").alias(f"{m.name}_pred") for m in fits]
+    predictions = stored(test.select("page_id", "group_id", "label", "url_length", *scores, *answers), "predictions")
+    wrong = [errors.worksheet(predictions, "label", f"{m.name}_pred", f"{m.name}_score", ["page_id"], ["url_length"]).select(F.concat_ws("/", F.lit(m.name), "page_id").alias("error"), F.lit(m.name).alias("model"), "*") for m in fits]
+    found = {
+        "predictions": (predictions, "page_id"), "test_metrics": (model_test_metrics(spark, sf).withColumn("cell", F.concat_ws("/", "model", "threshold_view")), "cell"),
+        "differences": (model_differences(spark, sf).withColumn("cell", F.concat_ws("/", "difference", "metric")), "cell"), "errors": (reduce(DataFrame.unionByName, wrong), "error"),
+    }
+    path = f"{folder(spark)}/evaluation-{uuid.uuid4().hex}"
+    freeze.freeze(spark, path, found, {"models": {m.name: m.digest() for m in fits}})
+    entries = freeze.manifest(spark, path)["tables"]
+    return spark.createDataFrame([(name, e["n"]) for name, e in sorted(entries.items())], "name string, n bigint")
+
+
 @query()
 def model_explanations(spark, sf):
     """Scores of the locked E1 model on the test rows with band, advice and what raises and lowers them; tests add the parts up."""

@@ -269,6 +269,19 @@ def test_copies_of_one_url_and_blank_rows(spark):
     assert urls.MAX_URL == 2000
 
 
+def test_datasets_of_record(spark):
+    rows = [(i, f"http://h{i % 9}.test/{i % 50}", i % 50 % 2) for i in range(100)] + [(200 + i, f"http://h0.test/{i}", 1) for i in range(0, 50, 10)] + [(300, "no url", 0), (301, "", 1)]
+    df = spark.createDataFrame(rows, "row_id long, url string, label int")
+    found, report = clean.built(df, "host", 4, 6, 42)
+    got = found.collect()
+    assert sorted(r["sample_id"] for r in got) == [f"Q{n:05d}" for n in range(12)] and sorted(r["label"] for r in got) == [0] * 6 + [1] * 6
+    assert max(sum(1 for r in got if r["host"] == h) for h in {r["host"] for r in got}) <= 4
+    assert [r["row_id"] for r in sorted(got, key=lambda r: r["sample_id"])] == [i for _, i in sorted((md5(42, r["row_id"]), r["row_id"]) for r in got)]
+    assert sum(r["n"] for r in report.collect()) == len(rows)
+    with pytest.raises(ValueError, match="fewer than"):
+        clean.built(df, "host", 1, 50, 42)
+
+
 # ---------------------------------------------------------------- readers and writers
 
 
