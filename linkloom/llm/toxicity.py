@@ -15,16 +15,17 @@ number, which tasks remember.
 from __future__ import annotations
 
 import zlib
-from array import array
 from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from linkloom.llm.bpe import Memory
-from linkloom.llm.common import slices
+from linkloom.llm.common import slices, stored
 from linkloom.llm.training import labelled_sample
 
 BUCKETS, DIMENSIONS, BATCH, RATE, FLOOR = 1 << 16, 8, 256, 0.02, 1e-4
@@ -65,56 +66,58 @@ class Model:
         return self.bias + float(most) / WINDOW
 
 
-def bag(text: str) -> tuple[bytes, bytes, bytes]:
-    """A document as numbers: its words in order (places among its different words), and of each different word how many table rows it has, and which."""
-    number: dict[str, int] = {}
-    flat, sizes, own = array("i"), array("i"), array("i")
-    for run in runs(text):
-        i = number.get(run)
-        if i is None:
-            grams = buckets(run)
-            i = number[run] = len(sizes) if grams else -1
-            if grams:
-                flat.extend(grams)
-                sizes.append(len(grams))
-        if i >= 0:
-            own.append(i)
-    return own.tobytes(), sizes.tobytes(), flat.tobytes()
+class Bagger:
+    """Words as keys, a hash of the table rows that make them up; `rows` are those of each key met so far."""
+
+    def __init__(self):
+        self.rows: dict[int, bytes] = {}
+        self.memory = Memory(self.key)
+
+    def key(self, run: str) -> int | None:
+        grams = buckets(run)
+        if not grams:
+            return None
+        own = np.array(grams, np.int32).tobytes()
+        key = xxhash.xxh64_intdigest(own) - (1 << 63)
+        self.rows[key] = own
+        return key
+
+    def words(self, text: str | None) -> np.ndarray:
+        return np.array([k for k in map(self.memory.__getitem__, runs(text or "")) if k is not None], np.int64)
 
 
 def bagged(sample: DataFrame) -> DataFrame:
-    """doc_id, label, words, sizes and rows: bags of the sampled texts, made in tasks."""
+    """Rows of documents (doc_id, label, words: their keys in order) and of words (key, rows), a task's words once each."""
+    columns = [("doc_id", pa.int64()), ("label", pa.int64()), ("words", pa.binary()), ("key", pa.int64()), ("rows", pa.binary())]
+
+    def batch(n: int, **given) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in columns], [k for k, _ in columns])
 
     def run(batches):
+        bagger = Bagger()
         for b in slices(batches):
-            words, sizes, flat = zip(*(bag(t or "") for t in b.column("text").to_pylist()), strict=True)
-            yield pa.record_batch([b.column("doc_id"), b.column("label").cast(pa.int64()), *(pa.array(c, pa.binary()) for c in (words, sizes, flat))], ["doc_id", "label", "words", "sizes", "rows"])
+            words = [bagger.words(t).tobytes() for t in b.column("text").to_pylist()]
+            yield batch(b.num_rows, doc_id=b.column("doc_id").to_pylist(), label=b.column("label").to_pylist(), words=words)
+        if bagger.rows:
+            yield batch(len(bagger.rows), key=list(bagger.rows), rows=list(bagger.rows.values()))
 
-    return sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, label bigint, words binary, sizes binary, rows binary")
+    return sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, label bigint, words binary, key bigint, rows binary")
 
 
 class Sample:
-    """Sampled documents as word numbers, and the table rows of each distinct word."""
-
-    def __init__(self, bags: list[tuple[bytes, bytes, bytes]]):
-        number: dict[bytes, int] = {}
-        known: list[bytes] = []
-        self.docs = []
-        for words, sizes, rows in bags:
-            ends = np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64) * 4
-            own = np.empty(len(ends), np.int32)
-            begin = 0
-            for k, end in enumerate(ends.tolist()):
-                grams = bytes(rows[begin:end])
-                i = number.get(grams)
-                if i is None:
-                    i = number[grams] = len(known)
-                    known.append(grams)
-                own[k] = i
-                begin = end
-            self.docs.append(own[np.frombuffer(words, np.int32)] if len(ends) else np.zeros(0, np.int32))
-        self.flat = np.frombuffer(b"".join(known), np.int32)
-        self.sizes = np.array([len(g) // 4 for g in known], np.int64)
+    """Sampled documents as word numbers, in the order of their first appearance, and the table rows of each."""
+
+    def __init__(self, docs: list[np.ndarray], rows: dict[int, bytes]):
+        ends = np.cumsum([len(d) for d in docs])
+        words = np.concatenate([*docs, np.zeros(0, np.int64)])
+        keys, first, inverse = np.unique(words, return_index=True, return_inverse=True)
+        order = np.argsort(first, kind="stable")
+        number = np.empty(len(keys), np.int32)
+        number[order] = np.arange(len(keys))
+        self.docs = np.split(number[inverse], ends[:-1]) if len(docs) else []
+        own = [np.frombuffer(rows[k], np.int32) for k in keys[order].tolist()]
+        self.flat = np.concatenate([*own, np.zeros(0, np.int32)])
+        self.sizes = np.array([len(g) for g in own], np.int64)
         self.ends = np.cumsum(self.sizes)
 
     def word_scores(self, rows: np.ndarray) -> np.ndarray:
@@ -140,13 +143,15 @@ class Sample:
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
-    return fit_bags([bag(t) for t in texts], labels, seed)
+    bagger = Bagger()
+    docs = [bagger.words(t) for t in texts]
+    return fit_bags(docs, bagger.rows, labels, seed)
 
 
-def fit_bags(bags: list[tuple[bytes, bytes, bytes]], labels: list[int], seed: int = 11) -> Model:
+def fit_bags(docs: list[np.ndarray], rows_of: dict[int, bytes], labels: list[int], seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
-    sample = Sample(bags)
+    sample = Sample(docs, rows_of)
     if len({y for y, words in zip(labels, sample.docs, strict=True) if len(words)}) < 2:  # nothing to tell apart
         return Model(np.zeros(BUCKETS), 4.0 if labels and min(labels) == 1 else -4.0)
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
@@ -192,8 +197,11 @@ def fit_bags(bags: list[tuple[bytes, bytes, bytes]], labels: list[int], seed: in
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, visible, per_class: int = PER_CLASS) -> Model:
     """Fits on at most 2 * per_class documents whose labels are `visible`; the driver gets their words' table rows, not their texts."""
-    sample = bagged(labelled_sample(docs.select("doc_id", "text"), labels, label, visible, per_class)).toPandas().sort_values("doc_id", kind="stable")
-    return fit_bags(list(zip(sample["words"], sample["sizes"], sample["rows"], strict=True)), [int(x) for x in sample["label"]])
+    found = stored(bagged(labelled_sample(docs.select("doc_id", "text"), labels, label, visible, per_class)), "bags")
+    words = found.where("key is not null").groupBy("key").agg(F.first("rows").alias("rows"))
+    rows_of = {r["key"]: bytes(r["rows"]) for r in words.toLocalIterator()}
+    sample = found.where("words is not null").select("doc_id", "label", "words").toPandas().sort_values("doc_id", kind="stable")
+    return fit_bags([np.frombuffer(w, np.int64) for w in sample["words"]], rows_of, sample["label"].astype(int).tolist())
 
 
 class Scorer:
