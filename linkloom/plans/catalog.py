@@ -452,13 +452,13 @@ def holm_adjust(spark, sf):
     return metrics.holm(monthly_tests(spark, sf).withColumn("p_exact", F.round("p_exact", 9)), "p_exact", "l_shipmonth").select("l_shipmonth", F.round("p_holm", 5).alias("p_holm"))
 
 
-@query()
+@query(SQL["mcnemar_exact"])
 def mcnemar_exact_whole(spark, sf):
     """The name under which mcnemar_exact took all lines before it did so itself; tests compare it with exact integers."""
     return mcnemar_exact(spark, sf)
 
 
-@query()
+@query(SQL["holm_adjust"])
 def holm_adjust_whole(spark, sf):
     """As mcnemar_exact_whole, for holm_adjust."""
     return holm_adjust(spark, sf)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from linkloom.operators import checks, clean, domains, freeze, groups, images, m
 from linkloom.plans import catalog
 from linkloom.plans.catalog import _FEATURES, _PARTS, _SHAPES, SEED, query, r6, table
 from linkloom.sources import files, text
-from linkloom.sources.scratch import folder
+from linkloom.sources.scratch import folder, stored
 
 _OUTCOME_SQL = "CASE WHEN page_id % 5 = 0 THEN 'failure' WHEN page_id % 7 = 0 THEN 'mismatch' ELSE 'exact' END"
 
@@ -185,13 +186,15 @@ _CAP, _PER_CLASS = 25, 125
 def _dataset(spark: SparkSession, sf: str) -> dict[str, Callable[[], DataFrame]]:
     split, image = _BY_DOMAIN.format("registered_domain"), "concat('images/', page_id, '.png')"
 
+    @cache  # written once, read by all checks
     def url() -> DataFrame:
         rows = urls.with_columns(urls.with_parts(table(spark, sf, "pages").select("page_id", "url")), [("canonical_url", urls.canonical(urls.SPARK))])
-        return rows.selectExpr("page_id", "url", "canonical_url", "registered_domain", "page_id % 2 as label", f"{split} as split", "registered_domain as group_id")
+        return stored(rows.selectExpr("page_id", "url", "canonical_url", "registered_domain", "page_id % 2 as label", f"{split} as split", "registered_domain as group_id"), "urls")
 
+    @cache
     def feature() -> DataFrame:
         rows = catalog.page_features(spark, sf).withColumns({"label": F.col("page_id") % 2, "split": F.expr(split), "distortion": F.lit("none"), "outcome": F.expr(_OUTCOME), "qr_version_generator": images.qr_version(F.col("url"))})
-        return rows.select("page_id", "label", "split", "distortion", "outcome", "qr_version_generator", *(F.when(F.col("outcome") != "failure", F.col(c)).alias(c) for c in urls.FEATURES))
+        return stored(rows.select("page_id", "label", "split", "distortion", "outcome", "qr_version_generator", *(F.when(F.col("outcome") != "failure", F.col(c)).alias(c) for c in urls.FEATURES)), "features")
 
     return {
         "urls": url, "features": feature,
