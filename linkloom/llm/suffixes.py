@@ -250,10 +250,6 @@ def in_groups(key: np.ndarray) -> Iterator[tuple[int, int]]:
         begin = int(end)
 
 
-def binary_rows(columns: list[tuple[str, list, pa.DataType]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(v, t) for _, v, t in columns], [k for k, _, _ in columns])
-
-
 def run_rows(bucket: np.ndarray, node: np.ndarray, low: np.ndarray, first: np.ndarray, runs: np.ndarray) -> Iterator[tuple[list[int], list[bytes]]]:
     """(nodes, payloads): the runs of each node and bucket number; at most 5000 at a time."""
     order = np.lexsort((first, low, node, bucket))
