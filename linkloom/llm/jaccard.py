@@ -37,6 +37,8 @@ COUNTERS, PARTS = 1 << 20, 16
 LONG, BLOCK = 50_000, 2_000
 #: About so many groups of a component are tried before its others.
 EARLY = 64
+#: Shingles that a task holds before it counts them: four copies of 8 bytes each while it does.
+HELD = 1_500_000
 #: Shingles for a partition of the postings.
 PARTITION = 2_000_000
 #: Roots with over a 1 / LARGE of all rows, fewer than LARGE, are broadcast.
@@ -110,7 +112,7 @@ def nodes_and_counts(docs: DataFrame, words: int, bits: int) -> DataFrame:
                     held += len(own)
             n = len(nodes)
             yield pa.record_batch([b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "node", "second", "size", "part", "counts"])
-            if held > 8_000_000:
+            if held > HELD:
                 yield counted(all_of)
                 all_of.clear()
                 seen.clear()
