@@ -116,9 +116,10 @@ class Vocabulary:
 class Memory(dict):
     """Answers by text; what was not asked for since it last filled up is forgotten, so its size is bounded."""
 
-    def __init__(self, answer: Callable):
+    def __init__(self, answer: Callable, remembered: int | None = None):
         super().__init__()
         self.answer = answer
+        self.remembered = REMEMBERED if remembered is None else remembered
         self.older: dict = {}
 
     def __missing__(self, text: str):
@@ -126,7 +127,7 @@ class Memory(dict):
         if value is None:
             value = self.answer(text)
         if len(text) <= WORTH:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.older = dict(self)
                 self.clear()
             self[text] = value

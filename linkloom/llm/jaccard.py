@@ -37,6 +37,8 @@ COUNTERS, PARTS = 1 << 20, 16
 LONG, BLOCK = 50_000, 2_000
 #: About so many groups of a component are tried before its others.
 EARLY = 64
+#: Words whose hashes a task remembers: 200 bytes each, twice.
+WORDS_KEPT = 50_000
 #: Shingles that a task holds before it counts them: four copies of 8 bytes each while it does.
 HELD = 1_500_000
 #: Shingles for a partition of the postings.
@@ -51,7 +53,7 @@ class Shingler:
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.memory = Memory(xxhash.xxh64_intdigest)
+        self.memory = Memory(xxhash.xxh64_intdigest, WORDS_KEPT)
 
     def shingles(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "replace").lower().split()
