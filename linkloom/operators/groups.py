@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ LEAST, MOST = 3, 30
 TARGETS = {"test": 0.15, "val": 0.15}
 #: Groups of one candidate in a task, about, as long as there are not more than RANGES ranges.
 RANGE, RANGES = 1 << 14, 1024
+#: Hashes of groups that a task takes, about; and ranges of one candidate that a round folds at most.
+TRIES, WINDOW = 4_000_000, 8
 
 
 def split_groups(rows: DataFrame, key: str, domain: str, template: str, least: int = LEAST, most: int = MOST) -> DataFrame:
@@ -53,6 +58,63 @@ def _ordered(groups: DataFrame, candidates: list[int], seed: int, ranges: int) -
     return tries.withColumn("_range", F.expr(f"cast(cast(conv(substr(_order, 1, 8), 16, 10) as bigint) * {ranges} div 4294967296 as int)"))
 
 
+def _dealt(groups: DataFrame, candidates: int, many: int) -> DataFrame:
+    """The groups over so many tasks that one hashes about TRIES of them, all candidates taken together: files of a small table would be one task."""
+    least = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.select("group_id", "zeros", "ones").repartition(max(least, -(-many * candidates // TRIES)))
+
+
+def _hashes(seed: int, candidate: int, names: list[bytes], ranges: int) -> tuple[list[bytes], np.ndarray]:
+    """The digests of `_ordered` for groups of these names, as bytes, and the numbers of their ranges."""
+    start, md5 = f"{seed}|{candidate}|".encode(), hashlib.md5
+    digests = [md5(start + n).digest() for n in names]
+    return digests, ((np.frombuffer(b"".join(digests), ">u4")[::4].astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+
+
+def _range_sums(dealt: DataFrame, candidates: list[int], seed: int, ranges: int) -> np.ndarray:
+    """Zeros, ones and the largest group of each range of hashes of each candidate: an array of len(candidates) x ranges x 3."""
+
+    def run(batches):
+        sums = np.zeros((len(candidates), ranges, 3), np.int64)
+        for b in batches:
+            names = [b"%d" % g for g in b.column("group_id").to_pylist()]
+            zeros, ones = (b.column(c).to_numpy() for c in ("zeros", "ones"))
+            for own, c in zip(sums, candidates, strict=True):
+                if names:
+                    _, at = _hashes(seed, c, names, ranges)
+                    own[:, 0] += np.bincount(at, zeros, ranges).astype(np.int64)
+                    own[:, 1] += np.bincount(at, ones, ranges).astype(np.int64)
+                    np.maximum.at(own[:, 2], at, zeros + ones)
+        for k, own in enumerate(sums):
+            there = np.flatnonzero(own.any(1))
+            if len(there):
+                yield pa.record_batch([pa.array(np.full(len(there), k)), pa.array(there), *(pa.array(own[there, x]) for x in range(3))], ["k", "at", "zeros", "ones", "largest"])
+
+    parts = dealt.mapInArrow(run, "k bigint, at bigint, zeros bigint, ones bigint, largest bigint")
+    whole = parts.groupBy("k", "at").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.max("largest").alias("largest"))
+    out = np.zeros((len(candidates), ranges, 3), np.int64)
+    for r in whole.toLocalIterator():  # len(candidates) x RANGES at most, held as 24 bytes each
+        out[r["k"], r["at"]] = r["zeros"], r["ones"], r["largest"]
+    return out
+
+
+def _asked(dealt: DataFrame, asked: dict[int, tuple[int, int]], seed: int, ranges: int) -> DataFrame:
+    """(candidate, _order, group_id, zeros, ones) of the groups in the asked ranges [first, end) of each candidate."""
+
+    def run(batches):
+        for b in batches:
+            ids, zeros, ones = (b.column(c).to_numpy() for c in ("group_id", "zeros", "ones"))
+            names = [b"%d" % g for g in ids.tolist()]
+            for c, (first, end) in asked.items():
+                digests, at = _hashes(seed, c, names, ranges) if names else ([], np.zeros(0, np.int64))
+                there = np.flatnonzero((at >= first) & (at < end))
+                if len(there):
+                    order = [digests[i].hex() for i in there.tolist()]
+                    yield pa.record_batch([pa.array(np.full(len(there), c, np.int32)), pa.array(order), *(pa.array(x[there]) for x in (ids, zeros, ones))], ["candidate", "_order", "group_id", "zeros", "ones"])
+
+    return dealt.mapInArrow(run, "candidate int, _order string, group_id bigint, zeros bigint, ones bigint")
+
+
 def _placed(own: pd.DataFrame, state: list[int], half: dict[str, float]) -> list[str]:
     """The split of each group of `own`, in hashed order; `state` (zeros, ones and largest group of each split) goes on."""
     out = []
@@ -76,17 +138,23 @@ def _folded(groups: DataFrame, candidates: list[int], seed: int, total: int, ass
     test as a whole goes there, one that fits into val while no class of groups fits
     into test goes to val, and once no class fits anywhere the rest is train; all this
     takes sums only. What is left are the few ranges in which test or val fills up:
-    rounds fold the next one of every candidate, group by group, a task a candidate.
+    rounds fold the next one of every candidate, group by group, a task a candidate;
+    of a candidate that needs more rounds, the next 2, 4 and then WINDOW at once.
     There are RANGES at most, so the number of jobs does not grow with the groups.
     """
     half = {s: share * total / 2 for s, share in TARGETS.items()}
     targets, names = list(half.values()), list(half)
-    ranges = max(1, min(RANGES, -(-groups.count() // most)))
-    tries = _ordered(groups, candidates, seed, ranges)
-    classes = sorted((r["zeros"], r["ones"]) for r in groups.select("zeros", "ones").distinct().toLocalIterator())
-    sums = {(r["candidate"], r["_range"]): r for r in tries.groupBy("candidate", "_range").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.max(F.col("zeros") + F.col("ones")).alias("largest")).toLocalIterator()}
+    many = groups.count()
+    ranges = max(1, min(RANGES, -(-many // most)))
+    dealt = _dealt(groups, len(candidates), many)
+    classes: list[tuple[int, int]] = []  # those than which no other is smaller: if any class fits, one of these does
+    for zeros, ones in sorted((r["zeros"], r["ones"]) for r in groups.groupBy("zeros").agg(F.min("ones").alias("ones")).toLocalIterator()):
+        if not classes or ones < classes[-1][1]:
+            classes.append((zeros, ones))
+    sums = dict(zip(candidates, _range_sums(dealt, candidates, seed, ranges).tolist(), strict=True))
     state = {c: [0] * (3 * len(half)) for c in candidates}
     at = dict.fromkeys(candidates, 0)
+    window = dict.fromkeys(candidates, 1)
     whole: list[tuple[int, int, str]] = []
     tables = []
 
@@ -103,14 +171,14 @@ def _folded(groups: DataFrame, candidates: list[int], seed: int, total: int, ass
                 if key not in room:
                     room[key] = any(fits(now, k, *x) for x in classes)
             free = [k for k in range(len(half)) if room[k, now[3 * k], now[3 * k + 1]]]
-            own = sums.get((c, at[c]))
-            if own is not None and free and not fits(now, free[0], own["zeros"], own["ones"]):
+            zeros, ones, largest = sums[c][at[c]]
+            if free and not fits(now, free[0], zeros, ones):
                 return True
-            if own is not None and free:
+            if free:
                 k = free[0]
-                now[3 * k] += own["zeros"]
-                now[3 * k + 1] += own["ones"]
-                now[3 * k + 2] = max(now[3 * k + 2], own["largest"])
+                now[3 * k] += zeros
+                now[3 * k + 1] += ones
+                now[3 * k + 2] = max(now[3 * k + 2], largest)
             whole.append((c, at[c], names[free[0]] if free else "train"))
             at[c] += 1
         return False
@@ -128,19 +196,18 @@ def _folded(groups: DataFrame, candidates: list[int], seed: int, total: int, ass
 
     while waiting := [c for c in candidates if passed(c)]:
         before = {c: list(state[c]) for c in waiting}
-        asked = groups.sparkSession.createDataFrame([(c, at[c]) for c in waiting], "candidate int, _range int")
-
-        part = tries.join(F.broadcast(asked), ["candidate", "_range"]).groupBy("candidate").applyInPandas(folding(before), "candidate int, group_id bigint, zeros bigint, ones bigint, split string, state array<bigint>")
+        asked = {c: (at[c], min(ranges, at[c] + window[c])) for c in waiting}
+        part = _asked(dealt, asked, seed, ranges).groupBy("candidate").applyInPandas(folding(before), "candidate int, group_id bigint, zeros bigint, ones bigint, split string, state array<bigint>")
         if assign:
             part = stored(part, "splits")
             tables.append(part.drop("state"))
         for r in part.where("state is not null").select("candidate", "state").collect():  # a row a candidate
             state[r["candidate"]] = list(r["state"])
         for c in waiting:
-            at[c] += 1
+            at[c], window[c] = asked[c][1], min(WINDOW, 2 * window[c])
     if assign and whole:
         places = groups.sparkSession.createDataFrame(whole, "candidate int, _range int, split string")
-        tables.append(tries.join(F.broadcast(places), ["candidate", "_range"]).select("candidate", "group_id", "zeros", "ones", "split"))
+        tables.append(_ordered(dealt, candidates, seed, ranges).join(F.broadcast(places), ["candidate", "_range"]).select("candidate", "group_id", "zeros", "ones", "split"))
     return state, tables
 
 

@@ -173,6 +173,20 @@ def test_candidates_in_ranges(spark, least):
     assert scores == pytest.approx(want) and len(scores) == 8
 
 
+def test_search_is_dealt_over_tasks(spark, monkeypatch):
+    """A table of one file is hashed by many tasks; a split that stays open to the end takes few rounds, and the splits are those of one fold."""
+    per = [(i - 40, 4, 2) if i % 30 else (i - 40, 0, 1) for i in range(160)]
+    df = spark.createDataFrame(per, "group_id long, zeros long, ones long").coalesce(1)
+    monkeypatch.setattr(groups, "TRIES", 1000)
+    assert groups._dealt(df, 500, len(per)).rdd.getNumPartitions() == 80
+    rounds = []
+    real = groups._asked
+    monkeypatch.setattr(groups, "_asked", lambda dealt, asked, *a: rounds.append(asked) or real(dealt, asked, *a))
+    got = {(r["candidate"], r["group_id"]): r["split"] for r in groups.greedy_candidates(df, [0, 7], 42, sum(z + o for _, z, o in per), most=2).collect()}
+    assert got == {(c, g): s for c in (0, 7) for g, s in folded(per, c, sum(z + o for _, z, o in per)).items()}
+    assert len(rounds) <= 20 and len(rounds) < sum(e - f for a in rounds for c, (f, e) in a.items() if c == 0)
+
+
 def test_best_split_of_all_candidates(spark, sf):
     scores = catalog.split_candidates(spark, sf).collect()
     assert sorted(r["candidate"] for r in scores) == list(range(500))
