@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators import ranks
 from linkloom.operators.clean import hashed, least_hashed
+from linkloom.sources.scratch import stored
 
 Z = 1.96
 
@@ -137,17 +140,69 @@ def holm(tests: DataFrame, p: str, key: str) -> DataFrame:
     return stepped.withColumn("p_holm", F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
-def resampled(units: DataFrame, unit: str, draws: int, seed: int) -> DataFrame:
-    """(draw, `unit`, times): how often each draw takes a unit; units are numbered in hashed order, by ranges of the hash."""
+#: Slots of a resample that a task draws at once, slots whose units are summed together, and draws of these.
+SLOTS, PART, BLOCK = 1 << 16, 1 << 14, 250
+
+
+def _numbered(units: DataFrame, unit: str, seed: int) -> DataFrame:
+    """Adds `slot`: units in hashed order, by ranges of the hash."""
     hashes = units.withColumn("_hash", hashed(seed, unit)).withColumn("_range", F.substring("_hash", 1, 2))
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # at most 256 rows
     starts = hashes.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy("_hash", unit)) - 1
-    numbered = hashes.withColumn("slot", inside).join(F.broadcast(starts), "_range").select(unit, (F.col("slot") + F.col("_start")).alias("slot"))
-    count = units.agg(F.count("*").alias("n_units"))
-    drawn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw"), F.col("at"))), 1, 8), 16, 10).cast("bigint"), F.col("n_units"))
-    slots = count.where("n_units > 0").select("n_units", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("n_units", "draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_units") - 1)).alias("at"))
-    return slots.select("draw", drawn.alias("slot")).groupBy("draw", "slot").agg(F.count("*").alias("times")).join(numbered, "slot").select("draw", unit, "times")
+    return hashes.withColumn("slot", inside).join(F.broadcast(starts), "_range").select(*units.columns, (F.col("slot") + F.col("_start")).alias("slot"))
+
+
+def _stretches(units: DataFrame, draws: int, n: int) -> DataFrame:
+    """(draw, first, end): the slots of all draws of n units, by stretches of SLOTS and dealt to tasks."""
+    spark = units.sparkSession
+    each = -(-n // SLOTS)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), draws * n // (32 * SLOTS))
+    return spark.range(0, draws * each, 1, parts).selectExpr(f"cast(id div {max(1, each)} as int) as draw", f"id % {max(1, each)} * {SLOTS} as first").withColumn("end", F.least(F.lit(n).cast("bigint"), F.col("first") + SLOTS))
+
+
+def resampled(units: DataFrame, unit: str, draws: int, seed: int) -> DataFrame:
+    """(draw, `unit`, times): how often each draw takes a unit; units are numbered in hashed order, and slots drawn by hash in all tasks."""
+    n = units.count()
+    drawn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw"), F.col("at"))), 1, 8), 16, 10).cast("bigint"), F.lit(n))
+    slots = _stretches(units, draws, n).select("draw", F.explode(F.sequence("first", F.col("end") - 1)).alias("at"))
+    return slots.select("draw", drawn.alias("slot")).groupBy("draw", "slot").agg(F.count("*").alias("times")).join(_numbered(units, unit, seed), "slot").select("draw", unit, "times")
+
+
+def resampled_sums(units: DataFrame, unit: str, cells: list[str], draws: int, seed: int) -> DataFrame:
+    """(draw, cells): the sums of cells over the units that each draw of resampled() takes.
+
+    Sums add up, so draws never meet units row by row: a task draws stretches of slots
+    and deals them, 2 bytes each, by ranges of PART slots; another holds the cells of one
+    range and adds up BLOCK draws of it. What a task holds does not grow with the units.
+    """
+    n = units.count()
+
+    def draw(batches):
+        md5 = hashlib.md5
+        for b in batches:
+            for d, first, end in zip(*(b.column(c).to_pylist() for c in ("draw", "first", "end")), strict=True):
+                start = f"{seed}|{d}|".encode()
+                digests = b"".join([md5(start + b"%d" % at).digest() for at in range(first, end)])
+                slots = np.sort(np.frombuffer(digests, ">u4")[::4].astype(np.int64) % n)
+                part = slots // PART
+                begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                packed = [x.tobytes() for x in np.split((slots % PART).astype(np.uint16), begins[1:])]
+                yield pa.record_batch([pa.array(part[begins]), pa.array(np.full(len(begins), d // BLOCK)), pa.array(np.full(len(begins), d, np.int32)), pa.array(packed, pa.binary())], ["part", "block", "draw", "slots"])
+
+    def added(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((PART, len(cells)))
+        table[own["slot"].to_numpy() % PART] = own[cells].to_numpy(float)
+        sums = np.zeros((len(asked), len(cells)))
+        for k, slots in enumerate(asked["slots"]):
+            sums[k] = np.bincount(np.frombuffer(slots, np.uint16), minlength=PART) @ table
+        return pd.DataFrame({"draw": asked["draw"], **{c: sums[:, k].astype(np.int64) for k, c in enumerate(cells)}})
+
+    asked = _stretches(units, draws, n).mapInArrow(draw, "part bigint, block bigint, draw int, slots binary")
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((draws - 1) // BLOCK).cast("bigint")))
+    known = _numbered(units.select(unit, *cells), unit, seed).select("slot", *cells, F.expr(f"slot div {PART}").alias("part"), blocks.alias("block"))
+    sums = known.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInPandas(added, "draw int, " + ", ".join(f"{c} bigint" for c in cells))
+    return sums.groupBy("draw").agg(*(F.sum(c).alias(c) for c in cells))
 
 
 def bootstrap_auc(rows: DataFrame, unit: str, label: str, score: str, draws: int, seed: int) -> DataFrame:
@@ -192,8 +247,7 @@ def bootstrap(rows: DataFrame, unit: str, label: str, predicted: str, draws: int
     """
     y, p = F.col(label) == 1, F.col(predicted) == 1
     units = rows.groupBy(unit).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn"))
-    weights = resampled(units.select(unit), unit, draws, seed)
-    sums = weights.join(units, unit).groupBy("draw").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "tn", "fn")))
+    sums = resampled_sums(stored(units, "units"), unit, ["tp", "fp", "tn", "fn"], draws, seed)
     found = sums.select("draw", *(e.alias(n) for n, e in rates(*(F.col(c) for c in ("tp", "fp", "tn", "fn"))).items() if n in ("precision", "recall", "f1")))
     long = found.unpivot(["draw"], ["precision", "recall", "f1"], "metric", "value")
     return long.groupBy("metric").agg(F.count("*").alias("draws"), F.percentile("value", F.lit(0.025)).alias("ci95_low"), F.percentile("value", F.lit(0.975)).alias("ci95_high"))
@@ -267,20 +321,25 @@ def rows_bootstrap(rows: DataFrame, label: str, predicted: str, score: str, draw
 
 def bootstrap_differences(rows: DataFrame, unit: str, label: str, first: str, second: str, draws: int, seed: int) -> DataFrame:
     """Point and 95 % interval of the first prediction's rates less the second's: both are taken over the same resamples of units."""
+    return paired_differences(rows, unit, label, [(first, second)], draws, seed).drop("difference")
+
+
+def paired_differences(rows: DataFrame, unit: str, label: str, pairs: list[tuple[str, str]], draws: int, seed: int) -> DataFrame:
+    """bootstrap_differences of several pairs of predictions (`difference`: "first - second"), all over one set of resamples."""
     y = F.col(label) == 1
-    cells = {f"{c}_{s}": F.count_if((y if t else ~y) & (F.col(p) == v)) for s, p in (("a", first), ("b", second)) for c, t, v in (("tp", 1, 1), ("fp", 0, 1), ("tn", 0, 0), ("fn", 1, 0))}
-    units = rows.groupBy(unit).agg(*(e.alias(n) for n, e in cells.items()))
+    number = {p: k for k, p in enumerate(dict.fromkeys(p for pair in pairs for p in pair))}
+    cells = {f"{c}_{k}": F.count_if((y if t else ~y) & (F.col(p) == v)) for p, k in number.items() for c, t, v in (("tp", 1, 1), ("fp", 0, 1), ("tn", 0, 0), ("fn", 1, 0))}
+    units = stored(rows.groupBy(unit).agg(*(e.alias(n) for n, e in cells.items())), "units")
     names = ("f1", "recall", "precision", "fpr")
 
-    def gaps(sums: DataFrame) -> DataFrame:
-        a, b = (rates(*(F.col(f"{c}_{s}") for c in ("tp", "fp", "tn", "fn"))) for s in "ab")
-        return sums.select(*(c for c in sums.columns if c not in cells), *((a[n] - b[n]).alias(n) for n in names))
+    def gaps(sums: DataFrame, value: str) -> DataFrame:
+        of = {p: rates(*(F.col(f"{c}_{k}") for c in ("tp", "fp", "tn", "fn"))) for p, k in number.items()}
+        return sums.select(F.inline(F.array(*(F.struct(F.lit(f"{a} - {b}").alias("difference"), F.lit(n).alias("metric"), (of[a][n] - of[b][n]).alias(value)) for a, b in pairs for n in names))))
 
-    point = gaps(units.agg(*(F.sum(c).alias(c) for c in cells))).unpivot([], list(names), "metric", "point")
-    drawn = resampled(units.select(unit), unit, draws, seed).join(units, unit).groupBy("draw").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in cells))
-    long = gaps(drawn).unpivot(["draw"], list(names), "metric", "value")
-    found = long.groupBy("metric").agg(F.count("*").alias("draws"), F.percentile("value", F.lit(0.025)).alias("ci95_low"), F.percentile("value", F.lit(0.975)).alias("ci95_high"))
-    return point.join(F.broadcast(found), "metric")  # four rows
+    point = gaps(units.agg(*(F.sum(c).alias(c) for c in cells)), "point")
+    long = gaps(resampled_sums(units, unit, list(cells), draws, seed), "value")
+    found = long.groupBy("difference", "metric").agg(F.count("*").alias("draws"), F.percentile("value", F.lit(0.025)).alias("ci95_low"), F.percentile("value", F.lit(0.975)).alias("ci95_high"))
+    return point.join(F.broadcast(found), ["difference", "metric"])  # four rows a pair
 
 
 def quantile_bins(rows: DataFrame, value: str, bins: int) -> DataFrame:

@@ -130,8 +130,8 @@ def model_differences(spark, sf):
     by = {m.name: m for m in fits}
     test = rows.where("split = 'test'").select("group_id", "label", *((m.score() >= dict(m.thresholds)["primary"]).cast("int").alias(m.name) for m in fits))
     pairs = [("E3_fusion", "E1_url_only"), ("M1_plus_QR", "M1_length_only"), ("E2_qr_only", "M1_length_only"), ("E3_reducedQR", "E1_url_only")]
-    found = [metrics.bootstrap_differences(test, "group_id", "label", a, b, 2000, SEED).withColumn("difference", F.lit(f"{a} - {b}")) for a, b in pairs if a in by and b in by]
-    return reduce(DataFrame.unionByName, found).select("difference", "metric", "draws", *(r6(c, c) for c in ("point", "ci95_low", "ci95_high")))
+    found = metrics.paired_differences(test, "group_id", "label", [(a, b) for a, b in pairs if a in by and b in by], 2000, SEED)
+    return found.select("difference", "metric", "draws", *(r6(c, c) for c in ("point", "ci95_low", "ci95_high")))
 
 
 @query()

@@ -95,6 +95,22 @@ def test_paired_differences_by_hand(spark):
     assert [got["recall"]["ci95_low"], got["recall"]["ci95_high"]] == pytest.approx(np.quantile(drawn, [0.025, 0.975]).tolist())
 
 
+def test_sums_of_resamples(spark, monkeypatch):
+    """Draws are dealt to many tasks by stretches of slots, and small ranges of units give the sums of the resamples; the unit without name is one of them, as in the SQL of bootstrap_ci."""
+    monkeypatch.setattr(metrics, "SLOTS", 16)
+    monkeypatch.setattr(metrics, "PART", 8)
+    units = spark.createDataFrame([(None if i == 3 else i, i, i * i) for i in range(50)], "unit int, x long, y long").coalesce(1)
+    drawn = metrics.resampled(units.select("unit"), "unit", 300, 7)
+    assert metrics._stretches(units, 300, 50).rdd.getNumPartitions() > 8 and metrics._stretches(units, 300, 50).count() == 1200
+    want: dict = {}
+    for r in drawn.collect():
+        u = 3 if r["unit"] is None else r["unit"]
+        x, y = want.get(r["draw"], (0, 0))
+        want[r["draw"]] = (x + r["times"] * u, y + r["times"] * u**2)
+    assert {r["draw"]: (r["x"], r["y"]) for r in metrics.resampled_sums(units, "unit", ["x", "y"], 300, 7).collect()} == want and len(want) == 300
+    assert metrics.resampled_sums(units.limit(0), "unit", ["x"], 300, 7).count() == 0
+
+
 def test_joins_that_have_to_be_one_to_one(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), spark.createDataFrame([(1, "p"), (1, "q")], "k int, b string")
     assert checks.one_to_one(a, b.limit(1), ["k"]).count() == 1
