@@ -53,11 +53,18 @@ def decode_outcome(expected: Column, payload: Column) -> Column:
 def area_resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
     """Means over the area of each new pixel, by differences of running sums."""
     for n in (height, width):
-        sums = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, 0)])
+        x = np.ascontiguousarray(x)
+        sums = np.zeros((len(x) + 1, x.shape[1]))
+        np.cumsum(x, 0, out=sums[1:])
         edges = np.linspace(0, len(x), n + 1)
         low = np.minimum(edges.astype(int), len(x) - 1)
-        at = sums[low] + (edges - low)[:, None] * x[low]
-        x = (np.diff(at, axis=0) * n / len(x)).T
+        at = x[low]
+        at *= (edges - low)[:, None]
+        at += sums[low]
+        new = at[1:] - at[:-1]
+        new *= n
+        new /= len(x)
+        x = new.T
     return x
 
 
@@ -112,17 +119,28 @@ KERNELS = {"gaussian_blur": lambda x, v: blurred(x, int(v)), "low_resolution": l
 
 
 def statistics(x: np.ndarray) -> dict[str, float]:
-    """Image features on a 512 x 512 copy; the aspect ratio is that of the original."""
-    g = np.clip(np.rint(area_resized(x.astype(float), SIDE, SIDE)), 0, 255)
-    low, high = np.percentile(g, [1, 99])
-    p = np.pad(g, 1, mode="reflect")
-    laplacian = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * g
+    """Image features on a 512 x 512 copy; the aspect ratio is that of the original.
+
+    Grey values and their Laplacians are whole numbers, so all sums are exact and values are counted, not sorted.
+    """
+    g = area_resized(x.astype(float), SIDE, SIDE)
+    g = np.ascontiguousarray(np.clip(np.rint(g, out=g), 0, 255, out=g).astype(np.uint8))
+    counts = np.bincount(g.ravel(), minlength=256)
+    values, n = np.arange(256), g.size
+    upto = np.cumsum(counts)
+    places = np.array([0.01, 0.99]) * (n - 1)
+    below, above = (np.searchsorted(upto, np.minimum(np.floor(places) + k, n - 1), "right") for k in (0, 1))
+    low, high = below + (above - below) * (places % 1)
+    mean = int(counts @ values) / n
+    p = np.pad(g.astype(np.int16), 1, mode="reflect")
+    laplacian = (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).ravel().astype(float)
+    total, squares = int(laplacian.sum()), int(laplacian @ laplacian)
     dark = g < DARK
     rows, columns = np.flatnonzero(dark.any(1)), np.flatnonzero(dark.any(0))
     margin = min(rows[0], columns[0], SIDE - 1 - rows[-1], SIDE - 1 - columns[-1]) / SIDE if len(rows) else np.nan
     return {
-        "qr_aspect_ratio": x.shape[1] / x.shape[0], "qr_gray_mean": g.mean() / 255, "qr_gray_std": g.std() / 255, "qr_dark_ratio": dark.mean(),
-        "qr_contrast": (high - low) / 255, "qr_blur_score": laplacian.var(), "qr_quiet_zone_ratio": margin,
+        "qr_aspect_ratio": x.shape[1] / x.shape[0], "qr_gray_mean": mean / 255, "qr_gray_std": float(np.sqrt(counts @ (values - mean) ** 2 / n)) / 255, "qr_dark_ratio": int(counts[:DARK].sum()) / n,
+        "qr_contrast": (high - low) / 255, "qr_blur_score": (n * squares - total * total) / (n * n), "qr_quiet_zone_ratio": margin,
     }
 
 
@@ -152,6 +170,24 @@ def distorted(images: DataFrame, key: str, grid: DataFrame, *keep: str) -> DataF
     return crossed.mapInPandas(run, ", ".join([f"{key} bigint, type string, severity string, pixels binary, height int, width int", *(f"{k} double" for k in keep)]))
 
 
+def bright_shares(images: DataFrame, key: str, grid: list[tuple[str, str, float]]) -> DataFrame:
+    """(key, type, severity, clean, bright): the share of bright pixels of each image, as it is and under each condition that has a kernel. Pixels stay in their task."""
+    some = [c for c in grid if c[0] in KERNELS]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, p, h, w in zip(b[key], b["pixels"], b["height"], b["width"], strict=True):
+                x = np.frombuffer(p, np.uint8).reshape(h, w)
+                clean = np.count_nonzero(x >= DARK) / x.size
+                for t, severity, v in some:
+                    y = KERNELS[t](x, v)
+                    out.append((i, t, severity, clean, np.count_nonzero(y >= DARK) / y.size))
+            yield pd.DataFrame(out, columns=[key, "type", "severity", "clean", "bright"])
+
+    return images.select(key, "pixels", "height", "width").mapInPandas(run, f"{key} bigint, type string, severity string, clean double, bright double")
+
+
 def patterned(rows: DataFrame, key: str, text: str, modules: int = 25, scale: int = 4) -> DataFrame:
     """A module grid drawn from the md5 of a text, with a white border: images for which no encoder is needed.
 

@@ -262,3 +262,20 @@ def test_default_missing_values(spark, tmp_path):
     want = pd.read_csv(path)
     assert [tuple(r) for r in got] == [tuple(None if pd.isna(v) else v for v in row) for row in want.itertuples(index=False)]
     assert got[0].b is None and got[1].b == 1 and sum(r.a is not None for r in got) == 3
+
+
+def test_image_statistics_are_counted(spark):
+    """Counted grey values and whole Laplacians give what sorting all pixels gives; shares of bright pixels leave their task without the pixels."""
+    rng = np.random.default_rng(3)
+    for x in (rng.integers(0, 256, (37, 700), dtype=np.uint8), np.kron(rng.integers(0, 2, (33, 33)).astype(np.uint8) * 255, np.ones((4, 4), np.uint8))):
+        g = np.clip(np.rint(images.area_resized(x.astype(float), 512, 512)), 0, 255)
+        p = np.pad(g, 1, mode="reflect")
+        low, high = np.percentile(g, [1, 99])
+        got = images.statistics(x)
+        assert got["qr_contrast"] == pytest.approx((high - low) / 255, abs=1e-12) and got["qr_gray_std"] == pytest.approx(g.std() / 255, abs=1e-12) and got["qr_gray_mean"] == pytest.approx(g.mean() / 255)
+        assert got["qr_blur_score"] == pytest.approx((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * g).var(), rel=1e-12) and got["qr_dark_ratio"] == (g < 128).mean()
+    drawn = images.patterned(spark.createDataFrame([(i, f"u{i}") for i in range(3)], "id long, url string"), "id", "url", modules=21, scale=3)
+    grid = spark.createDataFrame(images.GRID, "type string, severity string, value double")
+    want = {(r["id"], r["type"], r["severity"]): (np.frombuffer(r["pixels"], np.uint8) >= 128).mean() for r in images.distorted(drawn, "id", grid).collect()}
+    found = images.bright_shares(drawn, "id", images.GRID)
+    assert "pixels" not in found.columns and {(r["id"], r["type"], r["severity"]): r["bright"] for r in found.collect()} == pytest.approx(want) and len(want) == 42
