@@ -784,9 +784,5 @@ def image_features(spark, sf):
 def feature_shift(spark, sf):
     """Mean change of the dark share under each distortion that has a kernel."""
     drawn = images.patterned(table(spark, sf, "pages").select("page_id", "url"), "page_id", "url", modules=21, scale=3)
-    grid = spark.createDataFrame(images.GRID, "type string, severity string, value double")
-    dark = F.octet_length(F.col("pixels"))  # all pixels; the dark ones are counted on the executors
-    share = (dark - F.length(F.regexp_replace(F.hex("pixels"), "([0-7][0-9A-F])|([89A-F][0-9A-F])", "$1")) / 2) / dark
-    clean = drawn.select("page_id", "height", "width", "pixels", share.alias("clean"))
-    changed = images.distorted(clean, "page_id", grid, "clean")
-    return changed.select("page_id", "type", "severity", "clean", share.alias("bright")).groupBy("type", "severity").agg(F.count("*").alias("n"), r6(F.avg(F.col("bright") - F.col("clean")), "mean_shift"))
+    shares = images.bright_shares(drawn, "page_id", images.GRID)
+    return shares.groupBy("type", "severity").agg(F.count("*").alias("n"), r6(F.avg(F.col("bright") - F.col("clean")), "mean_shift"))
