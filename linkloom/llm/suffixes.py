@@ -14,9 +14,10 @@ fill several shards, these are merged by binary search in their sorted strings.
 
 An anchor that stands in a large part of all documents would fill one task. A
 task that meets an anchor twice knows that it repeats, and reports one place of
-it only. The surroundings of the most frequent anchors are dealt to several
-tasks by their content; each finds the earliest start of each string among its
-own, and these are then compared over all tasks.
+it only. The strings around the most frequent anchors go by their distance to the
+anchor, a few distances together, and each such piece to the task that the bytes
+common to its strings name: equal strings meet in one task, but places that only
+hold the same anchor do not.
 """
 
 from __future__ import annotations
@@ -37,12 +38,15 @@ LENGTH, GRAM = 100, 24
 SHARD = 1 << 20
 #: Anchors with over a 1 / HOT of all reported places, fewer than HOT, and with so many at least, are dealt to several tasks.
 HOT, LEAST = 1_000, 2_000
+#: Distances to a frequent anchor that go together: WIDE / parts, but NARROW at least, so that one byte on each side tells pieces of one task apart.
+WIDE, NARROW = 16, 2
 #: Contents around anchors whose earliest place a task remembers.
 CONTENTS = 200_000
 #: Bytes of text for a bucket.
 BUCKET = 12_000_000
 FIRST = 7  # symbols in a first sort key
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+LOW = np.uint64((1 << 24) - 1)  # the bits of a hash that give way to a place, so documents go by stretches
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -68,18 +72,17 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     """(hash, first start, how many starts) of each run of strings with one anchor; the leftmost of equal hashes counts."""
     starts = len(data) - length + 1
     window = length - gram + 1
-    low = np.uint64((1 << 24) - 1)  # keys hold a place in their low bits, so documents go by stretches
     out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for base in range(0, max(starts, 0), 1 << 23):
         h = gram_hashes(data[base : base + (1 << 23) + length - 1], gram)
-        least, width = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
+        least, width = (h & ~LOW) | np.arange(len(h), dtype=np.uint64), 1
         while 2 * width <= window:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         if width < window:
             least = np.minimum(least[: width - window], least[window - width :])
         first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        out.append((h[(least[first] & low).astype(np.int64)], base + first, np.diff(np.r_[first, len(least)])))
+        out.append((h[(least[first] & LOW).astype(np.int64)], base + first, np.diff(np.r_[first, len(least)])))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -275,6 +278,18 @@ def anchor_rows(**given: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in ANCHOR_COLUMNS], [k for k, _ in ANCHOR_COLUMNS])
 
 
+def pieces(part: bytes, runs: int, width: int, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, bytes]]:
+    """(first start, end, common bytes) of the strings in a run, `width` distances to the anchor at a time.
+
+    Equal strings stand at equal distances to their anchor, and so in pieces with the same common bytes, whatever surrounds them.
+    """
+    h = gram_hashes(np.frombuffer(part, np.uint8), gram)[runs - 1 : length - gram + 1]
+    at = runs - 1 + int(np.argmin(h & ~LOW))  # of all places in the run's every string, the leftmost of lowest hash
+    for near in range((at - runs + 1) // width * width, at + 1, width):
+        first, last = max(0, at - near - width + 1), min(runs - 1, at - near)
+        yield first, last + length, part[at - near : at - near - width + 1 + length]
+
+
 def posted_anchors(texts: DataFrame, keys: list[int], length: int) -> DataFrame:
     """Runs of anchors of each text (node), dealt by anchor: (bucket, payload).
 
@@ -373,7 +388,7 @@ def frequent_anchors(found: DataFrame) -> dict[int, int]:
 
 
 def surroundings(joined: DataFrame, keys: list[int], length: int, frequent: dict[int, int]) -> DataFrame:
-    """(bucket, payload): for each repeated anchor of a text, the bytes that its strings cover; those of frequent anchors are dealt by content.
+    """(bucket, payload): for each repeated anchor of a text, the bytes that its strings cover; those of frequent anchors in pieces, dealt by what their strings share.
 
     Of places that hold the same bytes around one anchor, a task sends on only those
     that are earlier than all that it has met: the others repeat them whatever else
@@ -386,6 +401,17 @@ def surroundings(joined: DataFrame, keys: list[int], length: int, frequent: dict
         stretch = zstandard.ZstdDecompressor()
         frequent = parts_of.value
         earliest: dict[tuple[int, int, bytes], tuple[int, int, int]] = {}
+
+        def is_new(part, home, name, place, known) -> bool:
+            content = home, name, xxhash.xxh3_128_digest(part)
+            first_place = earliest.get(content)
+            if first_place is None or first_place > place:
+                earliest[content] = place
+                return True
+            if first_place < place:
+                known.setdefault(place[1], []).extend((place[2], place[2] + len(part)))
+            return False
+
         for b in slices(batches, 1024):
             known: dict[int, list[int]] = {}
             bucket, node, doc, low, first, shared, parts = [], [], [], [], [], [], []
@@ -400,21 +426,25 @@ def surroundings(joined: DataFrame, keys: list[int], length: int, frequent: dict
                             continue
                         met.add((home, a, s))
                         part = text[s : s + r + length - 1]
-                        content, place = (home, a, xxhash.xxh3_128_digest(part)), (d, n, s)
-                        first_place = earliest.get(content)
-                        if first_place is not None and first_place <= place:
-                            if first_place < place:
-                                known.setdefault(n, []).extend((s, s + len(part)))
+                        if not is_new(part, home, a, (d, n, s), known):
                             continue
-                        earliest[content] = place
                         many = frequent.get(home << 32 | a, 1)
-                        parts.append(part)
-                        bucket.append((home + xxhash.xxh3_64_intdigest(part) % many) % len(keys) if many > 1 else home)
-                        shared.append(many > 1)
-                        low.append(a)
-                        first.append(s)
-                        node.append(n)
-                        doc.append(d)
+                        own = [(home, a, s, part)]
+                        if many > 1:
+                            own = []
+                            for begin, end, core in pieces(part, r, max(WIDE // many, NARROW), length):
+                                name = xxhash.xxh3_64_intdigest(core)
+                                piece = (home + (name >> 32) % many) % len(keys), name & 0xFFFFFFFF, s + begin, part[begin:end]
+                                if is_new(piece[3], piece[0], piece[1], (d, n, piece[2]), known):
+                                    own.append(piece)
+                        for to, name, at, some in own:
+                            parts.append(some)
+                            bucket.append(to)
+                            shared.append(many > 1)
+                            low.append(name)
+                            first.append(at)
+                            node.append(n)
+                            doc.append(d)
             if len(earliest) > CONTENTS:
                 earliest.clear()  # more places are sent on, nothing else changes
             if known:
@@ -442,16 +472,10 @@ def surroundings(joined: DataFrame, keys: list[int], length: int, frequent: dict
 
 
 def repeated_strings(around: DataFrame, keys: list[int], length: int) -> DataFrame:
-    """(node, spans): byte ranges of each node that repeat earlier bytes; a shard of suffixes at a time.
+    """(node, spans): byte ranges of each node that repeat earlier bytes; a shard of suffixes at a time."""
 
-    For anchors that several tasks share also (string, doc_id, node, start): the
-    earliest start of each string (its 128-bit hash) in this task.
-    """
-    columns = [("node", pa.int64()), ("spans", pa.binary()), ("string", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64())]
-
-    def rows(**given: list) -> pa.RecordBatch:
-        n = len(next(iter(given.values())))
-        return pa.record_batch([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in columns], [k for k, _ in columns])
+    def rows(node: list, spans: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(node, pa.int64()), pa.array(spans, pa.binary())], ["node", "spans"])
 
     def run(batches):
         stretch = zstandard.ZstdDecompressor()
@@ -464,7 +488,7 @@ def repeated_strings(around: DataFrame, keys: list[int], length: int) -> DataFra
             for k, payload in zip(b.column("bucket").to_pylist(), b.column("payload").to_pylist(), strict=True):
                 held.setdefault(k, []).append(payload)
         for k in sorted(held):
-            node, doc, low, first, shared, number, texts = [], [], [], [], [], [], []
+            node, doc, low, first, number, texts = [], [], [], [], [], []
             index: dict[tuple[int, bytes], int] = {}
             for payload in held.pop(k):
                 n, d, a, f, w, sizes, body = unpack(stretch.decompress(payload), np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint32, np.uint8)
@@ -472,6 +496,7 @@ def repeated_strings(around: DataFrame, keys: list[int], length: int) -> DataFra
                 ends = np.cumsum(sizes).tolist()
                 begin = 0
                 own = []
+                a = a | w.astype(np.int64) << 32  # names of pieces are no anchors
                 for anchor, end in zip(a.tolist(), ends, strict=True):
                     key = anchor, body[begin:end]
                     i = index.get(key)
@@ -481,10 +506,10 @@ def repeated_strings(around: DataFrame, keys: list[int], length: int) -> DataFra
                     own.append(i)
                     begin = end
                 number.append(np.array(own))
-                for c, v in ((node, n), (doc, d), (low, a), (first, f), (shared, w)):
+                for c, v in ((node, n), (doc, d), (low, a), (first, f)):
                     c.append(v)
             del index
-            node, doc, low, first, shared, number = (np.concatenate(c) for c in (node, doc, low, first, shared, number))
+            node, doc, low, first, number = (np.concatenate(c) for c in (node, doc, low, first, number))
             order = np.lexsort((first, node, doc))
             changed = (node[order][1:] != node[order][:-1]) | (doc[order][1:] != doc[order][:-1])
             place = np.empty(len(node), np.int64)
@@ -500,18 +525,6 @@ def repeated_strings(around: DataFrame, keys: list[int], length: int) -> DataFra
                 elif flags[i].any():
                     edges = np.flatnonzero(np.diff(np.r_[False, flags[i], False].astype(np.int8)))
                     spans += [(n, f + s, f + e + length - 1) for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
-            names, at_doc, at_node, at_start = [], [], [], []
-            for i in np.flatnonzero(shared[head]).tolist():
-                for offset in np.flatnonzero(~flags[i]).tolist():
-                    names.append(xxhash.xxh3_128_digest(texts[i][offset : offset + length]))
-                    at_doc.append(int(doc[head[i]]))
-                    at_node.append(int(node[head[i]]))
-                    at_start.append(int(first[head[i]]) + offset)
-                if len(names) > 20_000:
-                    yield rows(string=names, doc_id=at_doc, node=at_node, start=at_start)
-                    names, at_doc, at_node, at_start = [], [], [], []
-            if names:
-                yield rows(string=names, doc_id=at_doc, node=at_node, start=at_start)
             if not spans:
                 continue
             found = np.array(spans, np.int64)
@@ -523,22 +536,7 @@ def repeated_strings(around: DataFrame, keys: list[int], length: int) -> DataFra
             for at in range(0, len(nodes), 5000):
                 yield rows(node=nodes[at : at + 5000], spans=payloads[at : at + 5000])
 
-    return around.repartition(len(keys), "bucket").mapInArrow(run, "node bigint, spans binary, string binary, doc_id bigint, start bigint")
-
-
-def later_starts(spans: DataFrame, length: int) -> DataFrame:
-    """(node, spans) of the starts that are earliest in their task, but not over all tasks; a string has a row of each task at most."""
-    place = F.struct("doc_id", "node", "start")
-    per = spans.where("string is not null").groupBy("string").agg(F.sort_array(F.collect_set(place)).alias("places")).where("size(places) > 1")
-    again = per.select(F.explode(F.slice("places", 2, F.size("places"))).alias("p")).select("p.node", "p.start")
-
-    def run(batches):
-        for b in batches:
-            start = b.column("start").to_numpy()
-            ranges = np.stack([start, start + length], 1).astype(np.uint32)
-            yield pa.record_batch([b.column("node"), pa.array([r.tobytes() for r in ranges], pa.binary())], ["node", "spans"])
-
-    return again.mapInArrow(run, "node bigint, spans binary")
+    return around.repartition(len(keys), "bucket").mapInArrow(run, "node bigint, spans binary")
 
 
 def united(spans: list[bytes]) -> np.ndarray:
@@ -589,7 +587,6 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False, b
     packed = packed_texts(texts.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))), "node", "id")
     joined = packed.join(asked, ["node", "id"]).select("node", F.col("id").alias("doc_id"), "packed", "runs")
     spans = stored(repeated_strings(surroundings(joined, keys, length, frequent), keys, length), "spans")
-    spans = spans.where("spans is not null").select("node", "spans").unionByName(later_starts(spans, length))
 
     removed = heads.join(spans.groupBy("node").agg(F.collect_list("spans").alias("spans")), "node", "left")
     rows = packed_texts(texts.withColumns({"id": F.coalesce("doc_id", F.lit(-(1 << 63))), "known": F.col("doc_id").isNotNull()}), "node", "id", "known", "rest")

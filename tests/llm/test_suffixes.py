@@ -132,6 +132,37 @@ def test_a_passage_in_half_of_all_documents_is_sent_once_a_task(spark, monkeypat
     assert known > 3 * places  # what is left holds edges of single documents
 
 
+@pytest.mark.parametrize("width", [1, 2, 5, 8, 100])
+def test_equal_strings_share_the_common_bytes_of_their_piece(width):
+    rng = np.random.default_rng(31)
+    line = rng.integers(0, 4, 150).astype(np.uint8)
+    common = {}
+    for _ in range(60):
+        data = np.concatenate([rng.integers(0, 4, rng.integers(0, 90)), line[rng.integers(0, 30) : 150 - rng.integers(0, 30)], rng.integers(0, 4, rng.integers(0, 90))]).astype(np.uint8)
+        for h, s, r in zip(*suffixes.anchors(data), strict=True):
+            part, starts = data[s : s + r + 99].tobytes(), []
+            for begin, end, core in suffixes.pieces(part, int(r), width):
+                assert len(core) == 101 - width
+                for k in range(begin, end - 99):
+                    starts.append(k)
+                    assert core in part[k : k + 100] and common.setdefault((h, part[k : k + 100]), core) == core
+            assert sorted(starts) == list(range(r))
+    assert len(common) < 60 * 100  # strings that several texts hold were met
+
+
+def test_edges_of_a_frequent_passage_give_no_row_each(spark, monkeypatch):
+    """What stands around a frequent anchor differs from text to text: its strings meet in one task, and only repeats are returned."""
+    monkeypatch.setattr(suffixes, "LEAST", 6)
+    rng = np.random.default_rng(33)
+    line = "".join(rng.choice(list("abcdefgh"), 300))
+    docs = [(i, "".join(rng.choice(list("uvwxyz"), 150)) + line + "".join(rng.choice(list("uvwxyz"), 150))) for i in range(200)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    made = {}
+    monkeypatch.setattr(suffixes, "stored", lambda df, label: made.setdefault(label, df.localCheckpoint()))
+    assert found(suffixes.drop_repeats(rows)) == brute(docs, 100)
+    assert 199 <= made["spans"].count() < 10 * len(docs)
+
+
 @pytest.mark.parametrize("bits", [2, 64])
 def test_texts_that_share_a_hash(spark, bits):
     """With two bits of the first hash nearly all texts share their names; the second hash tells them apart."""
