@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import packed_texts, partition_keys, slices, stored
 
 LENGTH, GRAM = 100, 24
-#: Bytes of a shard's suffix array.
-SHARD = 1 << 20
+#: Symbols of a shard's suffix array, each of which takes some 100 bytes of memory while the array is made.
+SHARD = 1 << 18
 #: Anchors with over a 1 / HOT of all reported places, fewer than HOT, and with so many at least, are dealt to several tasks.
 HOT, LEAST = 1_000, 2_000
 #: Distances to a frequent anchor that go together: WIDE / parts, but NARROW at least, so that one byte on each side tells pieces of one task apart.

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -163,6 +165,17 @@ def test_edges_of_a_frequent_passage_give_no_row_each(spark, monkeypatch):
     assert 199 <= made["spans"].count() < 10 * len(docs)
 
 
+def test_memory_of_a_shard():
+    rng = np.random.default_rng(34)
+    texts = [bytes(rng.integers(97, 123, 1000).astype(np.uint8)) for _ in range(1000)]
+    starts, anchor = np.arange(1000) << 32, np.arange(1000)
+    tracemalloc.start()
+    flags = suffixes.repeats(texts, starts, anchor, 100)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not any(f.any() for f in flags) and most < 50_000_000
+
+
 @pytest.mark.parametrize("bits", [2, 64])
 def test_texts_that_share_a_hash(spark, bits):
     """With two bits of the first hash nearly all texts share their names; the second hash tells them apart."""
