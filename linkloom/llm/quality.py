@@ -153,7 +153,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str, visible, per
     gives no rows, and a very long text is measured whole, as any other.
     """
     ensemble = learn(docs, labels, label, visible, per_class)
-    return statistics(docs, "doc_id").select("doc_id", ensemble.column().alias("score"))
+    # a generator: a filter of scores would be pushed below the statistics, with a copy of them for each rule
+    return statistics(docs, "doc_id").select("doc_id", F.explode(F.array(ensemble.column())).alias("score"))
 
 
 def at_least(docs: DataFrame, labels: DataFrame, label: str, visible, threshold: float, per_class: int = PER_CLASS) -> DataFrame:
